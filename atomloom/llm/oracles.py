@@ -28,6 +28,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op8_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+least AS (SELECT win, min(doc_id) AS first FROM win GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN least USING (win), unnest(range(i, i + 13)) AS t(p) WHERE doc_id > first),
+words AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p))
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(count(gone.p) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p
+GROUP BY d.doc_id, w
 """,
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, i, lines[i] AS line, {lowered(f"trim(lines[i], {SPACE})")} AS k
