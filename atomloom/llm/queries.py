@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import bpe, decontaminate, line_dedup, substring_dedup, token_counts
+from atomloom.llm import bpe, decontaminate, line_dedup, simhash, substring_dedup, token_counts
 from atomloom.llm.oracles import ORACLE
 from atomloom.session import materialize
 
@@ -47,10 +47,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_simhash": op10_simhash,
 }
