@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import bpe, decontaminate, line_dedup, simhash, substring_dedup, token_counts
+from atomloom.llm import bpe, decontaminate, language_id, line_dedup, quality, simhash, substring_dedup, token_counts
 from atomloom.llm.oracles import ORACLE
 from atomloom.session import materialize
 
@@ -23,6 +23,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def grade():
+    """Grades of the labels table: 0 low quality, 1 good but toxic, 2 good; null if a label is."""
+    quality_, toxic = F.col("quality"), F.col("toxic")
+    return F.when(quality_.isNull() | toxic.isNull(), None).when(quality_ == 0, 0).when(toxic == 1, 1).otherwise(2)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), grade())
+    return quality.score(docs, model, select=2).select("doc_id", "expected_grade", "tail", "kept")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = language_id.learn(docs.where(part != 1))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "code_bits")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +73,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
+    "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
