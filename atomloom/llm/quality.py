@@ -82,7 +82,7 @@ class Ordinal:
         return 1.0 - _sigmoid(self.thresholds[None, :] - score[:, None])
 
 
-def fit(offsets: np.ndarray, buckets: np.ndarray, grade: np.ndarray, weight: np.ndarray, l1: float = 1e-4, min_rows: int = 5, steps: int = 200) -> Ordinal:
+def fit(offsets: np.ndarray, buckets: np.ndarray, grade: np.ndarray, weight: np.ndarray, l1: float = 1e-4, min_rows: int = 5, steps: int = 500) -> Ordinal:
     """Minimise the weighted loss by Adam over the whole sample; ``l1`` keeps weights of uninformative features at 0."""
     grades = sorted(set(grade.tolist()))
     y, n, size = np.searchsorted(grades, grade), len(grade), 1 << BUCKET_BITS
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, doc_id: str = "doc_id", tex
     return fit(np.concatenate(([0], np.cumsum(lens))), np.asarray(f.flatten()), grades, weight)
 
 
-def score(docs: DataFrame, model: Ordinal, select: int, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Ordinal, select: int, text: str = "text", threshold: float = 0.6) -> DataFrame:
     """``docs`` with expected_grade, tail (P(grade >= ``select``)) and kept (tail >= ``threshold``)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("kept", T.BooleanType())]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import bpe, decontaminate, language_id, line_dedup, quality, simhash, substring_dedup, token_counts
+from atomloom.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts
 from atomloom.llm.oracles import ORACLE
 from atomloom.session import materialize
 
@@ -43,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "code_bits")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +79,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
+    "op5_minhash": op5_minhash,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
