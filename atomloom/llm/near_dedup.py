@@ -122,7 +122,7 @@ def _reach(ids: np.ndarray, linked) -> list[tuple[int, int]]:
 
 def _sketch_matrix(column) -> np.ndarray:
     flat = np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten())
-    return flat.reshape(-1, SKETCH_BITS // 64)
+    return flat.reshape(-1, SKETCH_BITS // 64).view(U64)  # of signed numbers, bit counts would be those of their amounts
 
 
 def _likely(sketches: np.ndarray, x: int, rest: np.ndarray) -> np.ndarray:
