@@ -23,11 +23,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import Texts, map_texts, quoted
+from atomloom.llm.common import Texts, hashed_sample, map_texts, quoted
 
 ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_CONTEXTS, ORDER, MAX_TABLE_BYTES = 400, 64, 40_000, 3, 64 << 20
 LETTER = regex.compile(r"\p{L}").search
@@ -147,11 +147,9 @@ class Model:
 def learn(labelled: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, **options) -> Model:
     """A frozen model from a bounded sample of labelled rows."""
     rows = labelled.select(quoted(doc_id).alias("d"), quoted(lang).cast("string").alias("l"), quoted(text).alias("t")).where("l is not null and t is not null")
-    common = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).select("l")
-    rank = Window.partitionBy("l").orderBy("h")
-    # the rank needs no text: rows are picked by a hash of theirs, and their texts come by a join of the bounded pick
-    keys = rows.join(F.broadcast(common), "l", "left_semi").select("d", "l", F.xxhash64("d", "l", "t").alias("h"))
-    picked = keys.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows_per_language).select("h").distinct()
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
+    # the pick needs no text: rows are named by a hash of theirs, and the texts come by a join of the bounded pick
+    picked = hashed_sample(rows.select("l", F.xxhash64("d", "l", "t").alias("h")), "l", ["h"], sizes, rows_per_language).select("h").distinct()
     sample = rows.withColumn("h", F.xxhash64("d", "l", "t")).join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"]).select("l", "t").collect()
     by: dict[str, list[bytes]] = {}
     for r in sample:

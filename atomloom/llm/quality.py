@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import U64, Texts, Words, map_texts, mix64, quoted, separators, slices
+from atomloom.llm.common import U64, Texts, Words, hashed_sample, map_texts, mix64, quoted, separators, slices
 
 ROWS_PER_GRADE, BUCKET_BITS = 4000, 18
 WORD_SEP = separators("nonword")
@@ -129,9 +129,8 @@ def fit(offsets: np.ndarray, buckets: np.ndarray, grade: np.ndarray, weight: np.
 def train(docs: DataFrame, labels: DataFrame, grade, doc_id: str = "doc_id", text: str = "text", rows_per_grade: int = ROWS_PER_GRADE) -> Ordinal:
     """Fit on a bounded sample of ``labels`` (doc_id and a Column ``grade``, a small whole number)."""
     rated = labels.select(quoted(doc_id).alias("d"), grade.cast("int").alias("g")).where("d is not null and g is not null")
-    rank = Window.partitionBy("g").orderBy(F.xxhash64("d"), "d")
     counts = {r["g"]: r["count"] for r in rated.groupBy("g").count().collect()}
-    picked = rated.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows_per_grade).select("d", "g")
+    picked = hashed_sample(rated, "g", ["d"], counts, rows_per_grade)
 
     def run(batches):
         for batch in slices(batches, "t"):

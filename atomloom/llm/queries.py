@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts
+from atomloom.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts, warc
 from atomloom.llm.oracles import ORACLE
 from atomloom.session import materialize
 
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses_from_pages(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
+    made = warc.derive(responses, keep=("page_id",))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "block_digest", "n_links", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), size=10)
@@ -76,6 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
