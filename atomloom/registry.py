@@ -1,8 +1,16 @@
 """Query registry: name -> function of (spark, sf_dir), and name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from atomloom.plans import graph_queries, memory_queries, retrieval_queries, text_queries
+
+_ALL = (text_queries.query, graph_queries.query, retrieval_queries.query, memory_queries.query)
+QUERIES = {name: f for r in _ALL for name, f in r.queries.items()}
+ORACLE = {name: sql for r in _ALL for name, sql in r.oracle.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval for a batch of queries."""
+    return retrieval_queries.q_hybrid(spark, sf_dir)
