@@ -13,8 +13,6 @@ result column replaces an input column of the same name.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,15 +82,15 @@ def _blocks(benchmark: DataFrame, text: str, item: str, limit: int) -> list[Data
     return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", size: int = 10, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", size: int = 10, block_bytes: int = BLOCK_BYTES, clean: bool = False, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_hit (long), items (array of the item ids as strings, sorted), contaminated.
 
     With ``clean`` also clean_text: the text without the words that were hit (each run of them goes from its first byte
-    to its last; what stands between runs stays).
+    to its last; what stands between runs stays). ``prefix`` goes in front of the names.
     """
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]
+    fields = [T.StructField(prefix + "n_words", T.LongType()), T.StructField(prefix + "n_hit", T.LongType()), T.StructField(prefix + "items", T.ArrayType(T.StringType())), T.StructField(prefix + "contaminated", T.BooleanType())]
     if clean:
-        fields.append(T.StructField("clean_text", T.StringType()))
+        fields.append(T.StructField(prefix + "clean_text", T.StringType()))
     marks, found = T.StructField("__hit_marks", T.BinaryType()), T.StructField("__hit_items", T.ArrayType(T.StringType()))
     blocks, out = _blocks(benchmark, item_text, item_id, block_bytes), docs
     for k, block in enumerate(blocks):
@@ -146,13 +144,9 @@ def _cleaned(texts: Texts, words: Words, hit: np.ndarray, n_hit: np.ndarray) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with the words that were hit cut out."""
-    found = find_contamination(docs, benchmark, text, clean=remove == "spans", **options)
+    found = find_contamination(docs, benchmark, text, clean=remove == "spans", prefix="__", **options)
     if remove == "spans":
-        found = found.withColumn(text, F.when(F.col("contaminated"), F.col("clean_text")).otherwise(quoted(text)))
+        found = found.withColumn(text, F.when(F.col("__contaminated"), F.col("__clean_text")).otherwise(quoted(text)))
     else:
-        found = found.where(~F.col("contaminated"))
+        found = found.where(~F.col("__contaminated"))
     return found.select(*[quoted(c) for c in docs.columns])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -114,10 +114,10 @@ def _prober(broadcast, shards: int, min_docs: int):
     return probe
 
 
-def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_from: int | None = None, group_bytes: int = GROUP_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
+def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_from: int | None = None, group_bytes: int = GROUP_BYTES, shard_lines: int = SHARD_LINES, prefix: str = "") -> DataFrame:
     """``docs`` with the lines of keys found in ``min_docs`` documents or more taken out of ``text``.
 
-    Adds n_lines (before) and n_dropped (long). What is left is joined by newlines.
+    Adds n_lines (before) and n_dropped (long), named with ``prefix``. What is left is joined by newlines.
     """
     spark = docs.sparkSession
     counted = materialize(count_lines(docs, text, min_chars).where(F.col("docs") >= (min_docs if index_from is None else index_from)), "line-counts")
@@ -125,7 +125,7 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, m
     n_shards = max(1, -(-counted.count() // shard_lines))
     groups = _groups(arrays, group_bytes) or [[]]
     marks = T.StructField("__line_marks", T.BinaryType())
-    fields = [docs.schema[text], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    fields = [docs.schema[text], T.StructField(prefix + "n_lines", T.LongType()), T.StructField(prefix + "n_dropped", T.LongType())]
     out = docs
     for k, group in enumerate(groups):
         first, last = k == 0, k == len(groups) - 1
@@ -152,4 +152,5 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, m
             out = map_texts(out, text, fields, mark, keep=docs.columns, reads=state)
         else:
             out = materialize(map_texts(out, text, [marks], mark, reads=state), "line-marks")
-    return out.select(*[quoted(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    added = [f.name for f in fields[1:]]
+    return out.select(*[quoted(c) for c in docs.columns if c.lower() not in added], *added)

@@ -150,10 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, grade, doc_id: str = "doc_id", tex
     return fit(np.concatenate(([0], np.cumsum(lens))), np.asarray(f.flatten()), grades, weight)
 
 
-def score(docs: DataFrame, model: Ordinal, select: int, text: str = "text", threshold: float = 0.6) -> DataFrame:
-    """``docs`` with expected_grade, tail (P(grade >= ``select``)) and kept (tail >= ``threshold``)."""
+def score(docs: DataFrame, model: Ordinal, select: int, text: str = "text", threshold: float = 0.6, prefix: str = "") -> DataFrame:
+    """``docs`` with expected_grade, tail (P(grade >= ``select``)) and kept (tail >= ``threshold``), named with ``prefix``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    fields = [T.StructField(prefix + "expected_grade", T.DoubleType()), T.StructField(prefix + "tail", T.DoubleType()), T.StructField(prefix + "kept", T.BooleanType())]
 
     def run(batch):
         m, n = sent.value, batch.num_rows

@@ -19,8 +19,6 @@ than others with a null id; rows that share an id never remove each other's word
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,6 +187,3 @@ def _kept(block: Block, words: Words, cut: np.ndarray) -> pa.RecordBatch:
         out.append(b" ".join(parts))
     return pa.RecordBatch.from_arrays([block.id_array(), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-
-def digest(kept: str) -> str:
-    return hashlib.sha256(kept.encode()).hexdigest()

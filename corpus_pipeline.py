@@ -22,12 +22,12 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tail probability of the best grade is high enough; labels train the classifier."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), grade())
-    return _columns(quality.score(docs, model, select=2).where("kept"), docs)
+    return _columns(quality.score(docs, model, select=2, prefix="__").where("__kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share go; documents stay, even if nothing is left of their text."""
-    return _columns(line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1), docs)
+    return _columns(line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1, prefix="__"), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
