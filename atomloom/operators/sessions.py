@@ -92,3 +92,28 @@ def trace_rows(results: DataFrame, answers: DataFrame) -> DataFrame:
 def web_log(results: DataFrame, session: str) -> DataFrame:
     """Search results as log rows; unknown values take defaults."""
     return results.select(F.lit(session).alias("session_id"), F.coalesce("provider", F.lit("unknown")).alias("provider"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("score", F.lit(0.0)).alias("score"), preview(F.col("snippet"), 500).alias("snippet"))
+
+
+def metric_rows(messages: DataFrame, column: str = "metadata") -> DataFrame:
+    """Assistant messages that carry timings."""
+    ms = F.get_json_object(column, "$.total_time_ms").try_cast("double")
+    return messages.withColumn("total_time_ms", ms).where((F.col("role") == "assistant") & F.col("total_time_ms").isNotNull())
+
+
+def knowledge_links(fragments: DataFrame, atoms: DataFrame, ids: str = "related_ids") -> DataFrame:
+    """extracted_from edges between fragments and the atoms they name, where those exist."""
+    pairs = fragments.select(F.col("fragment_id").alias("src"), F.explode(ids).alias("atom_id")).join(atoms.select("atom_id"), "atom_id", "left_semi")
+    return pairs.select("src", F.col("atom_id").alias("dst"), F.lit("extracted_from").alias("edge_type"), F.lit(1.0).alias("weight"))
+
+
+def zipped(names: Column, results: Column) -> Column:
+    """Providers with their result lists, by position."""
+    return F.arrays_zip(names.alias("provider"), results.alias("results"))
+
+
+def semantic_context(fragments: DataFrame, most: int = 5) -> DataFrame:
+    """Each session's most important active fragments as one text of "- [type] content" lines."""
+    w = Window.partitionBy("session_id").orderBy(F.desc("importance"), "fragment_id")
+    top = fragments.where(~F.col("is_deleted")).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most)
+    lines = F.array_sort(F.collect_list(F.struct("__r", F.concat(F.lit("- ["), F.coalesce("fragment_type", F.lit("knowledge")), F.lit("] "), "content").alias("t"))))
+    return top.groupBy("session_id").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("context"))

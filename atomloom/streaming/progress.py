@@ -88,3 +88,8 @@ def known_status(live: DataFrame, stored: DataFrame, key: str = "session_id") ->
     """A session's live status, else the stored one."""
     rows = live.select(key, F.col("status").alias("a")).join(stored.select(key, F.col("status").alias("b")), key, "full_outer")
     return rows.select(key, F.coalesce("a", "b").alias("status"))
+
+
+def without_cancelled(events: DataFrame, cancelled: DataFrame, key: str = "session_id") -> DataFrame:
+    """Events of sessions that no control row cancels; ``cancelled`` is a table, ``events`` a stream or a table."""
+    return events.join(cancelled.select(key).distinct(), key, "left_anti")

@@ -164,3 +164,17 @@ def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 60
     json.dumps(entry.oracle_sql())
+
+
+def test_small_session_operators(spark):
+    m = spark.createDataFrame([("assistant", '{"total_time_ms": 5}'), ("assistant", "{}"), ("user", '{"total_time_ms": 5}')], "role string, metadata string")
+    assert [r.total_time_ms for r in sessions.metric_rows(m).collect()] == [5.0]
+    f = spark.createDataFrame([("f1", "s", "entity", "A", 0.9, False, ["a", "zz"]), ("f2", "s", None, "B", 0.8, False, []), ("f3", "s", None, "C", 0.99, True, ["a"])], "fragment_id string, session_id string, fragment_type string, content string, importance double, is_deleted boolean, related_ids array<string>")
+    assert sessions.semantic_context(f).first().context == "- [entity] A\n- [knowledge] B"
+    assert {(r.src, r.dst) for r in sessions.knowledge_links(f, spark.createDataFrame([("a",)], "atom_id string")).collect()} == {("f1", "a"), ("f3", "a")}
+    assert spark.range(1).select(sessions.zipped(F.array(F.lit("p")), F.array(F.lit(3))).alias("z")).first().z[0] == ("p", 3)
+    e = spark.createDataFrame([("a", 1), ("b", 2)], "session_id string, event_index long")
+    assert [r.session_id for r in progress.without_cancelled(e, e.where("session_id = 'a'")).collect()] == ["b"]
+    assert progress.after_cursor(e, 1).count() == 1
+    live, stored = spark.createDataFrame([("a", "planning")], "session_id string, status string"), spark.createDataFrame([("a", "idle"), ("c", "complete")], "session_id string, status string")
+    assert {tuple(r) for r in progress.known_status(live, stored).collect()} == {("a", "planning"), ("c", "complete")}
