@@ -74,10 +74,8 @@ def anchored(c: Column, original: Column) -> Column:
 
 def intent(c: Column) -> Column:
     q = strip(F.lower(c))
-    starts = F.lit(False)
-    for p in INTENTS["conversational"]:
-        starts = starts | q.startswith(p)
-    out = F.when(starts, "conversational")
+    starts = "|".join(rf"\Q{p}\E" for p in INTENTS["conversational"])
+    out = F.when(q.rlike(f"^({starts})"), "conversational")
     for name, phrases in list(INTENTS.items())[1:]:
         out = out.when(contains_any(q, phrases), name)
     return out.otherwise("explanatory")

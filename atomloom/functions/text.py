@@ -25,11 +25,8 @@ def strings(values: list[str]) -> Column:
 
 
 def contains_any(c: Column, phrases: list[str]) -> Column:
-    """Whether one of a list of literal phrases is in the text."""
-    hit = F.lit(False)
-    for p in phrases:
-        hit = hit | c.contains(p)
-    return hit
+    """Whether one of a list of literal phrases is in the text: one pattern, so ``c`` is computed once."""
+    return c.rlike("|".join(rf"\Q{p}\E" for p in phrases)) if phrases else F.lit(False)
 
 
 def collapse(c: Column) -> Column:
@@ -65,8 +62,9 @@ def snippet(c: Column, limit: int = 500) -> Column:
 
 def search_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-case words of a-z and 0-9, longer than one, that are no stopwords."""
-    stop = strings(STOPWORDS if stopwords is None else stopwords)
-    return F.filter(words_of(F.regexp_replace(F.lower(c), r"[^a-z0-9 \t\n\r\x0b\f]", " ")), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    stop = STOPWORDS if stopwords is None else stopwords
+    words = F.split(F.lower(c), r"[^a-z0-9]+")  # a set of literals is looked up by hash
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
 
 def bm25_tokens(c: Column) -> Column:

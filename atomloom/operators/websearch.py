@@ -38,7 +38,9 @@ def fuse(results: DataFrame, query: Column, as_of: Column, k: int | None = None,
     one = first_by(rows, ["norm_url"], ["provider", "pos"]).join(counts, "norm_url")
     one = one.where(~urls.blocked(F.split_part("norm_url", F.lit("/"), F.lit(1)), BLOCKED_RESULT_DOMAINS if domains is None else domains))
     doc = search_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
-    one = one.withColumn("relevance", term_score(search_tokens(query), doc)).withColumn("diversity", (F.col("provider_count") - 1) * 0.15).withColumn("recency", recency(F.col("date"), as_of))
+    # as columns, the terms are made once a row and not once for each term of the query
+    one = one.withColumns({"__doc": doc, "__query": search_tokens(query)})
+    one = one.withColumn("relevance", term_score(F.col("__query"), F.col("__doc"))).drop("__doc", "__query").withColumn("diversity", (F.col("provider_count") - 1) * 0.15).withColumn("recency", recency(F.col("date"), as_of))
     one = one.withColumn("final_score", F.col("relevance") * 0.6 + F.col("diversity") * 0.25 + F.col("recency") * 0.15)
     return one if k is None else one.orderBy(F.desc("final_score"), "norm_url").limit(k)
 

@@ -171,7 +171,8 @@ _QW = TOKENS_SQL.replace("{0}", f"'{_QUERY}'")
 def q_tf_score(spark, sf_dir):
     from atomloom.functions.text import search_tokens
 
-    return T(spark, sf_dir, "documents").select("doc_id", F.round(websearch.term_score(search_tokens(F.lit(_QUERY)), search_tokens(F.col("text"))), 6).alias("score"))
+    terms = T(spark, sf_dir, "documents").select("doc_id", search_tokens(F.lit(_QUERY)).alias("q"), search_tokens(F.col("text")).alias("d"))
+    return terms.select("doc_id", F.round(websearch.term_score(F.col("q"), F.col("d")), 6).alias("score"))
 
 
 @query(rf"""WITH {fx.RESULTS_SQL}, r AS (SELECT *, lower(split_part(split_part(regexp_replace(rtrim(url, '/'), '^https?://(www\.)?', ''), '?', 1), '#', 1)) AS norm_url FROM results),
