@@ -56,8 +56,18 @@ class Encoder:
         self._reset()
 
     def _reset(self):
+        # a pre-token's code is its place in starts and lens, which delimit its ids in flat
         self.codes: dict[str, int] = {}
-        self.code_ids: list[list[int]] = []
+        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        pieces = [t.encode("utf-8", "surrogatepass") for t in fresh]
+        found = [[r] if r >= 0 else self.merge(p) for p, r in zip(pieces, self.whole(pieces), strict=True)]
+        self.codes.update(zip(fresh, range(len(self.lens), len(self.lens) + len(fresh)), strict=True))
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
+        self.lens = np.concatenate((self.lens, lens))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))))
 
     def whole(self, pieces: list[bytes]) -> list[int]:
         """Tier one: the rank of each piece, or -1."""
@@ -92,21 +102,15 @@ class Encoder:
             self._reset()
         tokens = [self.split(x) if x else [] for x in texts]
         fresh = list(set(chain.from_iterable(tokens)) - self.codes.keys())
-        pieces = [t.encode("utf-8", "surrogatepass") for t in fresh]
-        for text, piece, r in zip(fresh, pieces, self.whole(pieces), strict=True):
-            self.codes[text] = len(self.code_ids)
-            self.code_ids.append([r] if r >= 0 else self.merge(piece))
+        self._learn(fresh)
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
         for text in fresh:
             if len(text) > LONGEST_HELD:
                 del self.codes[text]
-        lens = np.fromiter(map(len, self.code_ids), np.int64, len(self.code_ids))
-        flat = np.fromiter(chain.from_iterable(self.code_ids), np.int32, int(lens.sum()))
-        starts = np.cumsum(lens) - lens
-        size = lens[codes]
+        size = self.lens[codes]
         total = np.cumsum(size)
-        ids = flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts[codes] - (total - size), size)]
+        ids = self.flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.starts[codes] - (total - size), size)]
         words = np.concatenate(([0], np.cumsum(counts)))
         return np.concatenate(([0], total))[words], ids
 

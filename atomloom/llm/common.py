@@ -7,13 +7,12 @@ worker depends on the slice (or on one very long text), not on the partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes over bytes and over words.
@@ -30,16 +29,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers_of_two_sized(base: int, size: int) -> np.ndarray:
-    p = np.full(size, base, U64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers_of_two_sized(base & MASK64, 1 << max(16, (n - 1).bit_length() if n > 1 else 1))[:n]
+    """base**0 .. base**(n-1) modulo 2**64. One array is kept for each base, as long as the longest asked for."""
+    base &= MASK64
+    if len(_POWERS.get(base, ())) < n:
+        p = np.full(1 << max(16, (n - 1).bit_length()), base, U64)
+        p[0] = 1
+        _POWERS[base] = np.multiply.accumulate(p)
+    return _POWERS[base][:n]
 
 
 def inverse(base: int) -> int:
