@@ -91,6 +91,28 @@ def test_compare_with_next(docs, rows, none):
     assert simhash.compare_with_next(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 700])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_compare_with_next_in_slices(spark, docs, rows, limit, coalesce):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    prints = simhash.fingerprints(Texts(pa.array([r[1] for r in order])))
+    key, want = "spark.sql.adaptive.coalescePartitions.enabled", []
+    for k, (d, t, *_) in enumerate(order):
+        text, after = t or "", (k + 1) % len(order)
+        n = len(text) // 2
+        edited = text[: len(text) - n] + (order[after][1] or "")[:n]
+        changed = simhash.fingerprints(Texts(pa.array([edited])))
+        near = [float(simhash.likeness(prints[k : k + 1], x)[0]) for x in (changed, prints[after : after + 1])]
+        want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), prints[k].tobytes().hex(), changed[0].tobytes().hex(), *near))
+    before = spark.conf.get(key)
+    spark.conf.set(key, coalesce)
+    try:
+        got = [tuple(r) for r in simhash.compare_with_next(docs, limit=limit).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_within_radius_finds_all(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, (40, 32), dtype=np.uint8)
