@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,20 +107,26 @@ def unique_sources(hits: DataFrame, order: str = "pos") -> DataFrame:
     return first_by(hits, ["url"], [order])
 
 
-def decision_trace(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def decision_trace(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     """(id, type, distance) of what the deepest synthesis was made from, over synthesized_from edges; ordered by distance, id.
 
-    One round a level, each written to the shared folder; nodes seen before are left out, so cycles end.
+    Runs until no new node is reached, however deep. A round takes ``hops`` levels and is written to the shared folder;
+    nodes seen before are left out, so cycles end.
     """
-    made = edges.where("type = 'synthesized_from'").select("src", "dst").distinct()
+    made = materialize(edges.where("type = 'synthesized_from'").select("src", "dst").distinct(), "trace")
     last = nodes.where("type = 'synthesis'").orderBy(F.desc("depth"), F.desc("id")).limit(1)
     seen = front = materialize(last.select("id", F.lit(0).alias("distance")), "trace")
-    for d in range(1, most + 1):
-        front = front.select(F.col("id").alias("src")).join(made, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(d))
-        front = materialize(front, "trace")
+    for d in count(hops, hops):
+        level, levels = front, []
+        for k in range(hops):
+            level = level.select(F.col("id").alias("src")).join(made, "src").select(F.col("dst").alias("id")).distinct()
+            levels.append(level.withColumn("distance", F.lit(d - hops + k + 1)))
+        new = reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.min("distance").alias("distance")).join(seen, "id", "left_anti")
+        new = materialize(new, "trace")
+        seen = materialize(seen.unionByName(new), "trace")
+        front = new.where(F.col("distance") == d)
         if front.isEmpty():
             break
-        seen = materialize(seen.unionByName(front), "trace")
     return seen.join(nodes, "id")
 
 

@@ -68,6 +68,15 @@ def test_findings_chain(spark):
     assert [r.i for r in research.distinct_findings(f, "g", "i", "t", threshold=0.65).orderBy("i").collect()] == [0, 2]
 
 
+def test_decision_trace_of_a_deep_chain(spark):
+    """A chain of 60 syntheses with a short cut, a cycle back to its top, and a finding at its end."""
+    nodes = spark.createDataFrame([(f"s{i}", "synthesis", i) for i in range(61)] + [("f", "finding", 0), ("g", "finding", 0)], "id string, type string, depth long")
+    pairs = [(f"s{i}", f"s{i - 1}") for i in range(1, 61)] + [("s60", "s57"), ("s0", "s60"), ("s0", "f"), ("s58", "g"), ("s3", "s3")]
+    edges = spark.createDataFrame([(a, b, "synthesized_from") for a, b in pairs], "src string, dst string, type string")
+    want = {f"s{i}": 58 - i for i in range(58)} | {"s60": 0, "s59": 1, "s58": 2, "f": 59, "g": 3}
+    assert sorted((r.id, r.distance) for r in research.decision_trace(nodes, edges).collect()) == sorted(want.items())
+
+
 def test_provenance(spark):
     nodes = spark.createDataFrame([("s2", "synthesis", 2), ("s1", "synthesis", 1), ("f1", "finding", 0), ("f2", "finding", 0), ("w", "web_source", 0)], "id string, type string, depth long")
     found = spark.createDataFrame([("f1", "t", 0.5, "w", "st"), ("f2", "t", 0.5, "w", None)], "id string, content string, importance double, source_id string, step_id string")
