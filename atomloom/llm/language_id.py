@@ -7,12 +7,12 @@ context; below the empty context every byte has 1 / 256 (method C, without exclu
 shorter one at no cost. A text goes to the language with the shortest code; the score is that language's share of
 2 ** -length over all languages.
 
-For scoring, the trees are laid out as tables: a table takes the classes of the last ``order`` bytes (bytes never seen in
-training are one class) to the longest context that some language knows, and one holds the code length in each language
-of each byte after each such context. The lengths are those of the trees, exactly. Bounds: ``rows_per_language`` texts
-for each language are learned from (those with the least row hashes, so the sample is the same every time), of the
-``max_languages`` languages with the most rows; ``max_contexts`` contexts are kept (fewer if the
-table would pass MAX_TABLE_BYTES), short ones first, then the most frequent. The table's size depends on these bounds, not on the corpus.
+For scoring, the trees are laid out as tables of sorted codes: a table holds the code length, in each of its languages,
+of every gram (context and byte) that one of them has seen, and the escapes of every context; a gram that none has seen
+costs the escapes of its context and what the shorter gram costs. The lengths are those of the trees, exactly: no
+language and no context is left out. With more than ``TABLE_LANGUAGES`` languages there are several tables, so that the
+size grows with the languages and not with their square. ``rows_per_language`` texts for each language are learned from
+(those with the least row hashes, so the sample is the same every time); the tables' size depends on this sample, not on the corpus.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled text every text is
 ``und``; ties go to the language first in order; a result column replaces an input column of the same name.
@@ -29,17 +29,25 @@ from pyspark.sql import types as T
 
 from atomloom.llm.common import Texts, hashed_sample, map_texts, quoted
 
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_CONTEXTS, ORDER, MAX_TABLE_BYTES = 400, 64, 40_000, 3, 64 << 20
+ROWS_PER_LANGUAGE, ORDER, TABLE_LANGUAGES = 400, 3, 8
 LETTER = regex.compile(r"\p{L}").search
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted ``codes``, whether it is there) of each wanted code."""
+    if not len(codes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return at, codes[at] == wanted
+
+
 class Tree:
     """Counts of the contexts of one language: for k = 0..order the k+1 grams, as sorted codes with counts."""
 
     def __init__(self, texts: list[bytes], order: int = ORDER):
-        self.order, self.grams = order, []
+        self.grams, self.contexts = [], []
         arrays = [LOWER[np.frombuffer(t, np.uint8)].astype(np.int64) for t in texts]
         for k in range(order + 1):
             parts = []
@@ -49,105 +57,90 @@ class Tree:
                     for j in range(k + 1):
                         code = (code << 8) | a[j : len(a) - k + j]
                     parts.append(code)
-            self.grams.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-
-    def lengths(self, context: bytes) -> np.ndarray | None:
-        """Code lengths of all 256 bytes after ``context``; None if this language never saw it."""
-        k, codes = len(context), self.grams[len(context)]
-        low = int.from_bytes(context, "big") << 8
-        a, b = np.searchsorted(codes[0], [low, low + 256])
-        if a == b:
-            return None
-        shorter = self.shortened(context[1:]) if k else np.full(256, 8.0)
-        count = codes[1][a:b].astype(np.float64)
-        n, d = count.sum(), b - a
-        out = shorter + np.log2((n + d) / d)
-        out[codes[0][a:b] - low] = np.log2((n + d) / count)
+            codes, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            context, at, distinct = np.unique(codes >> 8, return_inverse=True, return_counts=True)
+            n = np.bincount(at, counts, len(context))
+            self.grams.append((codes, np.log2((n + distinct)[at] / counts)))
+            self.contexts.append((context, np.log2((n + distinct) / distinct)))
+
+    def escapes(self, k: int, contexts: np.ndarray) -> np.ndarray:
+        """Code lengths of the escape from each context of k bytes; 0 where this language never saw it."""
+        codes, length = self.contexts[k]
+        at, known = find(codes, contexts)
+        out = np.zeros(len(contexts))
+        out[known] = length[at[known]]
+        return out
+
+    def lengths(self, k: int, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte of each gram after its first k bytes."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for j in range(k, -1, -1):
+            codes, length = self.grams[j]
+            gram = grams[left] & ((1 << 8 * (j + 1)) - 1)
+            at, seen = find(codes, gram)
+            out[left[seen]] += length[at[seen]]
+            left, gram = left[~seen], gram[~seen]
+            out[left] += self.escapes(j, gram >> 8)
+        out[left] += 8.0
         return out
 
-    def shortened(self, context: bytes) -> np.ndarray:
-        while (found := self._held(context)) is None and context:
-            context = context[1:]
-        return found if found is not None else np.full(256, 8.0)
 
-    def _held(self, context: bytes) -> np.ndarray | None:
-        if not hasattr(self, "_memo"):
-            self._memo = {}
-        if context not in self._memo:
-            self._memo[context] = self.lengths(context)
-        return self._memo[context]
+class Table:
+    """Code lengths in a few languages of every gram that one of them has seen, and of the escapes of its contexts."""
+
+    def __init__(self, trees: list[Tree], order: int):
+        self.order, self.width, self.grams, self.contexts = order, len(trees), [], []
+        for k in range(order + 1):
+            grams = np.unique(np.concatenate([t.grams[k][0] for t in trees]))
+            contexts = np.unique(grams >> 8)
+            self.grams.append((grams, np.stack([t.lengths(k, grams) for t in trees], axis=1).astype(np.float32)))
+            self.contexts.append((contexts, np.stack([t.escapes(k, contexts) for t in trees], axis=1).astype(np.float32)))
+
+    def lengths(self, codes: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """A row for each code of the last ``order`` bytes and the byte itself, of which ``depth`` are in its text."""
+        out, left = np.zeros((len(codes), self.width), np.float32), np.zeros(0, np.int64)
+        for k in range(self.order, -1, -1):
+            left = np.concatenate((left, np.flatnonzero(depth == k)))
+            gram = codes[left] & ((1 << 8 * (k + 1)) - 1)
+            at, seen = find(self.grams[k][0], gram)
+            out[left[seen]] += self.grams[k][1][at[seen]]
+            # no language saw this byte here: those that know the context escape, all go on to the shorter one
+            left, gram = left[~seen], gram[~seen]
+            at, known = find(self.contexts[k][0], gram >> 8)
+            out[left[known]] += self.contexts[k][1][at[known]]
+        out[left] += np.float32(8)
+        return out
 
 
 class Model:
-    """Tables for scoring many texts at once."""
+    """Tables for scoring many texts at once, each of ``TABLE_LANGUAGES`` languages."""
 
-    def __init__(self, labelled: dict[str, list[bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, labelled: dict[str, list[bytes]], order: int = ORDER):
         self.order, self.languages = order, sorted(k for k, v in labelled.items() if any(v))
-        trees = [Tree(labelled[k], order) for k in self.languages]
-        seen = np.unique(np.concatenate([t.grams[0][0] for t in trees])) if trees else np.zeros(0, np.int64)
-        self.classes = len(seen) + 1  # the last class: bytes never seen
-        self.class_of = np.full(256, len(seen), np.int64)
-        self.class_of[seen] = np.arange(len(seen))
-        contexts: list[bytes] = [b""]
-        for k in range(1, order + 1):
-            total: dict[int, int] = {}
-            for t in trees:
-                codes, counts = t.grams[k]
-                ctx, at = np.unique(codes >> 8, return_inverse=True)
-                for c, n in zip(ctx.tolist(), np.bincount(at, counts).tolist(), strict=True):
-                    total[c] = total.get(c, 0) + int(n)
-            room = min(max_contexts, MAX_TABLE_BYTES // (4 * self.classes * max(1, len(trees)))) - len(contexts)
-            best = sorted(total, key=lambda c: (-total[c], c))[: max(0, room)]
-            contexts += [c.to_bytes(k, "big") for c in best]
-        index = {c: i for i, c in enumerate(contexts)}
-        pick = np.append(seen, 0).astype(np.int64)
-        self.cost = np.zeros((len(contexts), self.classes, max(1, len(trees))), np.float32)
-        unseen = next((b for b in range(256) if self.class_of[b] == len(seen)), None)
-        if unseen is not None:
-            pick[-1] = unseen
-        for i, c in enumerate(contexts):
-            for j, t in enumerate(trees):
-                self.cost[i, :, j] = t.shortened(c)[pick]
-        self.cost = self.cost.reshape(len(contexts) * self.classes, -1)
-        # the longest known suffix of each combination of classes
-        k = self.classes
-        table = np.zeros(1, np.int32)
-        for n in range(1, order + 1):
-            table = np.tile(table, k)  # one more byte in front: at first the suffix without it
-            for c in contexts:
-                if len(c) == n:
-                    at = 0
-                    for b in c:
-                        at = at * k + int(self.class_of[b])
-                    table[at] = index[c]
-        self.table = table
+        self.tables = [Table([Tree(labelled[k], order) for k in self.languages[at : at + TABLE_LANGUAGES]], order) for at in range(0, len(self.languages), TABLE_LANGUAGES)]
 
     def lengths(self, texts: Texts) -> np.ndarray:
         """Code length in bits of each text in each language."""
-        data, k = self.class_of[LOWER[texts.bytes]], self.classes
-        n = len(data)
+        codes = LOWER[texts.bytes].astype(np.int64)
+        n = len(codes)
         out = np.zeros((len(texts), len(self.languages)))
         if not n:
             return out
-        first = np.repeat(texts.offsets[:-1], np.diff(texts.offsets))
-        depth = np.arange(n) - first
-        state = np.zeros(n, np.int64)
-        for j in range(self.order, 0, -1):
-            # a position fewer than j bytes into its text has an unseen class there, so its context is shorter
-            prev = np.full(n, k - 1, np.int64)
-            prev[j:] = data[:-j]
-            prev[depth < j] = k - 1
-            state = state * k + prev
-        cost = self.cost[self.table[state].astype(np.int64) * k + data]
+        depth = np.minimum(np.arange(n) - np.repeat(texts.offsets[:-1], np.diff(texts.offsets)), self.order)
+        data = codes.copy()
+        for j in range(1, self.order + 1):
+            codes[j:] |= data[:-j] << (8 * j)
         filled = np.flatnonzero(np.diff(texts.offsets) > 0)
-        out[filled] = np.add.reduceat(cost, texts.offsets[:-1][filled], axis=0, dtype=np.float64)
+        for k, table in enumerate(self.tables):
+            a = k * TABLE_LANGUAGES
+            out[filled, a : a + table.width] = np.add.reduceat(table.lengths(codes, depth), texts.offsets[:-1][filled], axis=0, dtype=np.float64)
         return out
 
 
-def learn(labelled: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, **options) -> Model:
+def learn(labelled: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, **options) -> Model:
     """A frozen model from a bounded sample of labelled rows."""
     rows = labelled.select(quoted(doc_id).alias("d"), quoted(lang).cast("string").alias("l"), quoted(text).alias("t")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     # the pick needs no text: rows are named by a hash of theirs, and the texts come by a join of the bounded pick
     picked = hashed_sample(rows.select("l", F.xxhash64("d", "l", "t").alias("h")), "l", ["h"], sizes, rows_per_language).select("h").distinct()
     sample = rows.withColumn("h", F.xxhash64("d", "l", "t")).join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"]).select("l", "t").collect()

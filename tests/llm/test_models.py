@@ -164,6 +164,28 @@ def test_language_code_lengths():
         assert np.allclose(row, [plain_length(t.encode(), learned[k], 3) for k in model.languages], rtol=1e-4, atol=1e-3)
 
 
+def test_language_model_leaves_nothing_out():
+    """200 byte classes and 70 languages with rare contexts: every code length is that of the language's tree."""
+    rng = np.random.default_rng(3)
+    learned = {f"l{k:02}": [bytes(rng.integers(30 + k, 230, 300, dtype=np.uint8))] for k in range(70)}
+    model = language_id.Model(learned)
+    assert model.languages == sorted(learned)
+    texts = ["plain text", "Ünï", *(learned[k][0].decode("latin-1")[:40] for k in ("l00", "l69"))]
+    got = model.lengths(Texts(pa.array(texts)))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, [plain_length(t.encode(), learned[k], 3) for k in model.languages], rtol=1e-4, atol=1e-3)
+    # what is learned once is known again to its full depth, in each language
+    texts = [f"{k} x{k * k} y{k}z" for k in range(70)]
+    model = language_id.Model({f"l{k:02}": [t.encode()] * 2 for k, t in enumerate(texts)})
+    assert np.argmin(model.lengths(Texts(pa.array(texts))), axis=1).tolist() == list(range(70))
+
+
+def test_more_languages_than_64(spark):
+    rows = [(100 * k + i, chr(0x4E00 + 40 * k + i % 3) * 5 + chr(0x4E00 + 40 * k + 7), f"l{k:02}") for k in range(70) for i in range(6 if k < 64 else 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.identify(d, language_id.learn(d)).where("lang <> lang_pred").count() == 0
+
+
 def test_language_id(spark, sf_dir, docs, none):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.learn(d.where("doc_id % 3 <> 1"), rows_per_language=40)
