@@ -224,10 +224,10 @@ def betweenness(nodes: list, edges: list[tuple]) -> dict:
     return {v: t / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, t in total.items()}
 
 
-def structural(edges: DataFrame, nodes: DataFrame, most: int = 500) -> DataFrame:
+def structural(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, node, degree, betweenness, structural): .6 degree + .4 betweenness in the graph of a query's candidates.
 
-    Candidates are the few that retrieval left for a query; over ``most`` of them betweenness counts as 0.
+    Candidates are the few that retrieval left for a query; one task takes all of a query's, in time candidates x edges.
     """
     e = induced(edges, nodes)
     d = degree_centrality(edges, nodes)
@@ -240,7 +240,7 @@ def structural(edges: DataFrame, nodes: DataFrame, most: int = 500) -> DataFrame
         degree = {x: v for x, y, v in zip(a, b, w, strict=True) if y is None}
         inner = sorted((x, y, v) for x, y, v in zip(a, b, w, strict=True) if y is not None)
         names = sorted(degree)
-        between = betweenness(names, inner) if len(names) <= most else dict.fromkeys(names, 0.0)
+        between = betweenness(names, inner)
         return pa.table({"query_id": pa.array([q[0]] * len(names), table.schema.field("query_id").type), "node": pa.array(names, table.schema.field("a").type), "degree": [degree[x] for x in names], "betweenness": [between[x] for x in names]})
 
     out = rows.groupBy("query_id").applyInArrow(run, f"query_id {qkind}, node {kind}, degree double, betweenness double")

@@ -85,6 +85,13 @@ def test_knn_in_blocks(spark):
     assert vector.knn(items.limit(0)).count() == 0
 
 
+def test_betweenness_of_many_candidates(spark):
+    """A star of 520 leaves: every shortest path goes through its centre."""
+    e = spark.createDataFrame([(0, i, "NEXT", 1.0) for i in range(1, 521)], "src long, dst long, edge_type string, weight double")
+    got = {r.node: r.betweenness for r in graph.structural(e, spark.createDataFrame([(1, i) for i in range(521)], "query_id long, node long")).collect()}
+    assert len(got) == 521 and got[0] == pytest.approx(1.0) and not any(got[i] for i in range(1, 521))
+
+
 def test_pooling(spark):
     df = spark.createDataFrame([(1, [3.0, 0.0]), (1, [0.0, 4.0]), (2, None)], "video_id long, embedding array<float>")
     got = {r.video_id: r.embedding for r in vector.pooled(df, size=3).collect()}
