@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
-#: Odd multipliers of the polynomial hashes over bytes and over words.
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Odd multipliers of the hashes over bytes and over words.
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Places in a word whose byte values are kept in a table.
+PLACES = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -29,29 +31,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def placed_bytes(key: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each place * 256 + byte."""
+    return mix64((key.astype(U64) + U64(1)) * U64(BYTE_BASE))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64. One array is kept for each base, as long as the longest asked for."""
-    base &= MASK64
-    if len(_POWERS.get(base, ())) < n:
-        p = np.full(1 << max(16, (n - 1).bit_length()), base, U64)
-        p[0] = 1
-        _POWERS[base] = np.multiply.accumulate(p)
-    return _POWERS[base][:n]
+NEAR_BYTES = placed_bytes(np.arange(PLACES * 256))
+FOLD = np.arange(256, dtype=np.int64)
+FOLD[65:91] += 32
 
 
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+def word_hashes(data: np.ndarray, size: np.ndarray, lower: bool) -> np.ndarray:
+    """64 bits for each of the words that ``data`` holds one after the other; with ``lower`` A-Z count as a-z.
 
-
-def byte_values(lower: bool) -> np.ndarray:
-    """A 64-bit value for each byte; with ``lower`` A-Z share those of a-z."""
-    table = mix64(np.arange(1, 257, dtype=U64) * U64(BYTE_BASE))
-    if lower:
-        table[65:91] = table[97:123]
-    return table
+    Each place of a word has its own value for each byte, drawn apart from all others; a word's hash is their sum, mixed
+    with its length. No pattern of bytes makes two words meet more often than chance does.
+    """
+    if not len(size):
+        return np.zeros(0, U64)
+    first = np.cumsum(size) - size
+    key = np.arange(len(data)) - np.repeat(first, size)
+    far = np.flatnonzero(key >= PLACES) if int(size.max()) > PLACES else None
+    key <<= 8
+    key |= FOLD[data] if lower else data
+    if far is None:
+        value = NEAR_BYTES[key]
+    else:
+        value = NEAR_BYTES[np.minimum(key, len(NEAR_BYTES) - 1)]
+        value[far] = placed_bytes(key[far])
+    return mix64(np.add.reduceat(value, first) + size.astype(U64) * U64(WORD_BASE))
 
 
 def separators(pattern: str) -> np.ndarray:
@@ -108,25 +116,34 @@ class Words:
             ends[last] |= inside[last]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.bounds = np.searchsorted(self.start, off)
-        n = len(data)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(byte_values(lower)[data] * powers(BYTE_BASE, max(n, 1))[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * powers(inverse(BYTE_BASE), max(n, 1))[self.start] if n else np.zeros(0, U64)
-        self.hash = mix64(h + (self.end - self.start).astype(U64) * U64(WORD_BASE))
+        self.hash = word_hashes(data[inside], self.end - self.start, lower)
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
 
-def window_hashes(words: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:
-    """Hash of the ``size`` words from each position on; the last size-1 positions have none."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a sequence whose first part has hash a and whose second has hash b."""
+    return mix64(a * U64(WORD_BASE) + b)
+
+
+def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hash of the ``size`` words from each position on; the last size-1 positions have none.
+
+    Hashes of 1, 2, 4, ... words are joined pairwise, and a window is joined from those that make up its size.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * powers(base, len(words)), out=total[1:])
-    return mix64((total[size:] - total[:-size]) * powers(inverse(base), n) + U64(size))
+    part, span, done, out = mix64(words + U64(seed)) if seed else words, 1, 0, None
+    while True:
+        if size >> (span.bit_length() - 1) & 1:
+            piece = part[done : done + n]
+            out, done = piece if out is None else joined(out, piece), done + span
+        if 2 * span > size:
+            return mix64(out + U64(size))
+        part, span = joined(part[:-span], part[span:]), 2 * span
 
 
 def window_starts(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.llm.blocks import BLOCK_BYTES, Block, answers_by_block, delta16, joined_bits, pack, rows_of, undelta16
-from atomloom.llm.common import U64, WORD_BASE_2, Words, separators, window_hashes, window_starts
+from atomloom.llm.common import U64, Words, separators, window_hashes, window_starts
 from atomloom.session import materialize
 
 SHARD_WINDOWS, PRINT_BITS, DEPTH = 2 << 20, 27, 2
@@ -40,7 +40,7 @@ class Windows:
         self.words = Words(block.texts, SEP, False)
         self.start, self.doc = window_starts(self.words.bounds, size)
         self.hash = window_hashes(self.words.hash, size)[self.start]
-        other = window_hashes(self.words.hash, size, WORD_BASE_2)[self.start]
+        other = window_hashes(self.words.hash, size, seed=1)[self.start]
         self.shard = ((other >> U64(32)) % U64(shards)).astype(np.int64)
         key = (self.shard << PRINT_BITS) | (other & U64((1 << PRINT_BITS) - 1)).astype(np.int64)
         self.keys, self.at, self.times = np.unique(key, return_inverse=True, return_counts=True)

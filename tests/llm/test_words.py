@@ -35,6 +35,49 @@ def test_words_are_those_of_the_pattern(texts):
     assert len(set(named.values())) == len(named)
 
 
+def plain_word_hash(word: bytes) -> int:
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    total = sum(mix((256 * k + b + 1) * common.BYTE_BASE % 2**64) for k, b in enumerate(word))
+    return mix((total + len(word) * common.WORD_BASE) % 2**64)
+
+
+def test_word_hashes_place_by_place():
+    import pyarrow as pa
+
+    found = ["a", "abc", "x" * 64, "y" * 65, "né" * 100, "日本"]
+    words = common.Words(common.Texts(pa.array([" ".join(found), "ABC Z" + "q" * 300])), common.separators("space"), True)
+    assert words.hash.tolist() == [plain_word_hash(w.encode()) for w in [*found, "abc", "z" + "q" * 300]]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 10, 13, 16, 31])
+def test_window_hashes_tell_windows_apart(size):
+    words = common.mix64(np.random.default_rng(size).integers(0, 2, 3000).astype(np.uint64))
+    named = {}
+    for k, h in enumerate(common.window_hashes(words, size).tolist()):
+        assert named.setdefault(words[k : k + size].tobytes(), h) == h
+    assert len(set(named.values())) == len(named)
+    assert len(common.window_hashes(words[: size - 1], size)) == 0
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    """2**n letters; polynomial hashes modulo 2**64 give it and its complement the same value from n = 10 on."""
+    return "".join((a, b)[k.bit_count() & 1] for k in range(2**n))
+
+
+def test_words_that_meet_in_polynomial_hashes(spark):
+    one, two = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    rest = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {rest}"), (4, f"{two} {rest}")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_groups(df.where("doc_id < 3"), shingle=2).collect()} == {(1, 1), (2, 2)}
+    assert {r.n_removed for r in substring_dedup.remove_repeats(df, size=13).collect()} == {0}
+
+
 def line_truth(rows, least):
     keys = [[x.strip(" \t\n\r\x0b\x0c").translate(LOWER) for x in (t or "").split("\n")] for _, t, *_ in rows]
     found = Counter(k for ks in keys for k in set(ks) if k)
