@@ -3,7 +3,8 @@
 Method: two-tier lookup. Tier one resolves whole pre-tokens that are in the vocabulary by a minimal perfect hash (index,
 then a comparison of the token's bytes). Tier two merges the others: the bytes of a pre-token are linked nodes, and a
 heap holds the mergeable neighbours by (rank, position), so the lowest rank, leftmost, merges first. Each worker keeps
-the codes of ``HELD`` pre-tokens at most.
+the codes of about ``HELD`` pre-tokens and ``HELD_IDS`` ids at most; those of pre-tokens longer than ``LONGEST_HELD`` go
+with their batch.
 
 The vocabulary file (lines of base64 token and rank) is read on the driver and broadcast; its size is that of the
 vocabulary and is checked against ``MAX_VOCABULARY_BYTES``. Defined cases: null and empty texts have no ids; special
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from atomloom.llm.common import PerfectHash, map_texts, quoted
 
-HELD, LONGEST_HELD, MAX_VOCABULARY_BYTES = 300_000, 200, 64 << 20
+HELD, HELD_IDS, LONGEST_HELD, MAX_VOCABULARY_BYTES = 300_000, 4 << 20, 200, 64 << 20
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -61,6 +62,8 @@ class Encoder:
         self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
+        if not fresh:
+            return
         pieces = [t.encode("utf-8", "surrogatepass") for t in fresh]
         found = [[r] if r >= 0 else self.merge(p) for p, r in zip(pieces, self.whole(pieces), strict=True)]
         self.codes.update(zip(fresh, range(len(self.lens), len(self.lens) + len(fresh)), strict=True))
@@ -98,20 +101,24 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of texts."""
-        if len(self.codes) > HELD:
+        if len(self.codes) > HELD or len(self.flat) > HELD_IDS:
             self._reset()
         tokens = [self.split(x) if x else [] for x in texts]
-        fresh = list(set(chain.from_iterable(tokens)) - self.codes.keys())
-        self._learn(fresh)
+        fresh = set(chain.from_iterable(tokens)) - self.codes.keys()
+        long = [t for t in fresh if len(t) > LONGEST_HELD]
+        self._learn(list(fresh.difference(long)))
+        kept, kept_ids = len(self.lens), len(self.flat)
+        self._learn(long)
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
-        for text in fresh:
-            if len(text) > LONGEST_HELD:
-                del self.codes[text]
         size = self.lens[codes]
         total = np.cumsum(size)
         ids = self.flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.starts[codes] - (total - size), size)]
         words = np.concatenate(([0], np.cumsum(counts)))
+        if long:
+            for text in long:
+                del self.codes[text]
+            self.starts, self.lens, self.flat = self.starts[:kept].copy(), self.lens[:kept].copy(), self.flat[:kept_ids].copy()
         return np.concatenate(([0], total))[words], ids
 
 
