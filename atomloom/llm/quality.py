@@ -9,7 +9,8 @@ The fit takes at most ``rows_per_grade`` labelled rows of each grade (those with
 time), weighted back to the grades' true shares; features are made on the executors, the convex loss is minimised on the
 driver, whose memory depends on that bound. Features found in fewer than ``min_rows`` rows keep weight 0.
 
-Defined cases: a label row with a null is left out; several label rows of a document all count; null and empty texts
+Defined cases: a label row with a null is left out; several label rows of a document all count (equal ones as one row of
+the sample with their number as its weight); null and empty texts
 have level features only and are scored like others; without any labels everything has tail probability 1; grades that
 no label shows have probability 0; a result column replaces an input column of the same name.
 """
@@ -129,24 +130,27 @@ def fit(offsets: np.ndarray, buckets: np.ndarray, grade: np.ndarray, weight: np.
 def train(docs: DataFrame, labels: DataFrame, grade, doc_id: str = "doc_id", text: str = "text", rows_per_grade: int = ROWS_PER_GRADE) -> Ordinal:
     """Fit on a bounded sample of ``labels`` (doc_id and a Column ``grade``, a small whole number)."""
     rated = labels.select(quoted(doc_id).alias("d"), grade.cast("int").alias("g")).where("d is not null and g is not null")
-    counts = {r["g"]: r["count"] for r in rated.groupBy("g").count().collect()}
-    picked = hashed_sample(rated, "g", ["d"], counts, rows_per_grade)
+    # label rows that repeat are one row with a weight, so that no document fills the sample
+    rated = rated.groupBy("d", "g").agg(F.count(F.lit(1)).alias("n"))
+    found = rated.groupBy("g").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("rows")).collect()
+    picked = hashed_sample(rated, "g", ["d"], {r["g"]: r["pairs"] for r in found}, rows_per_grade)
 
     def run(batches):
         for batch in slices(batches, "t"):
             offsets, buckets = features(Texts(batch.column("t")))
-            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets))], names=["g", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets))], names=["g", "n", "f"])
 
     # picked has rows_per_grade rows for each grade at most
-    sample = docs.select(quoted(doc_id).alias("d"), quoted(text).alias("t")).join(F.broadcast(picked), "d").select("g", "t")
-    rows = sample.mapInArrow(run, "g int, f array<int>").toArrow().combine_chunks()
+    sample = docs.select(quoted(doc_id).alias("d"), quoted(text).alias("t")).join(F.broadcast(picked), "d").select("g", "n", "t")
+    rows = sample.mapInArrow(run, "g int, n long, f array<int>").toArrow().combine_chunks()
     if not rows.num_rows:
         return Ordinal([], np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(0))
-    g = rows.column("g").combine_chunks() if isinstance(rows.column("g"), pa.ChunkedArray) else rows.column("g")
-    f = rows.column("f").combine_chunks() if isinstance(rows.column("f"), pa.ChunkedArray) else rows.column("f")
-    grades, lens = np.asarray(g), np.diff(np.asarray(f.offsets))
-    taken = dict(zip(*np.unique(grades, return_counts=True), strict=True))
-    weight = np.array([counts[int(k)] / taken[k] for k in grades], np.float64)
+    g, n, f = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns)
+    grades, times, lens = np.asarray(g), np.asarray(n).astype(np.float64), np.diff(np.asarray(f.offsets))
+    # each grade weighs as much as all its label rows
+    taken = {k: times[grades == k].sum() for k in np.unique(grades).tolist()}
+    true = {r["g"]: r["rows"] for r in found}
+    weight = times * np.array([true[k] / taken[k] for k in grades.tolist()])
     return fit(np.concatenate(([0], np.cumsum(lens))), np.asarray(f.flatten()), grades, weight)
 
 

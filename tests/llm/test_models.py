@@ -38,6 +38,26 @@ def test_encode_decode(docs, rows, none):
     assert bpe.encode(none, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_pieces_are_not_kept():
+    own = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    own.encode_batch(["some words stay"])
+    before = own.flat.nbytes, own.lens.nbytes, len(own.codes)
+    for k in range(12):
+        text = chr(0x4E00 + k) * 3000 + "a" * (201 + k)
+        offsets, ids = own.encode_batch([text, "some words stay", text])
+        assert ids[: offsets[1]].tolist() == ids[offsets[2] :].tolist() == TIKTOKEN.encode_ordinary(text)
+        assert (own.flat.nbytes, own.lens.nbytes, len(own.codes)) == before
+
+
+def test_held_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_IDS", 500)
+    own = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    for k in range(30):
+        text = " ".join(f"zq{k}x{j}" for j in range(40))
+        assert own.encode_batch([text])[1].tolist() == TIKTOKEN.encode_ordinary(text)
+        assert len(own.flat) <= 500 + 40 * 12
+
+
 def test_decode_of_nulls_and_unknown_ids(spark):
     df = spark.createDataFrame([(1, [40, None, 99_999_999, -1]), (2, None), (3, [])], "k int, ids array<int>")
     assert [bytes(r.decoded) for r in bpe.decode(df, PATH).orderBy("k").collect()] == [TIKTOKEN.decode_bytes([40]), b"", b""]
@@ -218,6 +238,55 @@ def test_quality(spark, docs, none):
     assert quality.score(d, one, select=2).where("kept").count() == 0
 
 
+def ordinal_loss(model, rows, grade, weight, l1):
+    """The penalised loss, term by term."""
+    total = 0.0
+    for own, g, w in zip(rows, grade, weight, strict=True):
+        score = sum(float(model.weights[b]) for b in own)
+        at = [-math.inf, *model.thresholds, math.inf]
+        k = model.grades.index(g)
+        below = [0.0 if t == -math.inf else 1.0 if t == math.inf else 1 / (1 + math.exp(score - t)) for t in at]
+        total -= w * math.log(below[k + 1] - below[k])
+    return total / sum(weight) + l1 * sum(abs(float(w)) for w in model.weights[model.weights != 0])
+
+
+def test_ordinal_fit_is_at_the_optimum():
+    rng = np.random.default_rng(5)
+    rows, grade = [], []
+    for _ in range(300):
+        own = [b for b in (3, 8, 11) if rng.random() < 0.5]
+        rows.append(own)
+        grade.append(int(np.searchsorted([-0.5, 1.0], (1.5 if 3 in own else 0) - (1 if 8 in own else 0) + rng.logistic())))
+    weight = rng.choice([1.0, 3.0], 300)
+    offsets, buckets = np.cumsum([0, *map(len, rows)]), np.concatenate([np.array(x, np.int32) for x in rows])
+    l1 = 1e-3
+    model = quality.fit(offsets, buckets, np.array(grade), weight, l1=l1, steps=2000)
+    best = ordinal_loss(model, rows, grade, weight, l1)
+    assert model.weights[3] > 0.5 > -0.3 > model.weights[8] and (np.diff(model.thresholds) > 0).all()
+    for k in (3, 8, 11):
+        for step in (-0.05, 0.05):
+            moved = model.weights.copy()
+            moved[k] += step
+            assert ordinal_loss(quality.Ordinal(model.grades, moved, model.thresholds), rows, grade, weight, l1) > best
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert ordinal_loss(quality.Ordinal(model.grades, model.weights, moved), rows, grade, weight, l1) > best
+    tails = model.tails(offsets, buckets)
+    for own, row in zip(rows, tails, strict=True):
+        score = sum(float(model.weights[b]) for b in own)
+        assert np.allclose(row, [1 / (1 + math.exp(t - score)) for t in model.thresholds])
+
+
+def test_repeated_labels_weigh_but_do_not_fill_the_sample(spark):
+    d = spark.createDataFrame([(i, f"fine text {i}" if i % 2 else f"bad text {i}") for i in range(80)], "doc_id long, text string")
+    once = [(i, i % 2) for i in range(80)]
+    labels = spark.createDataFrame(once + [(0, 0)] * 500 + [(1, 1)] * 500, "doc_id long, grade int")
+    model = quality.train(d, labels, F.col("grade"), rows_per_grade=40)
+    assert quality.score(d, model, select=1, threshold=0.5).where("kept = (doc_id % 2 = 1)").count() == 80
+
+
 PAGE = "<html><head><title>A &amp; B</title><style>x</style></head><body><!-- no --><script>var a='<p>';</script><p>One <b>two</b></p><ul><li><a href='/x?a=1&amp;b=2'>link</a></li></ul>&eacute; &lt;</body></html>"
 
 
