@@ -134,6 +134,28 @@ def test_decontamination(spark, docs, rows, block_bytes):
     assert spans[7] == "" and base[0] in spans[1] and base[11] not in spans[1].split()
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch, rows):
+    import pyarrow as pa
+
+    whole = common.window_hashes
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda words, n: whole(words, n) % np.uint64(3))
+    items = [("b", "one two three four"), ("a", "two three four five"), ("c", "one two"), ("a", "two three four five")]
+    windows = decontaminate.WindowSet([(i, t.encode()) for i, t in items], 3)
+    texts = ["x two three four y", "one two", "three four five six one", "", "ONE-two"]
+    hit, words, found = windows.find(common.Texts(pa.array(texts)))
+    assert found == [["a", "b"], ["c"], ["a"], [], ["c"]]
+    assert [hit[a:b].tolist() for a, b in zip(words.bounds, words.bounds[1:], strict=False)] == [[False, True, True, True, False], [True, True], [True, True, True, False, False], [], [True, True]]
+
+
+def test_window_set_keeps_a_few_bytes_for_each_of_its_items():
+    import pickle
+    import random
+
+    rng = random.Random(2)
+    items = [(str(k), " ".join(f"w{rng.randrange(10**6)}" for _ in range(100)).encode()) for k in range(1500)]
+    assert len(pickle.dumps(decontaminate.WindowSet(items, 10))) < 10 * sum(len(t) for _, t in items)
+
+
 def test_decontamination_of_and_by_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.find_contamination(docs, bench).where("contaminated").count()
