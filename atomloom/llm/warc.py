@@ -7,18 +7,26 @@ status line and header, its digests as given and as computed, the title and the
 response's id, so a task that runs again makes the same records. Each record comes with its fields and with ``warc``,
 its bytes as one gzip member: members in any order are a WARC file. ``parse`` reads such bytes back.
 
-Payloads with chunked transfer or gzip/deflate coding are decoded first; what can't be decoded counts as it stands, with
-``problem`` set in the metadata. Plain text: script, style, template, noscript, head and comments go, block elements
-break lines, entities are resolved, white space collapses, empty lines go.
+Payloads with chunked transfer or gzip/deflate coding are decoded first. What can't be decoded (broken, of a coding that
+isn't known, or of more than ``MOST_PAYLOAD`` bytes when decoded) counts as it stands, gives no conversion record and has
+``problem`` in the metadata. Plain text: script, style, template, noscript, head and comments go, block elements break
+lines, entities are resolved, white space collapses, empty lines go. Pages are read in one go whatever they hold: "<"
+without an end, tags that never close and numbers without end take time in proportion to their length.
+
+``read_responses`` takes whole files (binaryFile rows, below 2 GB each) and ``stream_responses`` gzipped files of any
+size, which Spark unpacks as it reads; both hold one record at a time. A record with a bad length, a file that ends inside
+a record, bytes that are no record and broken gzip are rows with ``problem`` set, and reading goes on at the next record.
 
 Defined cases: a null block is an empty message (metadata only); a null id is derived from URI, date and block; a null
-URI or date is an empty field; no Content-Type counts as HTML if the payload starts with "<"; an empty table gives none.
-Everything is record by record: there is no shuffle.
+URI or date is an empty field; line breaks in header values become spaces; no Content-Type counts as HTML if the payload
+starts with "<"; an unknown charset, or one that isn't made for text, is read as UTF-8; a record field takes the place of
+a kept column of the same name; an empty table gives none. Everything is record by record: there is no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -27,7 +35,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.llm.common import quoted, slices
@@ -36,13 +44,34 @@ RECORD = "source_id string, record_type string, record_id string, refers_to stri
 #: Fixed values of HTML: elements that are dropped with their content, and elements that break lines.
 DROPPED = "script|style|template|noscript|head|svg"
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
-_COMMENT = re.compile(r"<!--.*?(?:-->|$)", re.S)
-_DROPPED = re.compile(rf"<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_DROPPED = re.compile(rf"<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(rf"</?(?:{BREAKING})\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title", re.I)
+_LINK = re.compile(r"<a\b[^>]*>", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"&#(?:[xX]([0-9a-fA-F]{9,})|([0-9]{9,}));?")
+#: Python codecs that aren't character sets of pages.
+NOT_CHARSETS = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "utf_7", "mbcs", "oem"}
+MOST_PAYLOAD, MOST_HEADER, CHUNK = 256 << 20, 1 << 20, 1 << 20
+
+
+def unescaped(text: str) -> str:
+    """Entities resolved; numbers too long for a character count as the replacement character."""
+
+    def short(m: re.Match) -> str:
+        number = (m[1] or m[2]).lstrip("0") or "0"
+        return "�" if len(number) > 8 else f"&#{'x' if m[1] else ''}{number};"
+
+    return html.unescape(_NUMBER.sub(short, text) if "&#" in text else text)
+
+
+def without(pattern: re.Pattern, by: str, page: str) -> str:
+    """``page`` with tags replaced. One that never ends does so at the end of the page, so that looking for it is linear."""
+    out = pattern.sub(by, page + "\0>\0")
+    return out.removesuffix("\0>\0") if out.endswith("\0>\0") else out.removesuffix("\0")
 
 
 def digest(data: bytes) -> str:
@@ -54,14 +83,20 @@ def derived_id(source: str, kind: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    page = _DROPPED.sub(" ", _COMMENT.sub(" ", page))
-    page = html.unescape(_TAG.sub("", _BREAK.sub("\n", page)))
-    lines = (_SPACE.sub(" ", x).strip() for x in page.split("\n"))
+    page = without(_BREAK, "\n", without(_DROPPED, " ", _COMMENT.sub(" ", page)))
+    lines = (_SPACE.sub(" ", x).strip() for x in unescaped(without(_TAG, "", page)).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def outlinks(page: str) -> list[str]:
-    return [html.unescape(x.strip("\"'")) for x in _HREF.findall(page)]
+    found = (_HREF.search(m[0]) for m in _LINK.finditer(page + ">"))
+    return [unescaped(x[1].strip("\"'")) for x in found if x]
+
+
+def title(page: str) -> str:
+    begin = _TITLE.search(page[: page.rfind(">") + 1])
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return _SPACE.sub(" ", unescaped(page[begin.end() : end.start()])).strip() if end else ""
 
 
 def split_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -74,48 +109,177 @@ def split_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def _dechunked(body: bytes) -> bytes:
-    out = []
-    while body:
-        size, _, body = body.partition(b"\r\n")
-        n = int(size.split(b";")[0], 16)
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at, at + 1024)
+        if end < 0:
+            raise ValueError("no chunk size")
+        n = int(body[at:end].split(b";")[0], 16)
+        if n < 0:
+            raise ValueError("negative chunk size")
         if n == 0:
             break
-        out.append(body[:n])
-        body = body[n + 2 :]
+        if end + 2 + n > len(body):
+            raise ValueError("cut chunk")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def inflated(body: bytes, wbits: int, most: int = MOST_PAYLOAD) -> bytes:
+    """The members of ``body`` unpacked; a ValueError beyond ``most`` bytes or if the last is cut."""
+    out, size = [], 0
+    while body:
+        one = zlib.decompressobj(wbits)
+        out.append(one.decompress(body, most + 1 - size))
+        size += len(out[-1])
+        if size > most:
+            raise ValueError("too large")
+        if not one.eof:
+            raise ValueError("cut")
+        body = one.unused_data if wbits == 31 and one.unused_data[:2] == b"\x1f\x8b" else b""
     return b"".join(out)
 
 
-def decoded_payload(fields: list[tuple[str, str]], body: bytes) -> tuple[bytes, str]:
-    """(payload, problem): without transfer and content coding."""
+def decoded_payload(fields: list[tuple[str, str]], body: bytes, most: int = MOST_PAYLOAD) -> tuple[bytes, str]:
+    """(payload, problem): without transfer and content coding, or as sent with what is wrong with it."""
     by = {k.lower(): v.lower() for k, v in fields}
+    coding = by.get("content-encoding", "").strip()
     try:
-        if "chunked" in by.get("transfer-encoding", ""):
-            body = _dechunked(body)
-        if "gzip" in by.get("content-encoding", ""):
-            body = gzip.decompress(body)
-        elif "deflate" in by.get("content-encoding", ""):
-            body = zlib.decompress(body, -15 if body[:1] != b"\x78" else 15)
-    except (ValueError, OSError, EOFError, zlib.error) as e:
-        return body, f"{type(e).__name__}: payload coding"
-    return body, ""
+        out = _dechunked(body) if "chunked" in by.get("transfer-encoding", "") else body
+        if coding in ("gzip", "x-gzip"):
+            out = inflated(out, 31, most)
+        elif coding == "deflate":
+            out = inflated(out, 15 if out[:1] == b"\x78" else -15, most)
+        elif coding not in ("", "identity"):
+            return body, f"payload coding: {coding[:40]} is not known"
+    except (ValueError, zlib.error) as e:
+        return body, f"payload coding: {e}"
+    return out, ""
+
+
+def decoded_text(payload: bytes, charset: str | None) -> str:
+    try:
+        name = codecs.lookup(charset or "utf-8").name.replace("-", "_")
+        return payload.decode("utf-8" if name in NOT_CHARSETS else name, "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
 
 
 def record_bytes(header: dict[str, str], block: bytes) -> bytes:
-    lines = "".join(f"{k}: {v}\r\n" for k, v in header.items())
-    return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n", 6, mtime=0)
+    lines = "".join(f"{k}: {_SPACE.sub(' ', v)}\r\n" for k, v in header.items())
+    return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n", 6, mtime=0)
+
+
+class Reader:
+    """Records out of WARC bytes that come piece by piece: (header, block, problem); ``wanted`` types keep their block."""
+
+    def __init__(self, wanted: tuple[str, ...] | None = None):
+        self.wanted, self.held, self.header, self.size, self.looked, self.lost = wanted, bytearray(), None, 0, 0, False
+
+    def _fail(self, header: dict, problem: str):
+        self.lost, self.looked = True, 0
+        return header, b"", problem
+
+    def feed(self, data: bytes):
+        self.held += data
+        while True:
+            if self.header is not None:
+                keep = self.wanted is None or self.header.get("WARC-Type") in self.wanted
+                if not keep:  # passed over without being held
+                    n = min(len(self.held), self.size)
+                    del self.held[:n]
+                    self.size -= n
+                if len(self.held) < self.size or (not keep and self.size):
+                    return
+                if keep:
+                    block = bytes(self.held[: self.size])
+                    del self.held[: self.size]
+                    yield self.header, block, None
+                self.header, self.looked = None, 0
+                continue
+            if self.lost:
+                at = self.held.find(b"\nWARC/")
+                if at < 0:
+                    del self.held[:-5]
+                    return
+                del self.held[: at + 1]
+                self.lost = False
+            if not self.looked:
+                blank = 0
+                while blank < len(self.held) and self.held[blank] in b"\r\n":
+                    blank += 1
+                del self.held[:blank]
+            end = self.held.find(b"\r\n\r\n", self.looked)
+            if not b"WARC/".startswith(bytes(self.held[:5])) or (end < 0 and len(self.held) > MOST_HEADER):
+                yield self._fail({}, "no WARC header")
+                continue
+            if end < 0:
+                self.looked = max(0, len(self.held) - 3)
+                return
+            _, *lines = bytes(self.held[:end]).decode("utf-8", "replace").split("\r\n")
+            header = {a.strip(): b.strip() for a, _, b in (x.partition(":") for x in lines)}
+            length = header.get("Content-Length", "")
+            if not (length.isascii() and length.isdigit() and len(length) < 16):
+                yield self._fail(header, f"Content-Length: {length[:40]}")
+                continue
+            del self.held[: end + 4]
+            self.header, self.size = header, int(length)
+
+    def finish(self, problem: str = "the file ends inside a record"):
+        if self.header is not None:
+            yield self.header, bytes(self.held), problem
+        elif self.held.strip(b"\r\n") and not self.lost:
+            yield {}, b"", problem
+
+
+def unzipped(data: bytes):
+    """The bytes of a file in pieces, gzipped (in any number of members) or not; a zlib.error or EOFError where it breaks."""
+    view, at, one = memoryview(data), 0, None
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[k : k + CHUNK]) for k in range(0, len(data), CHUNK))
+        return
+    while at < len(data) or (one is not None and not one.eof):
+        if one is None or one.eof:
+            one = zlib.decompressobj(31)
+        rest = one.unconsumed_tail
+        if not rest and at < len(data):
+            rest, at = bytes(view[at : at + CHUNK]), min(at + CHUNK, len(data))
+        out = one.decompress(rest, CHUNK)
+        if out:
+            yield out
+        elif not rest and not one.eof:
+            raise EOFError("it ends early")
+        if one.eof:
+            at -= len(one.unused_data)
+            while at < len(data) and data[at] == 0:  # padding
+                at += 1
 
 
 def parse(data: bytes):
-    """(header, block) of each record in WARC bytes, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        version, *rest = data[at:end].decode("utf-8", "replace").strip().split("\r\n")
-        header = {a.strip(): b.strip() for a, _, b in (x.partition(":") for x in rest)}
-        size = int(header.get("Content-Length", "0"))
-        yield header, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """(header, block) of each whole record in WARC bytes, gzipped or not."""
+    return ((h, b) for h, b, problem in records(data) if problem is None)
+
+
+def records(data: bytes, wanted: tuple[str, ...] | None = None):
+    """(header, block, problem) of each record of a file and of each place where it is broken."""
+    reader, problem = Reader(wanted), None
+    pieces = unzipped(data)
+    while True:
+        try:
+            piece = next(pieces, None)
+        except (zlib.error, EOFError) as e:
+            problem = f"broken gzip: {e}"
+            break
+        if piece is None:
+            break
+        yield from reader.feed(piece)
+    if problem is None:
+        yield from reader.finish()
+    elif reader.header is not None or reader.held:
+        yield from reader.finish(problem)
+    else:
+        yield {}, b"", problem
 
 
 def derive_one(record_id: str | None, uri: str | None, date: str | None, header: dict[str, str], block: bytes | None) -> list[dict]:
@@ -126,14 +290,10 @@ def derive_one(record_id: str | None, uri: str | None, date: str | None, header:
     payload, problem = decoded_payload(fields, body)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
     charset = re.search(r"charset=\"?([\w.-]+)", kind, re.I)
-    try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    is_html = "html" in kind.lower() or (not kind and payload.lstrip()[:1] == b"<")
-    is_text = bool(payload) and (is_html or kind.lower().startswith("text/"))
+    page = decoded_text(payload, charset[1] if charset else None)
+    is_html = not problem and ("html" in kind.lower() or (not kind and payload.lstrip()[:1] == b"<"))
+    is_text = bool(payload) and not problem and (is_html or kind.lower().startswith("text/"))
     links = outlinks(page) if is_html else []
-    title = _TITLE.search(page) if is_html else None
     common = {"WARC-Refers-To": source, "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date, "WARC-Target-URI": uri, "WARC-Date": date}
 
     def made(kind_: str, content: str, body_: bytes, text: str | None, n_links: int) -> dict:
@@ -142,8 +302,8 @@ def derive_one(record_id: str | None, uri: str | None, date: str | None, header:
         return {"source_id": source, "record_type": kind_, "record_id": own, "refers_to": source, "target_uri": uri, "date": date, "content_type": content, "headers": list(head.items()), "text": text, "block_digest": head["WARC-Block-Digest"], "n_links": n_links, "warc": record_bytes(head, body_)}
 
     lines = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in fields), *((f"source-{k}", v) for k, v in sorted(header.items()))]
-    lines += [("block-digest", digest(block)), ("payload-digest", digest(payload)), ("title", _SPACE.sub(" ", html.unescape(title[1])).strip() if title else ""), ("problem", problem), *(("outlink", x) for x in links)]
-    facts = "".join(f"{k}: {_SPACE.sub(' ', v)}\r\n" for k, v in lines if v)
+    lines += [("block-digest", digest(block)), ("payload-digest", digest(payload)), ("title", title(page) if is_html else ""), ("problem", problem), *(("outlink", x) for x in links)]
+    facts = "".join(f"{_SPACE.sub(' ', k)}: {_SPACE.sub(' ', v)}\r\n" for k, v in lines if v)
     out = [made("metadata", "application/warc-fields", facts.encode("utf-8", "replace"), facts, len(links))]
     if is_text:
         text = plain_text(page) if is_html else page
@@ -156,6 +316,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     from pyspark.sql import types as T
 
     made = T._parse_datatype_string(RECORD)
+    keep = tuple(c for c in keep if c.lower() not in {f.name for f in made})
     schema = T.StructType([responses.schema[c] for c in keep] + list(made))
     names = [f.name for f in made]
     arrow = [pa.map_(pa.string(), pa.string()) if n == "headers" else pa.int64() if n == "n_links" else pa.binary() if n == "warc" else pa.string() for n in names]
@@ -184,17 +345,55 @@ def responses_from_pages(pages: DataFrame, date: str, key: str = "page_id", url:
     return pages.select(quoted(key).alias(key), rid.alias("record_id"), quoted(url).alias("target_uri"), F.lit(date).alias("date"), header.alias("headers"), block.alias("block"))
 
 
+RESPONSE = "record_id string, target_uri string, date string, headers map<string,string>, block binary, problem string"
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+
+
+def _rows(found):
+    """One-row batches of responses and of broken places."""
+    for header, block, problem in found:
+        if problem is not None or header.get("WARC-Type") == "response":
+            row = [header.get("WARC-Record-ID"), header.get("WARC-Target-URI"), header.get("WARC-Date"), list(header.items()), block, problem]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _KINDS, strict=True)], names=[x.split()[0] for x in RESPONSE.split(", ")])
+
+
 def read_responses(files: DataFrame) -> DataFrame:
-    """Response records from rows of ``spark.read.format("binaryFile")`` over WARC files."""
-    names = ["record_id", "target_uri", "date", "headers", "block"]
+    """Response records (and broken places, with ``problem``) from rows of ``spark.read.format("binaryFile")``."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                for header, block in parse(batch.column("content")[k].as_py() or b""):
-                    if header.get("WARC-Type") == "response":
-                        row = [header.get("WARC-Record-ID"), header.get("WARC-Target-URI"), header.get("WARC-Date"), list(header.items()), block]
-                        kinds = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+                yield from _rows(records(batch.column("content")[k].as_py() or b"", ("response",)))
+
+    return files.select("content").mapInArrow(run, RESPONSE)
+
+
+def stream_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The same from gzipped WARC files (``.gz``) of any size: Spark reads them line by line, one task a file.
 
-    return files.select("content").mapInArrow(run, "record_id string, target_uri string, date string, headers map<string,string>, block binary")
+    Other files under ``path`` are left out, since Spark would split them. A file whose gzip is broken ends there; its
+    last record then has ``problem`` if it was cut.
+    """
+    lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.gz").text(path)
+    rows = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+    def run(batches):
+        file, reader = None, None
+        for batch in batches:
+            names, values = batch.column("file").to_pylist(), batch.column("line").to_pylist()
+            at = 0
+            while at < len(names):
+                if names[at] != file:
+                    if reader:
+                        yield from _rows(reader.finish())
+                    file, reader = names[at], Reader(("response",))
+                to, size = at, 0
+                while to < len(names) and names[to] == file and size < CHUNK:
+                    size += len(values[to])
+                    to += 1
+                yield from _rows(reader.feed(b"\n".join(values[at:to]) + b"\n"))
+                at = to
+        if reader:
+            yield from _rows(reader.finish())
+
+    return rows.mapInArrow(run, RESPONSE)

@@ -322,3 +322,85 @@ def test_warc_payload_codings_and_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": f"<{k}>", "WARC-Target-URI": "u", "WARC-Date": "d", "Content-Length": str(len(block))}, block) for k in range(3)))
     found = warc.read_responses(spark.read.format("binaryFile").load(str(tmp_path)))
     assert {r.record_id for r in warc.derive(found).select(F.col("source_id").alias("record_id")).collect()} == {"<0>", "<1>", "<2>"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<p", "<title>", "<!--", "&#", "<a href='", "</script ", "<a href=\"x>", "<script>", "&#x0", "1\r\n"])
+def test_pages_take_time_in_proportion_to_their_length(piece):
+    import time
+
+    def took(n):
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        warc.derive_one("<1>", "u", "d", {}, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode())
+        warc.decoded_payload([("Transfer-Encoding", "chunked")], page.encode())
+        return time.process_time() - began
+
+    assert took(1_000_000) < 3
+
+
+def test_texts_of_odd_pages():
+    assert warc.plain_text("a < b <i>c</i> > d") == "a < b c > d"
+    assert warc.plain_text("one<script>var x = 1 < 2") == "one"
+    assert warc.plain_text("one <b two") == "one"
+    assert warc.plain_text("x ><b") == "x >"
+    assert warc.plain_text("&#" + "9" * 5000 + ";&#x" + "0" * 5000 + "41;&#65abcdefab &#0000000065;") == "\ufffdAAabcdefab A"
+    assert warc.title("<title>A\n B</title>") == "A B" and warc.title("<title>A") == ""
+    assert warc.outlinks("<a href=x><a name=y><A HREF = 'z&amp;'><a href=") == ["x", "z&"]
+    for charset in ("hex", "idna", "punycode", "unicode_escape", "no-such", "rot13", "utf-8"):
+        assert warc.decoded_text("né \\x41".encode(), charset) == "né \\x41"
+
+
+def http(body: bytes, *fields: str) -> bytes:
+    return "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html", *fields]).encode() + b"\r\n\r\n" + body
+
+
+@pytest.mark.parametrize(("fields", "body"), [
+    (["Content-Encoding: gzip"], b"\x1f\x8b not gzip"), (["Content-Encoding: br"], b"<p>x"), (["Content-Encoding: deflate"], b"\x78\x9c\x00"),
+    (["Transfer-Encoding: chunked"], b"-5\r\nabc"), (["Transfer-Encoding: chunked"], b"ff\r\nabc"), (["Transfer-Encoding: chunked"], b"zz\r\nabc"),
+])
+def test_payloads_that_cannot_be_decoded(fields, body):
+    (only,) = warc.derive_one("<1>", "u", "d", {}, http(body, *fields))
+    assert only["record_type"] == "metadata" and "problem: payload coding" in only["text"]
+
+
+def test_a_payload_that_unpacks_without_end():
+    import gzip
+
+    body = gzip.compress(b"x" * 10**6) * 3
+    assert warc.decoded_payload([("Content-Encoding", "gzip")], body)[0] == b"x" * 3 * 10**6
+    assert warc.decoded_payload([("Content-Encoding", "gzip")], body, most=2 * 10**6) == (body, "payload coding: too large")
+
+
+def test_broken_files_are_rows_with_a_problem(spark, tmp_path):
+    import gzip
+
+    def record(k, length=None, kind="response", block=http(b"<p>one\n\ntwo")):
+        return warc.record_bytes({"WARC-Type": kind, "WARC-Record-ID": f"<{k}>", "WARC-Target-URI": "u\r\nX: y", "Content-Length": length or str(len(block))}, block)
+
+    whole = record(1) + record(2, kind="request") + record(3)
+    files = {
+        "whole": whole, "length": record(1, "ten") + record(2), "negative": record(1, "-4") + record(2), "long": record(1) + record(2, "99999"), "cut": whole[:-20],
+        "junk": gzip.compress(b"not a record at all\r\n") + record(2), "short": record(1, "20") + record(2), "rubbish": record(1) + b"\x1f\x8b" + b"\x00" * 40, "empty": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    (tmp_path / "plain.warc").write_bytes(gzip.decompress(whole))
+    want = {"whole": ["<1>", "<3>"], "length": ["<2>"], "negative": ["<2>"], "long": ["<1>"], "cut": ["<1>"], "junk": ["<2>"], "short": ["<1>", "<2>"], "rubbish": ["<1>"], "empty": [], "plain": ["<1>", "<3>"]}
+    for name in want:
+        path = next(tmp_path.glob(f"{name}.*"))
+        found = [warc.read_responses(spark.read.format("binaryFile").load(str(path)))]
+        if name != "plain":
+            found.append(warc.stream_responses(spark, str(path)))
+        for k, one in enumerate(found):
+            rows = one.collect()
+            assert [r.record_id for r in rows if r.problem is None] == want[name], (name, k)
+            assert any(r.problem for r in rows) == (name not in ("whole", "empty", "plain")) or (name, k) == ("rubbish", 1), (name, k)
+            assert all(bytes(r.block) == http(b"<p>one\n\ntwo") and r.target_uri == "u X: y" for r in rows if r.problem is None and name != "short")
+
+
+def test_kept_columns_that_clash_give_way(spark):
+    pages = spark.createDataFrame([(1, "http://a/", PAGE)], "page_id long, url string, html string")
+    responses = warc.responses_from_pages(pages, "2024-01-01T00:00:00Z").withColumn("Text", F.lit("mine")).withColumn("n_links", F.lit("x"))
+    made = warc.derive(responses, keep=("page_id", "Text", "date", "n_links"))
+    assert made.columns.count("date") == 1 and "Text" not in made.columns
+    assert {(r.page_id, r.n_links) for r in made.collect()} == {(1, 1)}
