@@ -1,32 +1,35 @@
 """Line dedup: lines found in many documents are dropped everywhere.
 
-Method: sharded minimal perfect hash. One pass counts, for each distinct line key, the documents that hold it (Python
-workers pre-aggregate, Spark adds up). The line hashes are dealt into shards of bounded size; each shard becomes a
-minimal perfect hash with an array of fingerprints and one of counts. A second pass probes the arrays; lines are never
-joined. By default only lines that reach ``min_docs`` enter the arrays, as the others drop nothing; ``index_from=1``
-indexes all. Arrays over ``group_bytes`` in all are probed group by group, each group in a pass of its own, so that
-what is broadcast stays bounded.
+Method: sharded minimal perfect hash. The documents are packed into units (some 32 MB of text, one row each), and each
+unit has the distinct 128-bit hashes of its line keys with the number of its documents that hold them. A unit sends
+every hash to the shard it belongs to, packed. A shard lays a minimal perfect hash over all its distinct line hashes,
+with an array of fingerprints and one of document counts (``LineIndex``); then the units' lists probe the arrays, and
+those whose count reaches ``min_docs`` go back to the unit. Lines are never joined and no array is broadcast.
+
+A line that every document holds costs one entry a unit. Shards have about ``shard_lines`` entries, so their number
+follows the input while their memory doesn't; a unit's memory follows ``unit_bytes``, or one document.
 
 Defined cases: a null or empty text is one empty line, whose key is empty and never dropped (``min_chars`` is 1 at
 least); each row is one document, even if doc_id repeats; a line twice in a document counts once; an empty table gives
-an empty table; a result column replaces an input column of the same name. A key is told apart by 128 bits of hash.
+an empty table; a result column replaces an input column of the same name. A key is told apart by 128 bits of hash;
+keys that share the first 64 have entries of their own.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import PerfectHash, map_texts, quoted, slices
+from atomloom.llm.blocks import rows_of
+from atomloom.llm.common import U64, PerfectHash, quoted, slices
 from atomloom.session import materialize
 
-SHARD_LINES, GROUP_BYTES, HELD_KEYS = 1 << 20, 48 << 20, 200_000
+SHARD_LINES, UNIT_BYTES = 1 << 20, 32 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -38,119 +41,139 @@ def _encoded(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def count_lines(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
-    """(h1, h2, docs): the 128-bit hash of each line key and the number of documents that hold it."""
+def _long_enough(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars < 2 or len(key.decode("utf-8", "replace")) >= min_chars)
+
+
+def distinct_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (h1, h2) in order, each once, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+class LineIndex:
+    """Document counts of distinct 128-bit line hashes, behind a minimal perfect hash of their first 64 bits."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """``keys``: rows (h1, h2) in order, each once."""
+        first = np.concatenate(([True], keys[1:, 0] != keys[:-1, 0])) if len(keys) else np.zeros(0, bool)
+        self.extra = {tuple(k): int(n) for k, n in zip(keys[~first].tolist(), counts[~first].tolist(), strict=True)}
+        keys, counts = keys[first], counts[first]
+        self.mph = PerfectHash.build(keys[:, 0].view(U64))
+        self.prints, self.counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint32)
+        at = self.mph.index(np.ascontiguousarray(keys[:, 0]).view(U64))
+        self.prints[at], self.counts[at] = keys[:, 1], np.minimum(counts, 2**32 - 1)
+
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key; 0 for keys that aren't held."""
+        at, out = self.mph.index(np.ascontiguousarray(keys[:, 0]).view(U64)), np.zeros(len(keys), np.int64)
+        good = np.flatnonzero((at >= 0) & (at < len(self.prints)))
+        good = good[self.prints[at[good]] == keys[good, 1]]
+        out[good] = self.counts[at[good]]
+        if self.extra:
+            for k in np.flatnonzero(out == 0).tolist():
+                out[k] = self.extra.get((int(keys[k, 0]), int(keys[k, 1])), 0)
+        return out
+
+
+UNITS = "unit long, blocks array<binary>, n_keys long, keys binary, counts binary"
+
+
+def pack_units(docs: DataFrame, text: str = "text", min_chars: int = 1, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+    """The documents, all columns, as units with their distinct line hashes; written to the shared folder."""
 
     def run(batches):
-        held: Counter = Counter()
+        part, n, room = TaskContext.get().partitionId(), 0, unit_bytes
+        blocks: list[bytes] = []
+        parts: list[np.ndarray] = []
 
-        def flush():
-            pairs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.fromiter(held.values(), np.int64, len(held)))], names=["h1", "h2", "n"])
-            held.clear()
-            return out
+        def unit():
+            found = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+            keys, counts = distinct_keys(found, np.ones(len(found), np.int64))
+            row = [(part << 32) | n, list(blocks), len(keys), keys.tobytes(), np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in UNITS.split(", ")])
 
         for batch in slices(batches, text):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+            blocks.append(sink.getvalue().to_pybytes())
+            digests = []
             for body in _encoded(batch.column(text)):
-                keys = {line_key(x) for x in body.split(b"\n")}
-                held.update(xxhash.xxh3_128_digest(k) for k in keys if len(k) >= min_chars and (min_chars < 2 or len(k.decode("utf-8", "replace")) >= min_chars))
-                if len(held) > HELD_KEYS:
-                    yield flush()
-        if held:
-            yield flush()
-
-    found = docs.select(quoted(text).alias(text)).mapInArrow(run, "h1 long, h2 long, n long")
-    return found.groupBy("h1", "h2").agg(F.sum("n").alias("docs"))
-
-
-def build_shards(counted: DataFrame, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """(shard, lines, mph, prints, counts): a perfect hash with its arrays for each shard of the line hashes."""
-    shards = max(1, -(-counted.count() // shard_lines))
-
-    def build(table: pa.Table) -> pa.Table:
-        h1, h2, n, shard = (np.asarray(table.column(c)) for c in ("h1", "h2", "docs", "shard"))
-        first = np.unique(h1, return_index=True)[1]  # two keys with equal h1 (one chance in 2**40 a shard) keep one slot
-        h1, h2, n = h1[first], h2[first], n[first]
-        mph = PerfectHash.build(h1.view(np.uint64))
-        at = mph.index(h1.view(np.uint64))
-        prints, counts = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.uint32)
-        prints[at], counts[at] = h2, np.minimum(n, 2**32 - 1)
-        return pa.table({"shard": [int(shard[0])], "lines": [len(h1)], "mph": [mph.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
-
-    dealt = counted.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(build, "shard long, lines long, mph binary, prints binary, counts binary")
-
-
-def _groups(shards: DataFrame, limit: int) -> list[list[int]]:
-    """Shard numbers in groups of ``limit`` bytes at most."""
-    groups, room = [], 0
-    for shard, size in shards.select("shard", F.expr("length(mph) + length(prints) + length(counts)")).orderBy("shard").collect():
-        if not groups or room < size:
-            groups.append([])
-            room = limit
-        groups[-1].append(shard)
-        room -= size
-    return groups
-
-
-def _prober(broadcast, shards: int, min_docs: int):
-    """For keys' digests: which are in the broadcast arrays with a count of ``min_docs`` or more."""
-    loaded: dict = {}
-
-    def probe(digests: list[bytes]) -> np.ndarray:
-        if not loaded:
-            for shard, mph, prints, counts in broadcast.value:
-                loaded[shard] = PerfectHash.load(mph), np.frombuffer(prints, np.int64), np.frombuffer(counts, np.uint32)
-        pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        hit, home = np.zeros(len(pairs), bool), pairs[:, 0] % shards
-        for shard, (mph, prints, counts) in loaded.items():
-            own = np.flatnonzero(home == shard)
-            at = mph.index(pairs[own, 0].view(np.uint64))
-            good = (at >= 0) & (at < len(prints))
-            own, at = own[good], at[good]
-            hit[own] = (prints[at] == pairs[own, 1]) & (counts[at] >= min_docs)
-        return hit
-
-    return probe
-
-
-def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_from: int | None = None, group_bytes: int = GROUP_BYTES, shard_lines: int = SHARD_LINES, prefix: str = "") -> DataFrame:
+                room -= len(body) + 1
+                digests += [xxhash.xxh3_128_digest(k) for k in {line_key(x) for x in body.split(b"\n")} if _long_enough(k, min_chars)]
+            parts.append(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2))
+            if room <= 0:
+                yield unit()
+                n, room, blocks, parts = n + 1, unit_bytes, [], []
+        if blocks:
+            yield unit()
+
+    return materialize(docs.select(*[quoted(c).alias(c) for c in docs.columns]).mapInArrow(run, UNITS), "line-units")
+
+
+def _lists(units: DataFrame, shards: int) -> DataFrame:
+    """(shard, unit, keys, counts): what each unit sends to each shard."""
+
+    def run(batches):
+        for batch in batches:
+            for row in rows_of(batch):
+                keys, counts = np.frombuffer(row["keys"], np.int64).reshape(-1, 2), np.frombuffer(row["counts"], np.uint32)
+                home = keys[:, 0].view(U64) % U64(shards) if len(keys) else np.zeros(0, U64)
+                order = np.argsort(home, kind="stable")
+                names, first = np.unique(home[order], return_index=True)
+                out = [(int(k), row["unit"], keys[own].tobytes(), counts[own].tobytes()) for k, own in zip(names, np.split(order, first[1:]), strict=True)] if len(keys) else []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["shard", "unit", "keys", "counts"])
+
+    return units.select("unit", "keys", "counts").mapInArrow(run, "shard long, unit long, keys binary, counts binary")
+
+
+def _answer(min_docs: int):
+    def run(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        index = LineIndex(*distinct_keys(np.concatenate(lists), counts))
+        found = [x[index.probe(x) >= min_docs] for x in lists]
+        some = [k for k, x in enumerate(found) if len(x)]
+        return pa.table({"unit": table.column("unit").take(pa.array(some, pa.int64())), "found": pa.array([found[k].tobytes() for k in some], pa.binary())})
+
+    return run
+
+
+def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, unit_bytes: int = UNIT_BYTES, shard_lines: int = SHARD_LINES, prefix: str = "") -> DataFrame:
     """``docs`` with the lines of keys found in ``min_docs`` documents or more taken out of ``text``.
 
     Adds n_lines (before) and n_dropped (long), named with ``prefix``. What is left is joined by newlines.
     """
-    spark = docs.sparkSession
-    counted = materialize(count_lines(docs, text, min_chars).where(F.col("docs") >= (min_docs if index_from is None else index_from)), "line-counts")
-    arrays = materialize(build_shards(counted, shard_lines), "line-shards")
-    n_shards = max(1, -(-counted.count() // shard_lines))
-    groups = _groups(arrays, group_bytes) or [[]]
-    marks = T.StructField("__line_marks", T.BinaryType())
-    fields = [docs.schema[text], T.StructField(prefix + "n_lines", T.LongType()), T.StructField(prefix + "n_dropped", T.LongType())]
-    out = docs
-    for k, group in enumerate(groups):
-        first, last = k == 0, k == len(groups) - 1
-        rows = arrays.where(F.col("shard").isin(group)).select("shard", "mph", "prints", "counts").collect()
-        sent = spark.sparkContext.broadcast([(r["shard"], *map(bytes, r[1:])) for r in rows])
-        probe = _prober(sent, n_shards, min_docs)
-
-        def mark(batch, probe=probe, first=first, last=last):
-            bodies = [b.split(b"\n") for b in _encoded(batch.column(text))]
-            lens = [len(b) for b in bodies]
-            hit = probe([xxhash.xxh3_128_digest(line_key(x)) for b in bodies for x in b])
-            if not first:
-                before = batch.column(marks.name).to_pylist()
-                hit |= np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(before, lens, strict=True)]).astype(bool)
-            at = np.cumsum([0, *lens])
-            if not last:
-                return [pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())]
-            kept = [b"\n".join(x for x, h in zip(b, hit[i:j], strict=True) if not h) if hit[i:j].any() else b"\n".join(b) for b, i, j in zip(bodies, at, at[1:], strict=False)]
-            dropped = np.add.reduceat(np.append(hit, False).astype(np.int64), at[:-1])
-            return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.array(lens, np.int64)), pa.array(dropped)]
-
-        state = () if first else (marks.name,)
-        if last:
-            out = map_texts(out, text, fields, mark, keep=docs.columns, reads=state)
-        else:
-            out = materialize(map_texts(out, text, [marks], mark, reads=state), "line-marks")
-    added = [f.name for f in fields[1:]]
-    return out.select(*[quoted(c) for c in docs.columns if c.lower() not in added], *added)
+    units = pack_units(docs, text, min_chars, unit_bytes)
+    shards = max(1, -(-units.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0] // shard_lines))
+    answers = _lists(units, shards).groupBy("shard").applyInArrow(_answer(min_docs), "unit long, found binary")
+    common = materialize(answers.groupBy("unit").agg(F.collect_list("found").alias("found")), "common-lines")
+    added = [T.StructField(prefix + "n_lines", T.LongType()), T.StructField(prefix + "n_dropped", T.LongType())]
+    kept = [c for c in docs.columns if c.lower() not in {f.name.lower() for f in added}]
+    schema = T.StructType([docs.schema[c] for c in kept] + added)
+
+    def finish(batches):
+        for batch in batches:
+            for row in rows_of(batch):
+                found = b"".join(row["found"] or [])
+                gone = {found[k : k + 16] for k in range(0, len(found), 16)}
+                for block in row["blocks"]:
+                    own = pa.ipc.open_stream(block).read_next_batch()
+                    texts, lines, dropped = [], [], []
+                    for body in _encoded(own.column(text)):
+                        parts = body.split(b"\n")
+                        left = [x for x in parts if xxhash.xxh3_128_digest(line_key(x)) not in gone] if gone else parts
+                        texts.append(body if len(left) == len(parts) else b"\n".join(left))
+                        lines.append(len(parts))
+                        dropped.append(len(parts) - len(left))
+                    new = {text: pa.array(texts, pa.binary()).cast(pa.string())}
+                    arrays = [new.get(c, own.column(c)) for c in kept] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return units.select("unit", "blocks").join(common, "unit", "left").mapInArrow(finish, schema)

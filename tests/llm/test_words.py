@@ -84,7 +84,7 @@ def line_truth(rows, least):
     return sorted((d is None, d or 0, len(ks), "\n".join(x for x, k in zip((t or "").split("\n"), ks, strict=True) if found[k] < least)) for (d, t, *_), ks in zip(rows, keys, strict=True))
 
 
-@pytest.mark.parametrize("options", [{}, {"group_bytes": 64, "shard_lines": 3, "index_from": 1}])
+@pytest.mark.parametrize("options", [{}, {"unit_bytes": 64, "shard_lines": 3}])
 def test_line_dedup(spark, docs, rows, options):
     got = line_dedup.drop_common_lines(docs, min_docs=2, **options)
     assert {c.lower() for c in got.columns} == {c.lower() for c in docs.columns}
@@ -96,6 +96,24 @@ def test_line_dedup_of_nothing(none):
     assert line_dedup.drop_common_lines(none).count() == 0
 
 
+def test_line_index_holds_keys_that_share_their_first_half():
+    keys = np.array([[1, 5], [1, 6], [1, 7], [2, 5], [-3, 9]], np.int64)
+    index = line_dedup.LineIndex(*line_dedup.distinct_keys(np.concatenate((keys, keys[1:3])), np.arange(1, 8)))
+    wanted = np.array([[1, 7], [1, 6], [1, 5], [1, 8], [2, 5], [2, 6], [-3, 9], [4, 4]], np.int64)
+    assert index.probe(wanted).tolist() == [3 + 7, 2 + 6, 1, 0, 4, 0, 5, 0]
+    assert line_dedup.LineIndex(keys[:0], np.zeros(0, np.int64)).probe(wanted).tolist() == [0] * 8
+
+
+def test_lines_that_share_half_a_hash_keep_apart(spark, monkeypatch):
+    """All lines of a length share the first 64 bits; the arrays' counts still decide for each line."""
+    whole = line_dedup.xxhash.xxh3_128_digest
+    monkeypatch.setattr(line_dedup.xxhash, "xxh3_128_digest", lambda k: bytes([len(k)] * 8) + whole(k)[:8])
+    common_lines, rare = distinct = ["aaa", "bbb"]
+    index = line_dedup.LineIndex(*line_dedup.distinct_keys(np.frombuffer(b"".join(line_dedup.xxhash.xxh3_128_digest(x.encode()) for x in [common_lines, common_lines, rare]), np.int64).reshape(-1, 2), np.ones(3, np.int64)))
+    digests = np.frombuffer(b"".join(line_dedup.xxhash.xxh3_128_digest(x.encode()) for x in distinct), np.int64).reshape(-1, 2)
+    assert index.probe(digests).tolist() == [2, 1]
+
+
 ITEMS = [(1, "Lamda Mu, Nu xi!", None), (2, None, None), (3, "", None), (4, "one", None), (None, "tail OF it", None)]
 
 
