@@ -217,7 +217,7 @@ def test_count_min_never_misses():
     assert sketch.repeated(np.setdiff1d(lists[0], np.concatenate(lists[1:]))).mean() < 0.3
 
 
-def group_truth(rows, n):
+def group_truth(rows, n, percent=80):
     sets, ids = {}, sorted({d for d, *_ in rows if d is not None})
     for d, t, *_ in rows:
         w = SPACE.findall((t or "").translate(LOWER))
@@ -232,7 +232,7 @@ def group_truth(rows, n):
 
     for a in ids:
         for b in ids:
-            if a < b and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {d: find(d) for d in ids}
@@ -247,6 +247,49 @@ def test_near_groups(docs, rows, options):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("percent", [1, 30, 50, 65, 90, 100])
+def test_near_groups_at_other_similarities(spark, percent):
+    rng = np.random.default_rng(percent)
+    base = [[f"v{i}" for i in rng.integers(0, 30, n)] for n in (2, 4, 5, 8, 30, 80)]
+    rows = [(1, "a b c d", None), (2, "a b c e", None), (3, "a b c", None), (4, "a b c", None)]
+    for k, words in enumerate(base * 4):
+        edited = list(words)
+        for at in rng.integers(0, len(words), k % 5):
+            edited[at] = f"e{k}"
+        rows.append((10 + k, " ".join(edited), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, shingle=1, percent=percent).collect()}
+    assert got == group_truth(rows, 1, percent)
+
+
+def test_plans_miss_one_pair_in_millions():
+    """Pairs of just the similarity asked for: by the numbers, and by drawing sketches."""
+    assert (near_dedup.Plan(80).bands, near_dedup.Plan(80).rows) == (40, 5)
+    rng = np.random.default_rng(0)
+    for percent in (10, 50, 80, 95):
+        plan = near_dedup.Plan(percent)
+        assert (1 - (percent / 100) ** plan.rows) ** plan.bands <= near_dedup.MISSED
+        one = rng.integers(0, 2**32, (4000, plan.count), dtype=np.uint32)
+        two = np.where(rng.random(one.shape) < percent / 100, one, rng.integers(0, 2**32, one.shape, dtype=np.uint32))
+        bits = np.bitwise_count((near_dedup.odd_sketches(one) ^ near_dedup.odd_sketches(two)).view(np.uint64)).sum(axis=1)
+        assert bits.max() <= plan.most_bits and 5.3 < (plan.most_bits - bits.mean()) / bits.std() < 7
+
+
+def test_pairs_just_above_the_threshold_are_all_linked(spark):
+    """400 pairs of similarity 0.8 to 0.81, and 400 of just below 0.8 that stay apart."""
+    rows, k = [], 0
+    for pair in range(800):
+        n = 81 + pair % 40
+        same = -(-160 * (n + 1) // 180)  # the least overlap for 0.8 of two sets of n + 1
+        if pair >= 400:
+            same -= 1
+        for side in "ab":
+            rows.append((k, " ".join([f"p{pair}s{i}" for i in range(same)] + [f"p{pair}{side}{i}" for i in range(n + 1 - same)])))
+            k += 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert got == {d: d - d % 2 if d < 800 else d for d in range(1600)}
+
+
 def test_near_copies_chain(spark):
     """A chain of edits: neighbours are alike, its ends aren't; blocks of a split cluster still meet."""
     words = [f"w{i}" for i in range(100)]
