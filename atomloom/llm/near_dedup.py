@@ -164,10 +164,9 @@ def _bucket_forest(most_bits: int):
 def candidate_ties(classes: DataFrame, plan: Plan, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) pairs of ids, a < b, whose connected components hold every pair that shares a bucket and is likely."""
     rows = classes.where(plan.can_be_alike()).select("doc_id", F.explode("bands").alias("key"))
-    mark = F.xxhash64("doc_id")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.expr("bit_xor(xxhash64(doc_id))").alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s")).where("n > 1 and a < b")
-    # buckets of the same documents, as near copies make, are one
-    buckets = materialize(buckets.groupBy("n", "a", "b", "x", "s").agg(F.min("key").alias("key")), "buckets")
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.expr("bit_xor(xxhash64(doc_id))").alias("x")).where("n > 1 and a < b")
+    # buckets of the same documents, as near copies make, are one: alike in number, least, largest and 64 bits of hash
+    buckets = materialize(buckets.groupBy("n", "a", "b", "x").agg(F.min("key").alias("key")), "buckets")
     sketches = classes.select("doc_id", "sketch")
     two = buckets.where("n = 2").select("a", "b").distinct()
     bits = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda t, v: t + v)
