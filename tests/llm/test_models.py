@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 
 import numpy as np
 import public_tokenizers
@@ -78,19 +79,30 @@ def test_token_counts(spark, docs, rows, none):
     assert token_counts.context_limits(token_counts.length_histogram(bpe.count_tokens(none, PATH, public_tokenizers.PATTERN))).count() == 0
 
 
+def plain_mix(x: int) -> int:
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
 def plain_fingerprint(text: str) -> list[int]:
-    words = Texts(pa.array([text]))
-    hashes, _ = simhash.term_hashes(words)
-    votes = np.zeros(simhash.BITS, int)
-    for h in hashes:
-        spread = np.arange(1, simhash.BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-        bits = np.unpackbits(simhash.mix64(h ^ spread).view(np.uint8))
-        votes += 2 * bits.astype(int) - 1
-    return (votes > 0).astype(int).tolist()
+    """Votes of word pairs, from the text on with whole numbers only."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    hashes = [plain_mix((sum(plain_mix((256 * k + b + 1) * 0x9E3779B97F4A7C15 % 2**64) for k, b in enumerate(w)) + len(w) * 0xC2B2AE3D27D4EB4F) % 2**64) for w in words]
+    terms = [plain_mix((plain_mix((a * 0xC2B2AE3D27D4EB4F + b) % 2**64) + 2) % 2**64) for a, b in zip(hashes, hashes[1:], strict=False)] if len(hashes) != 1 else hashes
+    votes = [0] * simhash.BITS
+    for h in terms:
+        for word in range(simhash.BITS // 64):
+            signed = plain_mix(h ^ (word + 1) * 0xA0761D6478BD642F % 2**64).to_bytes(8, "little")
+            for k in range(64):
+                votes[64 * word + k] += 1 if signed[k // 8] >> (7 - k % 8) & 1 else -1
+    return [int(v > 0) for v in votes]
 
 
 def test_fingerprints_are_votes():
-    texts = ["", "one", "a b", "the cat sat on the mat " * 300, "x y z " * 2 + "q", None]
+    texts = ["", "one", "A b", "the cat sat on the mat " * 300, "x y z " * 2 + "q", None, "É é \t" + "long" * 40 + " end", " \n"]
     got = simhash.fingerprints(Texts(pa.array(texts)))
     for t, row in zip(texts, got, strict=True):
         assert np.unpackbits(row).tolist() == plain_fingerprint(t or "")
@@ -104,7 +116,10 @@ def test_compare_with_next(docs, rows, none):
         n = len(text) // 2
         edited = text[: len(text) - n] + following[:n]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        own, changed, after = map(plain_fingerprint, (text, edited, following))
+        assert [r.fingerprint, r.edited_fingerprint] == [f"{int(''.join(map(str, x)), 2):064x}" for x in (own, changed)]
+        for near, other in ((r.near_edited, changed), (r.near_next, after)):
+            assert abs(near - max(0.0, math.cos(math.pi * sum(a != b for a, b in zip(own, other, strict=True)) / 256))) < 1e-9
     same = {}
     for r, (_, t, *_) in zip(got, order, strict=True):
         assert same.setdefault(t or "", r.fingerprint) == r.fingerprint
@@ -133,18 +148,24 @@ def test_compare_with_next_in_slices(spark, docs, rows, limit, coalesce):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_within_radius_finds_all(spark):
+@pytest.mark.parametrize(("radius", "blocks"), [(3, 4), (3, 6), (0, 1), (5, 8)])
+def test_within_radius_finds_all(spark, radius, blocks):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, (40, 32), dtype=np.uint8)
+    base[20] = base[7]
     near = base.copy()
     for k in range(40):
-        for b in rng.choice(256, k % 6, replace=False):
+        for b in rng.choice(256, k % 8, replace=False):
             near[k, b // 8] ^= 1 << (b % 8)
-    df = spark.createDataFrame([(i, r.tobytes().hex()) for i, r in enumerate(np.concatenate((base, near)))], "doc_id long, fingerprint string")
-    got = {(r[0], r[1]) for r in simhash.within_radius(df, df.where("doc_id % 20 = 0"), 3, 6).collect()}
-    prints = [int(r.fingerprint, 16) for r in df.orderBy("doc_id").collect()]
-    want = {(f"{a:064x}", f"{b:064x}") for a in prints[::20] for b in prints if (a ^ b).bit_count() <= 3}
-    assert got == want
+    rows = [(i, r.tobytes().hex()) for i, r in enumerate(np.concatenate((base, near)))] + [(100, None), (120, "0" * 64)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    found = [(r[0], r[1], r[2]) for r in simhash.within_radius(df, df.where("doc_id % 20 = 0"), radius, blocks).collect()]
+    prints = {d: int(x, 16) for d, x in rows if x}
+    want = {(f"{a:064x}", f"{b:064x}", (a ^ b).bit_count()) for d, a in prints.items() if d % 20 == 0 for b in prints.values() if (a ^ b).bit_count() <= radius}
+    assert len(found) == len(set(found)) and set(found) == want
+    counted = {r[0]: r[1] for r in simhash.count_within(df, df.where("doc_id % 20 = 0"), radius, blocks).collect()}
+    assert counted == {f"{a:064x}": sum((a ^ b).bit_count() <= radius for b in prints.values()) for d, a in prints.items() if d % 20 == 0}
+    assert simhash.count_within(df, df.limit(0), radius, blocks).count() == 0
     with pytest.raises(ValueError):
         simhash.within_radius(df, df, 6, 6)
 
