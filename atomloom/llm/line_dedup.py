@@ -176,4 +176,5 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, m
                     arrays = [new.get(c, own.column(c)) for c in kept] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return units.select("unit", "blocks").join(common, "unit", "left").mapInArrow(finish, schema)
+    # answers grow with the units, so they are never broadcast
+    return units.select("unit", "blocks").hint("merge").join(common, "unit", "left").mapInArrow(finish, schema)
