@@ -13,25 +13,31 @@ _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
 def balanced(text: str) -> str | None:
-    """The first object or array whose brackets match, outside strings."""
-    for start in (m.start() for m in re.finditer(r"[\[{]", text)):
-        depth, quoted, skip = 0, False, False
-        for at in range(start, len(text)):
-            c = text[at]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                depth += 1
-            elif c in "]}":
-                depth -= 1
-                if depth == 0:
-                    return text[start : at + 1]
-        return None
-    return None
+    """The first object or array whose brackets match, outside strings; one pass.
+
+    An opening bracket that never closes is passed over, and so is what a quote opens before the first bracket.
+    """
+    open_, quoted, skip, best = [], False, False, None
+    for at, c in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"' and open_:
+            quoted = True
+        elif c in "[{":
+            open_.append((c, at))
+        elif c in "]}":
+            # brackets opened inside and never closed are given up
+            while open_ and open_[-1][0] != ("[" if c == "]" else "{"):
+                open_.pop()
+            if open_:
+                start = open_.pop()[1]
+                if best is None or start < best[0]:
+                    best = start, at + 1
+                if not open_:
+                    return text[best[0] : best[1]]
+    return text[best[0] : best[1]] if best else None
 
 
 def repaired(text: str | None) -> str | None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomloom.operators.vector import as_double, cosine
+from atomloom.operators.vector import as_double, unit_rows
 from atomloom.session import materialize
 
 
@@ -21,40 +22,73 @@ def reversed_too(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(*[swapped.get(c, F.col(c)).alias(c) for c in edges.columns]))
 
 
+def by_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` dealt by ranges of ``order``, with the range's number as __part; written, as ranges are drawn from samples."""
+    return materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
 def part_of(atoms: DataFrame, child: str, parent: str, within: str = "source") -> DataFrame:
     """PART_OF from each atom of a resolution to the parent nearest in time within its source; ties go to the lower id.
 
-    As-of from both sides: the last parent at or before, and the first at or after, by running windows over the union.
+    As-of from both sides: the last parent at or before, and the first at or after, by running windows over ranges of
+    source and time. A source may span many ranges; what lies beyond a range comes from one row for each source and range.
     """
-    rows = atoms.where(F.col("resolution").isin(child, parent)).select(within, "atom_id", "resolution", "ts")
-    is_parent = F.col("resolution") == parent
-    at = F.when(is_parent, F.struct("ts", "atom_id"))
-    before = Window.partitionBy(within).orderBy("ts", F.when(is_parent, 0).otherwise(1), F.desc("atom_id")).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(within).orderBy(F.desc("ts"), F.when(is_parent, 0).otherwise(1), F.desc("atom_id")).rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("p", F.last(at, ignorenulls=True).over(before)).withColumn("n", F.last(at, ignorenulls=True).over(after)).where(F.col("resolution") == child)
+    # of parents at the same time only the lowest id can be nearest
+    parents = atoms.where(F.col("resolution") == parent).groupBy(within, "ts").agg(F.min("atom_id").alias("atom_id")).withColumn("is_parent", F.lit(True))
+    children = atoms.where(F.col("resolution") == child).select(within, "ts", "atom_id", F.lit(False).alias("is_parent"))
+    rows = by_ranges(parents.unionByName(children), within, "ts", "atom_id")
+    at, first = F.when(F.col("is_parent"), F.struct("ts", "atom_id")), F.when(F.col("is_parent"), 0).otherwise(1)
+    before = Window.partitionBy(within, "__part").orderBy("ts", first).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(within, "__part").orderBy(F.desc("ts"), first).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("p", F.last(at, ignorenulls=True).over(before)).withColumn("n", F.last(at, ignorenulls=True).over(after)).where("not is_parent")
+    ends = rows.groupBy(within, "__part").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    parts = Window.partitionBy(within)
+    ends = ends.withColumn("earlier", F.last("high", ignorenulls=True).over(parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("later", F.last("low", ignorenulls=True).over(parts.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)))
+    near = near.join(ends.select(F.col(within).alias("__w"), F.col("__part").alias("__e"), "earlier", "later"), F.col(within).eqNullSafe(F.col("__w")) & (F.col("__part") == F.col("__e")), "left")
+    near = near.withColumn("p", F.coalesce("p", "earlier")).withColumn("n", F.coalesce("n", "later"))
     dp, dn = F.abs(F.col("ts") - F.col("p.ts")), F.abs(F.col("n.ts") - F.col("ts"))
     pick = F.when(F.col("n").isNull() | (dp < dn) | ((dp == dn) & (F.col("p.atom_id") <= F.col("n.atom_id"))), F.col("p.atom_id")).otherwise(F.col("n.atom_id"))
     return near.where("p is not null or n is not null").select(*edge("atom_id", F.coalesce(pick, F.col("n.atom_id"), F.col("p.atom_id")), "PART_OF", F.lit(1.0)))
 
 
 def next_edges(atoms: DataFrame, keys: tuple[str, ...] = ("source", "resolution"), ts: str = "ts", atom: str = "atom_id") -> DataFrame:
-    """NEXT between neighbours in time, weighted by exp(-hours between)."""
-    w = Window.partitionBy(*keys).orderBy(ts, atom)
-    rows = atoms.withColumn("__n", F.lead(atom).over(w)).withColumn("__t", F.lead(ts).over(w)).where("__n is not null")
-    return rows.select(*edge(atom, "__n", "NEXT", F.exp(-(F.col("__t") - F.col(ts)) / 3600.0)))
+    """NEXT between neighbours in time, weighted by exp(-hours between).
+
+    Neighbours are found in ranges of keys and time; the last of a range meets the first of the next one that its keys
+    have, so a key may span many ranges.
+    """
+    rows = by_ranges(atoms.select(*keys, F.col(ts).alias("ts"), F.col(atom).alias("atom")), *keys, "ts", "atom")
+    here = F.struct("ts", "atom")
+    near = rows.withColumn("n", F.lead(here).over(Window.partitionBy(*keys, "__part").orderBy("ts", "atom")))
+    heads = rows.groupBy(*keys, "__part").agg(F.min(here).alias("head"))
+    heads = heads.withColumn("later", F.lead("head").over(Window.partitionBy(*keys).orderBy("__part")))
+    heads = heads.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__part").alias("__e"), "later")
+    same = F.col("__part") == F.col("__e")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__{i}"))
+    near = near.join(heads, same, "left").withColumn("n", F.coalesce("n", "later")).where("n is not null")
+    return near.select(*edge("atom", F.col("n.atom"), "NEXT", F.exp(-(F.col("n.ts") - F.col("ts")) / 3600.0)))
 
 
 def entity_shared(atoms: DataFrame, atom: str = "atom_id", entities: str = "entities", threshold: float = 0.05) -> DataFrame:
     """ENTITY_SHARED in both directions between atoms whose entity sets have a Jaccard similarity over ``threshold``.
 
-    An inverted index: pairs that share an entity are counted; the union follows from the set sizes.
+    An inverted index over the distinct sets: pairs of sets that share an entity are counted, the union follows from
+    their sizes, and atoms come in at the end, so that atoms of equal sets are not compared.
     """
-    sets = atoms.select(F.col(atom).alias("id"), F.array_distinct(entities).alias("e")).where(F.size("e") > 0)
-    one = sets.select("id", F.size("e").alias("n"), F.explode("e").alias("entity"))
-    a, b = one.select("entity", F.col("id").alias("a"), F.col("n").alias("na")), one.select("entity", F.col("id").alias("b"), F.col("n").alias("nb"))
+    sets = atoms.select(F.col(atom).alias("id"), F.array_sort(F.array_distinct(entities)).alias("e")).where(F.size("e") > 0)
+    classes = sets.groupBy("e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    one = classes.select("rep", F.size("e").alias("n"), F.explode("e").alias("entity"))
+    a, b = one.select("entity", F.col("rep").alias("a"), F.col("n").alias("na")), one.select("entity", F.col("rep").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "entity").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
     jaccard = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return reversed_too(pairs.where(jaccard > threshold).select(*edge("a", "b", "ENTITY_SHARED", jaccard)))
+    pairs = pairs.select("a", "b", jaccard.alias("w")).where(F.col("w") > threshold)
+    if threshold < 1:
+        pairs = pairs.unionByName(classes.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("w")))
+    own = sets.join(classes, "e").select("id", "rep")
+    met = pairs.join(own.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+    return reversed_too(met.where("a <> b or x < y").select(*edge(F.least("x", "y"), F.greatest("x", "y"), "ENTITY_SHARED", F.col("w"))))
 
 
 def aligned(spans: DataFrame, within: str = "source", grain: float = 3600.0) -> DataFrame:
@@ -70,12 +104,34 @@ def aligned(spans: DataFrame, within: str = "source", grain: float = 3600.0) ->
     return reversed_too(met.select(*edge("a", "t", "ALIGNED_WITH", overlap / (F.col("e1") - F.col("s1")))))
 
 
-def grounded(images: DataFrame, texts: DataFrame, within: str = "source", vector: str = "clip", threshold: float = 0.25) -> DataFrame:
-    """VISUAL_GROUNDED_IN in both directions between images (or video frames) and texts of a source alike in joint space."""
-    a = images.select(within, F.col("atom_id").alias("a"), as_double(F.col(vector)).alias("va"))
-    b = texts.select(within, F.col("atom_id").alias("b"), as_double(F.col(vector)).alias("vb"))
-    met = a.join(b, within).withColumn("cos", cosine(F.col("va"), F.col("vb"))).where(F.col("cos") >= threshold)
-    return reversed_too(met.select(*edge("a", "b", "VISUAL_GROUNDED_IN", F.least(F.lit(1.0), F.col("cos")))))
+def grounded(images: DataFrame, texts: DataFrame, within: str = "source", vector: str = "clip", threshold: float = 0.25, block_rows: int = 2048) -> DataFrame:
+    """VISUAL_GROUNDED_IN in both directions between images (or video frames) and texts of a source alike in joint space.
+
+    Exact within a source: blocks of its images meet blocks of its texts in matrix products, a task for each two blocks.
+    """
+    kinds = dict(images.dtypes)
+    sides = [d.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(within).alias("w"), F.size(vector).alias("d"), F.col("atom_id").alias("id"), as_double(F.col(vector)).alias("v")) for d in (images, texts)]
+    sizes = [d.groupBy("w", "d").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(n)) for d, n in zip(sides, ("ni", "nt"), strict=True)]
+    counts = sizes[0].join(sizes[1], ["w", "d"])
+    dealt = []
+    for k, (side, own, other) in enumerate(zip(sides, ("ni", "nt"), ("nt", "ni"), strict=True)):
+        rows = side.join(counts, ["w", "d"])
+        mine, every = F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        rows = rows.withColumn("b" if k == 0 else "c", mine).withColumn("c" if k == 0 else "b", every)
+        dealt.append(rows.select("w", "d", "b", "c", "id", "v", F.lit(k).alias("side")))
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, ids, m = np.asarray(table.column("side")), table.column("id").combine_chunks(), unit_rows(table.column("v"))
+        a, b, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+        for at in range(0, len(a), 256):
+            cos = m[a[at : at + 256]] @ m[b].T
+            i, j = np.nonzero(cos >= threshold)
+            found.append((a[at + i], b[j], np.minimum(1.0, cos[i, j])))
+        x, y, w = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "cos": pa.array(w)})
+
+    met = dealt[0].unionByName(dealt[1]).groupBy("w", "d", "b", "c").applyInArrow(meet, f"a {kinds['atom_id']}, b {kinds['atom_id']}, cos double")
+    return reversed_too(met.select(*edge("a", "b", "VISUAL_GROUNDED_IN", F.col("cos"))))
 
 
 def normalized(edges: DataFrame, keys: tuple[str, ...] = ("edge_type",)) -> DataFrame:
@@ -129,44 +185,46 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, edge_types: list
     return out.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= limit).drop("__r")
 
 
-def pagerank_step(state: DataFrame, out_edges: DataFrame, seeds: DataFrame, alpha: float) -> DataFrame:
+def pagerank_step(state: DataFrame, out_edges: DataFrame, seeds: DataFrame, alpha: float, compare: bool = False) -> DataFrame:
     """One round of personalised PageRank in which weights are not normalised and only receivers keep mass.
 
     A node sends score * weight / out-degree over each edge; a node without edges sends its score evenly to the seeds;
-    the teleport share goes only to seeds that received mass.
+    the teleport share goes only to seeds that received mass. With ``compare`` also ``old``, the score before, and rows
+    of nodes that received nothing, whose score is null.
     """
-    share = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_seeds"))
-    moved = state.join(out_edges, state["node"] == out_edges["src"], "left")
-    sent = moved.where("src is not null").select("query_id", F.col("dst").alias("node"), (F.col("score") * F.col("weight") / F.col("degree")).alias("m"))
-    dangling = moved.where("src is null").groupBy("query_id").agg(F.sum("score").alias("lost"))
-    back = dangling.join(share, "query_id").join(seeds.select("query_id", F.col("seed").alias("node")), "query_id").select("query_id", "node", (F.col("lost") / F.col("n_seeds")).alias("m"))
-    got = sent.unionByName(back).groupBy("query_id", "node").agg(F.sum("m").alias("m"))
-    home = seeds.join(share, "query_id").select("query_id", F.col("seed").alias("node"), (1.0 / F.col("n_seeds")).alias("t"))
-    return got.join(home, ["query_id", "node"], "left").select("query_id", "node", (alpha * F.coalesce("t", F.lit(0.0)) + (1 - alpha) * F.col("m")).alias("score"))
+    homes = seeds.groupBy("query_id").agg(F.collect_list("seed").alias("homes"))  # a query has few seeds
+    moved = state.join(out_edges, state["node"] == out_edges["src"], "left").join(homes, "query_id")
+    back = F.transform("homes", lambda s: F.struct(s.alias("node"), (F.col("score") / F.size("homes")).alias("m")))
+    onward = F.array(F.struct(F.col("dst").alias("node"), (F.col("score") * F.col("weight") / F.col("degree")).alias("m")))
+    rows = moved.select("query_id", F.inline(F.when(F.col("src").isNull(), back).otherwise(onward)))
+    if compare:
+        rows = rows.withColumn("old", F.lit(None).cast("double")).unionByName(state.select("query_id", "node", F.lit(None).cast("double").alias("m"), F.col("score").alias("old")))
+    got = rows.groupBy("query_id", "node").agg(F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("old",) if compare])
+    n = Window.partitionBy("query_id")
+    home = seeds.select("query_id", F.col("seed").alias("node"), (1.0 / F.count(F.lit(1)).over(n)).alias("t"))
+    score = F.when(F.col("m").isNotNull(), alpha * F.coalesce("t", F.lit(0.0)) + (1 - alpha) * F.col("m"))
+    return got.join(home, ["query_id", "node"], "left").select("query_id", "node", score.alias("score"), *[c for c in ("old",) if compare])
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 20, tolerance: float | None = 1e-6) -> DataFrame:
     """(query_id, node, score). Stops when no score moves by ``tolerance`` and returns the round before, or after ``iterations``.
 
-    A round reads the one before twice, so each is written to the shared folder; with ``tolerance`` None and at most
-    three rounds all is one lazy plan.
+    With ``tolerance`` each round is written to the shared folder beside the scores before it, so that the test reads
+    that one table; with None and at most three rounds all is one lazy plan, which reads each round once.
     """
-    keep = tolerance is not None or iterations > 3
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    out_edges = edges.select("src", "dst", "weight").join(degree, "src")
+    out_edges = materialize(edges.select("src", "dst", "weight").join(degree, "src"), "out-edges")
     n = Window.partitionBy("query_id")
     state = seeds.select("query_id", F.col("seed").alias("node"), (1.0 / F.count(F.lit(1)).over(n)).alias("score"))
-    if keep:
-        out_edges = materialize(out_edges, "out-edges")
     for _ in range(iterations):
-        after = pagerank_step(state, out_edges, seeds, alpha)
-        if keep:
+        after = pagerank_step(state, out_edges, seeds, alpha, tolerance is not None)
+        if tolerance is not None or iterations > 3:
             after = materialize(after, "pagerank")
         if tolerance is not None:
-            both = state.withColumnRenamed("score", "a").join(after.withColumnRenamed("score", "b"), ["query_id", "node"], "full_outer")
-            moved = both.agg(F.max(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0]
+            moved = after.agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
             if moved is not None and moved < tolerance:
                 return state
+            after = after.where("score is not null").select("query_id", "node", "score")
         state = after
     return state
 

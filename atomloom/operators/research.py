@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 from itertools import count
 
@@ -49,19 +50,24 @@ WORD = re.compile("[a-z]{3,}")
 def distinct_findings(findings: DataFrame, group: str, order: str, text: str, threshold: float = 0.65, head: int = 120) -> DataFrame:
     """The findings of each group that aren't like an earlier one that was kept (Jaccard of words of their first characters).
 
-    Order matters, so a group goes through one task; a group is what one page or source gave.
+    Order matters, so a group goes through one task; a group is what one page or source gave. A finding is compared only
+    with kept ones that share a word.
     """
     kinds = dict(findings.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.select([group, order, "head"]).to_pylist(), key=lambda r: r[order])
         kept: list[dict] = []
-        sets: list[frozenset] = []
+        sizes: list[int] = []
+        holders: dict[str, list[int]] = {}  # word -> kept findings that have it
         for r in rows:
-            words = frozenset(WORD.findall(r["head"] or ""))
-            if not any(len(words & s) / len(words | s) > threshold for s in sets if words | s):
+            words = set(WORD.findall(r["head"] or ""))
+            shared = Counter(k for w in words for k in holders.get(w, ()))
+            if not any(n / (len(words) + sizes[k] - n) > threshold for k, n in shared.items()):
+                for w in words:
+                    holders.setdefault(w, []).append(len(kept))
                 kept.append(r)
-                sets.append(words)
+                sizes.append(len(words))
         return pa.table({group: pa.array([r[group] for r in kept], table.schema.field(group).type), order: pa.array([r[order] for r in kept], table.schema.field(order).type)})
 
     heads = findings.select(group, order, F.lower(F.substring(text, 1, head)).alias("head"))
@@ -130,6 +136,16 @@ def decision_trace(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFra
     return seen.join(nodes, "id")
 
 
+def synthesis_chain(nodes: DataFrame) -> DataFrame:
+    """Syntheses by depth, then id, with their place in the chain and whether they are the final one.
+
+    A research run has a synthesis for each of its few steps, so that one task orders them.
+    """
+    rows = nodes.where("type = 'synthesis'")
+    order = Window.partitionBy(F.lit(0)).orderBy("depth", "id")
+    return rows.withColumn("position", F.row_number().over(order)).withColumn("final", F.lead("id").over(order).isNull())
+
+
 def top_findings(findings: DataFrame, most: int = 30, budget: int = 12_000, group: str = "step_id") -> DataFrame:
     """A group's most important findings, up to the first that passes the character budget."""
     w = Window.partitionBy(group).orderBy(F.desc("importance"), "id")

@@ -13,13 +13,34 @@ from atomloom.operators import graph, vector
 from atomloom.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+MAX_TERMS = 5000
+
+
+def restricted(atoms: DataFrame, sources: list[str] | None = None, modality: str | None = None, resolution: str | None = None) -> DataFrame:
+    """The atoms of some sources, a modality and a resolution; None leaves all."""
+    if sources is not None:
+        atoms = atoms.where(F.col("source").isin(sources) if sources else F.lit(False))
+    for column, value in (("modality", modality), ("resolution", resolution)):
+        atoms = atoms if value is None else atoms.where(F.col(column) == value)
+    return atoms
+
+
+def asked_terms(queries: DataFrame) -> list[str] | None:
+    """The distinct tokens of all queries, if they are few enough to be part of an expression."""
+    terms = queries.select(F.explode(bm25_tokens(F.col("text"))).alias("term")).distinct().limit(MAX_TERMS + 1).collect()
+    return sorted(r[0] for r in terms) if len(terms) <= MAX_TERMS else None
+
+
+def of_queries(tokens: Column, terms: list[str] | None) -> Column:
+    """The tokens that some query has; all of them where queries have too many, and the join with them decides."""
+    return tokens if terms is None else F.filter(tokens, lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
 
 
 def full_text(atoms: DataFrame, queries: DataFrame, limit: int | None = None, item: str = "atom_id", text: str = "content") -> DataFrame:
     """(query_id, item): atoms that hold all lower-case tokens of a query, over an inverted index; the first by id."""
     terms = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
     wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    index = atoms.select(item, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
+    index = atoms.select(item, F.explode(F.array_distinct(of_queries(bm25_tokens(F.col(text)), asked_terms(queries)))).alias("term"))
     hits = index.join(terms, "term").groupBy("query_id", item).agg(F.count(F.lit(1)).alias("n")).join(wanted, "query_id").where("n = wanted").select("query_id", item)
     if limit is None:
         return hits
@@ -45,8 +66,12 @@ def bm25(hits: DataFrame, queries: DataFrame, item: str = "atom_id", text: str =
 
 
 def bm25_corpus(atoms: DataFrame, queries: DataFrame, k: int = 10, item: str = "atom_id", text: str = "content") -> DataFrame:
-    """(query_id, item, bm25, rank): the best ``k`` of the whole corpus by its own statistics. Only query terms are shuffled."""
-    tokens = atoms.select(item, bm25_tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    """(query_id, item, bm25, rank): the best ``k`` of the whole corpus by its own statistics.
+
+    One pass over the texts writes each one's length and the tokens that queries have; the rest works on these.
+    """
+    tokens = atoms.select(item, bm25_tokens(F.col(text)).alias("w")).select(item, F.size("w").alias("dl"), of_queries(F.col("w"), asked_terms(queries)).alias("w"))
+    tokens = materialize(tokens, "query-tokens")
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("term").distinct()
@@ -184,13 +209,16 @@ def learned_weights(weights: RetrievalWeights, rewards: list[float], least: int
     return weights.updated(sum(rewards) / len(rewards)) if len(rewards) >= least else weights
 
 
-def hybrid(atoms: DataFrame, edges: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), weights: RetrievalWeights = RetrievalWeights(), threshold: float | None = None) -> DataFrame:
+def hybrid(atoms: DataFrame, edges: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), weights: RetrievalWeights = RetrievalWeights(), sources: list[str] | None = None, modality: str | None = None, resolution: str | None = None) -> DataFrame:
     """Hybrid retrieval for a batch of queries (query_id, text, embedding, modalities): the ranked, packed results.
 
-    ``atoms``: atom_id, content, modality, resolution, source, embedding.
+    ``atoms``: atom_id, content, modality, resolution, source, embedding. Only those of ``sources``, ``modality`` and
+    ``resolution`` are found, whichever way, or packed; walks may pass through others.
     """
     from atomloom.config import RESOLUTION_WEIGHTS
 
+    atoms = restricted(atoms, sources, modality, resolution)
+
     v = vector.multi_resolution(atoms, queries, RESOLUTION_WEIGHTS, config.top_k_vector)
     v = materialize(v.select("query_id", F.col("atom_id").alias("node"), "score", "rank"), "vector-evidence")
     seeds = v.select("query_id", F.col("node").alias("seed"))

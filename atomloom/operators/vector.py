@@ -1,18 +1,22 @@
-"""Exact vector search.
+"""Exact vector search, and candidates for large similarity graphs.
 
-``top_k`` and ``multi_resolution`` score a stated set of queries against all rows: the queries, checked to be few, are
-broadcast, and only k rows a query and task reach the shuffle. ``knn`` compares a table with itself block by block with
-matrix products; a row goes to one task for each block of the other side, and tasks hold two blocks.
+``top_k`` and ``multi_resolution`` score a stated set of queries against all rows: the queries are broadcast in blocks of
+``QUERY_BYTES`` at most, scores are matrix products, and only k rows a query and batch leave the worker. ``knn`` compares
+a table with itself block by block with matrix products, which is exact and quadratic; ``knn_near`` compares only within
+buckets of random hyperplanes, which grows with the rows, and its recall is measured against ``knn``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_QUERIES = 10_000
+QUERY_BYTES, BATCH_ROWS = 16 << 20, 4096
 
 
 def as_double(c: Column) -> Column:
@@ -29,22 +33,89 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(norm > 0, dot(a, b) / norm), F.lit(0.0))
 
 
-def _few(queries: DataFrame, limit: int = MAX_QUERIES) -> DataFrame:
-    """``queries`` for broadcast, if they are few; else as they are, and Spark joins without a broadcast."""
-    return F.broadcast(queries) if len(queries.limit(limit + 1).take(limit + 1)) <= limit else queries
-
-
-def scores(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str = "embedding") -> DataFrame:
-    """(query, item, ..., cos) for a stated set of queries against all items."""
-    q = _few(queries.select(query, as_double(F.col(vector)).alias("__q"), *[c for c in queries.columns if c not in (query, vector)]))
-    rows = items.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).withColumn("__v", as_double(F.col(vector)))
-    return rows.join(q, F.size("__v") == F.size("__q")).withColumn("cos", cosine(F.col("__v"), F.col("__q"))).drop("__q", "__v", vector)
-
-
-def top_k(items: DataFrame, queries: DataFrame, k: int = 10, item: str = "vec_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` most similar items of each query (ties by id), with their rank."""
+def usable(rows: DataFrame, vector: str) -> DataFrame:
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+
+
+def unit_rows(column: pa.Array, picked: np.ndarray | None = None) -> np.ndarray:
+    """The vectors of a column, all of one length, as rows of length 1; null numbers count as 0 and zero vectors stay."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if picked is not None:
+        column = column.take(pa.array(picked, pa.int64()))
+    flat = column.flatten().cast(pa.float64())
+    m = np.asarray(flat.fill_null(0.0) if flat.null_count else flat).reshape(len(column), -1)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.value_lengths().fill_null(0))
+
+
+def _best_places(cos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of ``cos``, and of all that tie with the last of them."""
+    if len(cos) <= k:
+        return np.arange(len(cos))
+    return np.flatnonzero(cos >= np.partition(cos, len(cos) - k)[len(cos) - k])
+
+
+def best_scores(items: DataFrame, queries: DataFrame, k: int, item: str, query: str, vector: str = "embedding", within: str | None = None) -> DataFrame:
+    """(query, other columns of both sides but vectors, cos): of each batch of items the ``k`` best of each query, with ties.
+
+    With ``within`` (a column of items) the best of each of its values. Vectors of another length than the query's don't
+    meet it. Queries go out in blocks whose size is counted first, one pass over the items a block.
+    """
+    asked = usable(queries, vector)
+    extra = [c for c in queries.columns if c not in (query, vector)]
+    size, n = asked.agg(F.coalesce(F.sum(F.size(vector).cast("long") * 8 + 200), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(1, -(-size // QUERY_BYTES))
+    kept = [c for c in items.columns if c != vector]
+    fields = [items.schema[c] for c in kept] + [queries.schema[query]] + [queries.schema[c] for c in extra] + [T.StructField("cos", T.DoubleType())]
+    schema = T.StructType(fields)
+    rows = usable(items, vector).select(*kept, F.col(vector).alias("__v"))
+    spark, passes = items.sparkSession, []
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        sent = spark.sparkContext.broadcast(block.select(query, *extra, F.col(vector).alias("__q")).toArrow())
+
+        def run(batches, sent=sent):
+            own = sent.value.combine_chunks()
+            lengths = _lengths(own.column("__q").combine_chunks()) if own.num_rows else np.zeros(0, np.int64)
+            sides = [(d, np.flatnonzero(lengths == d)) for d in np.unique(lengths).tolist()]
+            sides = [(d, at, unit_rows(own.column("__q"), at)) for d, at in sides]
+            for whole in batches:
+                for start in range(0, whole.num_rows, BATCH_ROWS):
+                    batch = whole.slice(start, BATCH_ROWS)
+                    have = _lengths(batch.column("__v"))
+                    for d, asked_at, q in sides:
+                        rows_at = np.flatnonzero(have == d)
+                        if not len(rows_at):
+                            continue
+                        groups = [rows_at]
+                        if within is not None:
+                            codes = np.asarray(batch.column(within).dictionary_encode().indices.fill_null(-1))[rows_at]
+                            groups = [rows_at[codes == c] for c in np.unique(codes)]
+                        for group in groups:
+                            cos = unit_rows(batch.column("__v"), group) @ q.T
+                            picks = [_best_places(cos[:, j], k) for j in range(len(asked_at))]
+                            at = np.concatenate([group[p] for p in picks])
+                            which = np.repeat(asked_at, [len(p) for p in picks])
+                            values = np.concatenate([cos[p, j] for j, p in enumerate(picks)])
+                            left = [batch.column(c).take(pa.array(at, pa.int64())) for c in kept]
+                            right = [own.column(c).combine_chunks().take(pa.array(which, pa.int64())) for c in (query, *extra)]
+                            yield pa.RecordBatch.from_arrays([*left, *right, pa.array(values)], names=schema.names)
+
+        passes.append(rows.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def top_k(items: DataFrame, queries: DataFrame, k: int = 10, item: str = "vec_id", query: str = "query_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
+    """The ``k`` most similar items of each query (ties by id), with their rank; with ``threshold`` only those at or over it."""
     best = Window.partitionBy(query).orderBy(F.desc("cos"), item)
-    return scores(items, queries, item, query, vector).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rows = best_scores(items, queries, k, item, query, vector)
+    rows = rows if threshold is None else rows.where(F.col("cos") >= threshold)
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def multi_resolution(atoms: DataFrame, queries: DataFrame, weights: dict[str, float], top: int = 10, item: str = "atom_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -54,44 +125,107 @@ def multi_resolution(atoms: DataFrame, queries: DataFrame, weights: dict[str, fl
         w = F.when(F.col("resolution") == name, value).otherwise(w)
     intent = F.col("intent_weight") if "intent_weight" in queries.columns else F.lit(1.0)
     best = Window.partitionBy(query, "resolution").orderBy(F.desc("cos"), item)
-    rows = scores(atoms, queries, item, query, vector).withColumn("r", F.row_number().over(best)).where(F.col("r") <= top // 3)
+    asked = queries.select(query, vector, *[c for c in ("intent_weight",) if c in queries.columns])
+    rows = best_scores(atoms.select(item, "resolution", vector), asked, max(1, top // 3), item, query, vector, "resolution").withColumn("r", F.row_number().over(best)).where(F.col("r") <= top // 3)
     summed = rows.groupBy(query, item).agg(F.sum(w * F.col("cos") * intent).alias("score"))
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))).where(F.col("rank") <= top)
 
 
-def knn(items: DataFrame, k: int = 10, threshold: float = 0.5, item: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
-    """(src, dst, weight): for each item up to ``k`` others with a cosine of ``threshold`` or more, at most 1."""
-    rows = items.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(item).alias("id"), as_double(F.col(vector)).alias("v"))
-    n = max(1, -(-rows.count() // block_rows))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    # a stated block scheme: left rows of block b meet right rows of every block
-    left = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(0))
-    right = rows.withColumn("c", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(1))
+def _pairs(m: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, least: np.ndarray) -> list[tuple]:
+    """(src, dst, weight): for rows ``a`` up to ``k`` of rows ``b`` whose cosine reaches ``least`` of the row."""
+    out: list[tuple] = []
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        sims = m[part] @ m[b].T
+        sims[ids[part][:, None] == ids[b][None, :]] = -2.0
+        for r, row in zip(part.tolist(), sims, strict=True):
+            good = np.flatnonzero(row >= least[r])
+            good = good[np.lexsort((ids[b][good], -row[good]))[:k]]
+            out += [(ids[r], ids[b][g], min(1.0, float(row[g]))) for g in good]
+    return out
 
-    def best(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("side"))
-        ids = np.asarray(table.column("id"))
-        flat = table.column("v").combine_chunks()
-        m = np.asarray(flat.flatten()).reshape(len(ids), -1)
-        m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[tuple] = []
-        for at in range(0, len(a), 256):
-            part = a[at : at + 256]
-            sims = m[part] @ m[b].T
-            sims[ids[part][:, None] == ids[b][None, :]] = -2.0
-            for r, row in zip(part, sims, strict=True):
-                good = np.flatnonzero(row >= threshold)
-                good = good[np.lexsort((ids[b][good], -row[good]))[:k]]
-                out += [(ids[r], ids[b][g], min(1.0, float(row[g]))) for g in good]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"src": pa.array(cols[0], pa.int64()), "dst": pa.array(cols[1], pa.int64()), "weight": pa.array(cols[2], pa.float64())})
-
-    found = left.unionByName(right).groupBy("b", "c").applyInArrow(best, "src long, dst long, weight double")
+
+def _edges_table(out: list[tuple]) -> pa.Table:
+    cols = list(zip(*out, strict=True)) if out else [[], [], []]
+    return pa.table({"src": pa.array(cols[0], pa.int64()), "dst": pa.array(cols[1], pa.int64()), "weight": pa.array(cols[2], pa.float64())})
+
+
+def _numbered(items: DataFrame, item: str, vector: str, threshold: float | dict[str, float], modality: str | None) -> DataFrame:
+    """(id, v, m, least): usable vectors, the group in which they are compared, and the group's threshold."""
+    least = F.lit(threshold) if not isinstance(threshold, dict) else F.coalesce(*[F.when(F.col(modality) == name, F.lit(x)) for name, x in threshold.items()])
+    group = F.lit("") if modality is None else F.coalesce(F.col(modality), F.lit(""))
+    rows = usable(items, vector).select(F.col(item).alias("id"), as_double(F.col(vector)).alias("v"), group.alias("m"), least.cast("double").alias("least"))
+    return rows.where("least is not null")
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
     rank = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     return found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).drop("r")
 
 
+def knn(items: DataFrame, k: int = 10, threshold: float | dict[str, float] = 0.5, item: str = "vec_id", vector: str = "embedding", block_rows: int = 2048, modality: str | None = None) -> DataFrame:
+    """(src, dst, weight): for each item up to ``k`` others with a cosine of ``threshold`` or more, at most 1.
+
+    With ``modality`` (a column) only items of one modality meet, and ``threshold`` may be by modality; those of a
+    modality without one have no edges. Exact: every pair is compared, so the work grows with the square of the rows.
+    """
+    rows = _numbered(items, item, vector, threshold, modality)
+    sizes = rows.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n"))  # a row for each modality
+    rows = rows.join(F.broadcast(sizes), "m").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    # a stated block scheme: left rows of block b meet right rows of every block
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = rows.withColumn("c", every).withColumn("side", F.lit(0))
+    right = rows.withColumn("c", F.col("b")).withColumn("b", every).withColumn("side", F.lit(1))
+
+    def best(table: pa.Table) -> pa.Table:
+        side, ids, least = (np.asarray(table.column(c)) for c in ("side", "id", "least"))
+        return _edges_table(_pairs(unit_rows(table.column("v")), ids, np.flatnonzero(side == 0), np.flatnonzero(side == 1), k, least))
+
+    return _nearest(left.unionByName(right).groupBy("m", "b", "c").applyInArrow(best, "src long, dst long, weight double"), k)
+
+
+def plane_keys(m: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """For each vector a key in each table: the sides of ``bits`` random hyperplanes, the same in every worker."""
+    planes = np.random.default_rng(7).standard_normal((m.shape[1], tables * bits))
+    sides = (m @ planes > 0).reshape(len(m), tables, bits)
+    return (sides.astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+
+def knn_near(items: DataFrame, k: int = 10, threshold: float | dict[str, float] = 0.5, item: str = "vec_id", vector: str = "embedding", modality: str | None = None, tables: int = 64, bits: int = 4, block_rows: int = 2048) -> DataFrame:
+    """``knn`` for large tables: pairs meet if they are on the same side of ``bits`` random hyperplanes in a table.
+
+    Every pair that meets is compared exactly, so that no wrong edge is made; a pair of cosine c is missed with
+    probability (1 - (1 - acos(c) / pi) ** bits) ** tables. More bits make buckets smaller: choose them so that a bucket
+    has about ``block_rows`` rows. A bucket of more is compared in blocks, and none is cut.
+    """
+    rows = _numbered(items, item, vector, threshold, modality)
+
+    def keyed(batches):
+        for batch in batches:
+            for d in np.unique(_lengths(batch.column("v"))).tolist():
+                at = np.flatnonzero(_lengths(batch.column("v")) == d)
+                keys = plane_keys(unit_rows(batch.column("v"), at), tables, bits)
+                own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("id", "v", "m", "least")]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(np.ascontiguousarray(keys).ravel()))
+                yield pa.RecordBatch.from_arrays([*own, lists], names=["id", "v", "m", "least", "keys"])
+
+    kind = dict(rows.dtypes)["id"]
+    dealt = rows.mapInArrow(keyed, f"id {kind}, v array<double>, m string, least double, keys array<bigint>")
+    dealt = dealt.select("id", "v", "m", "least", F.size("v").alias("d"), F.posexplode("keys").alias("t", "key"))
+    sizes = dealt.groupBy("m", "d", "t", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n"))
+    dealt = dealt.join(sizes, ["m", "d", "t", "key"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = dealt.withColumn("c", every).withColumn("side", F.lit(0))
+    right = dealt.withColumn("c", F.col("b")).withColumn("b", every).withColumn("side", F.lit(1))
+
+    def best(table: pa.Table) -> pa.Table:
+        side, ids, least = (np.asarray(table.column(c)) for c in ("side", "id", "least"))
+        return _edges_table(_pairs(unit_rows(table.column("v")), ids, np.flatnonzero(side == 0), np.flatnonzero(side == 1), k, least))
+
+    found = left.unionByName(right).groupBy("m", "d", "t", "key", "b", "c").applyInArrow(best, "src long, dst long, weight double")
+    return _nearest(found.groupBy("src", "dst").agg(F.max("weight").alias("weight")), k)
+
+
 def pooled(frames: DataFrame, key: str = "video_id", vector: str = "embedding", size: int = 512) -> DataFrame:
     """The mean of the vectors of each key, at length 1; without any vector zeros of ``size``."""
     parts = frames.select(key, F.posexplode_outer(as_double(F.col(vector))).alias("pos", "x"))

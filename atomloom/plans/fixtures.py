@@ -77,8 +77,8 @@ ATOMS_SQL = """atoms AS (SELECT doc_id AS atom_id, text AS content, (['text', 'i
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five benchmark items as queries; a query's vector is that of its id. The text is two words of its item."""
-    b, e = table(spark, sf_dir, "benchmark").where("item_id < 5"), table(spark, sf_dir, "embeddings")
+    """Every twentieth benchmark item as a query; a query's vector is that of its id. The text is two words of its item."""
+    b, e = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"), table(spark, sf_dir, "embeddings")
     words = F.slice(F.split(F.lower("text"), r"[^a-zà-ÿ]+"), 2, 2)
     rows = b.join(e, b["item_id"] == e["vec_id"])
     return rows.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"), "embedding", F.array(F.lit("text")).alias("modalities"))
@@ -86,15 +86,16 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES_SQL = """queries AS (SELECT item_id AS query_id, array_to_string(string_split_regex(lower(text), '[^a-zà-ÿ]+')[2:3], ' ') AS text,
             CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
-            FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id < 5)"""
+            FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 20 = 0)"""
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two seeds for each of five queries."""
-    return spark.range(5).select(F.col("id").alias("query_id"), F.explode(F.array(F.col("id") * 7, F.col("id") * 7 + 3)).alias("seed"))
+    """Two seeds for each query; every twentieth vector is a query."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return q.select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.col("vec_id"), F.col("vec_id") + 3)).alias("seed"))
 
 
-SEEDS_SQL = "seeds AS (SELECT q AS query_id, unnest([q * 7, q * 7 + 3]) AS seed FROM range(5) AS t(q))"
+SEEDS_SQL = "seeds AS (SELECT vec_id AS query_id, unnest([vec_id, vec_id + 3]) AS seed FROM embeddings WHERE vec_id % 20 = 0)"
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

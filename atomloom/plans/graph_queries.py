@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from atomloom.config import RESOLUTION_WEIGHTS
 from atomloom.functions.text import entities
 from atomloom.operators import chunking, graph, stats, tables, vector
+from atomloom.operators.retrieval import restricted
 from atomloom.plans import fixtures as fx
 from atomloom.plans.registry_base import Registry
 
 query = Registry()
 T = fx.table
 _COS = "list_inner_product(a.v, q.v) / (a.norm * q.norm)"
-_QUERY_VECTORS = "q AS (SELECT vec_id AS query_id, v, norm FROM n WHERE vec_id < 5)"
+_QUERY_VECTORS = "q AS (SELECT vec_id AS query_id, v, norm FROM n WHERE vec_id % 20 = 0)"
 
 
 def _queries(spark, sf_dir):
-    return T(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    return T(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"""WITH {fx.NORMED_SQL}, {_QUERY_VECTORS}, s AS (SELECT query_id, vec_id, {_COS} AS cos FROM n AS a, q),
@@ -65,12 +66,12 @@ def q_next_edges(spark, sf_dir):
     return fx.following(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
-@query("""WITH e AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(substring(text, 1, 200), '[A-Z][a-z]{2,}'), lambda w: lower(w))) AS s FROM documents),
+@query("""WITH e AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(substring(text, 1, 1000), '[A-Z][a-z]{2,}'), lambda w: lower(w))) AS s FROM documents),
 o AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM e), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM o AS a JOIN o AS b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),
 j AS (SELECT a, b, c / (na + nb - c) AS w FROM p WHERE c / (na + nb - c) > 0.05)
 SELECT a AS src, b AS dst, 'ENTITY_SHARED' AS edge_type, round(w, 6) AS weight FROM j UNION ALL SELECT b, a, 'ENTITY_SHARED', round(w, 6) FROM j""")
 def q_entity_shared(spark, sf_dir):
-    atoms = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("atom_id"), entities(F.col("text"), 200).alias("entities"))
+    atoms = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("atom_id"), entities(F.col("text")).alias("entities"))
     return graph.entity_shared(atoms).withColumn("weight", F.round("weight", 6))
 
 
@@ -83,11 +84,29 @@ def q_interval_overlap(spark, sf_dir):
     return graph.aligned(spans).withColumn("weight", F.round("weight", 5))
 
 
-@query(f"""WITH {fx.ATOMS_SQL}, o AS (SELECT a.atom_id AS a, b.atom_id AS b, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS cos FROM atoms AS a JOIN atoms AS b USING (source) WHERE a.modality = 'image' AND b.modality = 'text')
-SELECT a AS src, b AS dst, 'VISUAL_GROUNDED_IN' AS edge_type, round(least(1.0, cos), 6) AS weight FROM o WHERE cos >= 0.15 UNION ALL SELECT b, a, 'VISUAL_GROUNDED_IN', round(least(1.0, cos), 6) FROM o WHERE cos >= 0.15""")
+@query(f"""WITH {fx.ATOMS_SQL}, o AS (SELECT a.atom_id AS a, b.atom_id AS b, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS cos FROM atoms AS a JOIN atoms AS b ON a.atom_id % 7 = b.atom_id % 7 WHERE a.modality = 'image' AND b.modality = 'text')
+SELECT a AS src, b AS dst, 'VISUAL_GROUNDED_IN' AS edge_type, round(least(1.0, cos), 6) AS weight FROM o WHERE cos >= 0.25 UNION ALL SELECT b, a, 'VISUAL_GROUNDED_IN', round(least(1.0, cos), 6) FROM o WHERE cos >= 0.25""")
 def q_visual_grounded(spark, sf_dir):
-    a = fx.atoms(spark, sf_dir).withColumnRenamed("embedding", "clip")
-    return graph.grounded(a.where("modality = 'image'"), a.where("modality = 'text'"), threshold=0.15).withColumn("weight", F.round("weight", 6))
+    a = fx.atoms(spark, sf_dir).withColumnRenamed("embedding", "clip").withColumn("source", F.col("atom_id") % 7)
+    return graph.grounded(a.where("modality = 'image'"), a.where("modality = 'text'")).withColumn("weight", F.round("weight", 6))
+
+
+_LEAST = {"text": 0.2, "image": 0.25, "audio": 0.22, "table": 0.3}
+
+
+@query(f"""WITH {fx.ATOMS_SQL}, s AS (SELECT a.atom_id AS src, b.atom_id AS dst, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS cos, a.modality AS m FROM atoms AS a JOIN atoms AS b ON a.modality = b.modality AND a.atom_id <> b.atom_id)
+SELECT src, dst, round(least(cos, 1.0), 6) AS weight FROM s WHERE cos >= CASE m {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _LEAST.items())} END QUALIFY row_number() OVER (PARTITION BY src ORDER BY s.cos DESC, dst) <= 10""")
+def q_similar_by_modality(spark, sf_dir):
+    got = vector.knn(fx.atoms(spark, sf_dir), 10, _LEAST, item="atom_id", modality="modality")
+    return got.withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {fx.ATOMS_SQL}, {fx.QUERIES_SQL}, s AS (SELECT query_id, atom_id, list_inner_product(a.v, q.v) / (a.norm * q.norm) AS cos FROM atoms AS a, queries AS q WHERE source IN ('src0', 'src1', 'src4') AND resolution = 'fine')
+SELECT query_id, atom_id, round(cos, 6) AS cos FROM s WHERE cos >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.cos DESC, atom_id) <= 10""")
+def q_filtered_topk(spark, sf_dir):
+    atoms = restricted(fx.atoms(spark, sf_dir), sources=["src0", "src1", "src4"], resolution="fine").select("atom_id", "embedding")
+    got = vector.top_k(atoms, fx.queries(spark, sf_dir).select("query_id", "embedding"), 10, "atom_id", threshold=0.0)
+    return got.select("query_id", "atom_id", F.round("cos", 6).alias("cos"))
 
 
 @query(f"""WITH {fx.EDGES_SQL}, s AS (SELECT edge_type, avg(weight) AS m, stddev_pop(weight) AS d FROM edges GROUP BY edge_type)
@@ -107,25 +126,25 @@ def q_edge_update(spark, sf_dir):
 _ORIENTED = "o AS (SELECT edge_id, src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT edge_id, dst, src, edge_type, weight FROM edges WHERE src <> dst)"
 
 
-@query(f"WITH {fx.EDGES_SQL}, {_ORIENTED} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o WHERE node < 50")
+@query(f"WITH {fx.EDGES_SQL}, {_ORIENTED} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o")
 def q_neighbors(spark, sf_dir):
-    nodes = spark.range(50).withColumnRenamed("id", "node")
+    nodes = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
     return graph.neighbors(fx.edges(spark, sf_dir), nodes).withColumn("weight", F.round("weight", 6))
 
 
-_WALK = f"""{fx.EDGES_SQL}, {_ORIENTED}, {fx.SEEDS_SQL},
+WALK_SQL = f"""{fx.EDGES_SQL}, {_ORIENTED}, {fx.SEEDS_SQL},
 h1 AS (SELECT query_id, other AS node, edge_id, weight AS w FROM seeds JOIN o ON node = seed),
 h2 AS (SELECT query_id, o.other AS node, h1.w + o.weight AS w FROM h1 JOIN o ON o.node = h1.node AND o.edge_id <> h1.edge_id),
 reached AS (SELECT query_id, node, min(d) AS distance, max(w) AS path_weight FROM (SELECT query_id, node, w, 1 AS d FROM h1 UNION ALL SELECT query_id, node, w, 2 FROM h2) GROUP BY ALL)"""
 
 
-@query(f"WITH {_WALK} SELECT query_id, node, CAST(distance AS BIGINT) AS distance, round(path_weight, 6) AS path_weight FROM reached")
+@query(f"WITH {WALK_SQL} SELECT query_id, node, CAST(distance AS BIGINT) AS distance, round(path_weight, 6) AS path_weight FROM reached")
 def q_traverse_2hop(spark, sf_dir):
     got = graph.traverse(fx.edges(spark, sf_dir), fx.seeds(spark, sf_dir))
     return got.select("query_id", "node", F.col("distance").cast("bigint").alias("distance"), F.round("path_weight", 6).alias("path_weight"))
 
 
-def _ppr_sql(rounds: int) -> str:
+def ppr_sql(rounds: int) -> str:
     parts = ["deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src)", "home AS (SELECT query_id, seed, 1.0 / count(*) OVER (PARTITION BY query_id) AS t FROM seeds)", "p0 AS (SELECT query_id, seed AS node, t AS score FROM home)"]
     for k in range(1, rounds + 1):
         parts.append(f"""in{k} AS (SELECT query_id, node, sum(m) AS m FROM (
@@ -135,15 +154,18 @@ def _ppr_sql(rounds: int) -> str:
     return ", ".join(parts)
 
 
-@query(f"WITH {fx.EDGES_SQL}, {fx.SEEDS_SQL}, {_ppr_sql(3)} SELECT query_id, node, round(score, 8) AS score FROM p3")
+@query(f"WITH {fx.EDGES_SQL}, {fx.SEEDS_SQL}, {ppr_sql(3)} SELECT query_id, node, round(score, 8) AS score FROM p3")
 def q_ppr_fixed(spark, sf_dir):
     got = graph.personalized_pagerank(fx.edges(spark, sf_dir), fx.seeds(spark, sf_dir), iterations=3, tolerance=None)
     return got.withColumn("score", F.round("score", 8))
 
 
-@query(f"""WITH {_WALK}, {_ppr_sql(3)}, g AS (SELECT r.query_id, r.node, 0.6 * coalesce(score, 0) + 0.4 * path_weight AS score FROM reached AS r LEFT JOIN p3 USING (query_id, node)
-WHERE NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.query_id = r.query_id AND seed = r.node))
-SELECT query_id, node, round(score, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY g.score DESC, node) <= 10""")
+GRAPH_SQL = f"""{WALK_SQL}, {ppr_sql(3)}, g0 AS (SELECT r.query_id, r.node, 0.6 * coalesce(score, 0) + 0.4 * path_weight AS score FROM reached AS r LEFT JOIN p3 USING (query_id, node)
+WHERE NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.query_id = r.query_id AND seed = r.node)),
+g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) <= 10)"""
+
+
+@query(f"WITH {GRAPH_SQL} SELECT query_id, node, round(score, 6) AS score FROM g")
 def q_graph_retrieval(spark, sf_dir):
     from atomloom.config import SearchConfig
     from atomloom.operators.retrieval import graph_evidence
@@ -152,24 +174,24 @@ def q_graph_retrieval(spark, sf_dir):
     return got.select("query_id", "node", F.round("score", 6).alias("score"))
 
 
-_NODES = "cand AS (SELECT q AS query_id, n AS node FROM range(4) AS t(q), range(60) AS u(n) WHERE n % 4 = q OR n < 20)"
+_NODES = "cand AS (SELECT vec_id % 10 AS query_id, vec_id AS node FROM embeddings)"
+DEGREE_SQL = """i AS (SELECT DISTINCT a.query_id, least(src, dst) AS x, greatest(src, dst) AS y FROM edges JOIN cand AS a ON a.node = src JOIN cand AS b ON b.node = dst AND b.query_id = a.query_id WHERE src <> dst),
+d AS (SELECT query_id, node, count(*) AS d FROM (SELECT query_id, unnest([x, y]) AS node FROM i) GROUP BY ALL),
+central AS (SELECT query_id, node, CASE WHEN count(*) OVER (PARTITION BY query_id) = 1 THEN 1.0 ELSE coalesce(d, 0) / (count(*) OVER (PARTITION BY query_id) - 1) END AS degree FROM cand LEFT JOIN d USING (query_id, node))"""
 
 
-def _candidates(spark):
-    q, n = spark.range(4).withColumnRenamed("id", "query_id"), F.explode(F.sequence(F.lit(0), F.lit(59)))
-    return q.withColumn("node", n).where("node % 4 = query_id or node < 20").withColumn("node", F.col("node").cast("bigint"))
+def _candidates(spark, sf_dir):
+    return T(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("query_id"), F.col("vec_id").alias("node"))
 
 
-@query(f"""WITH {fx.EDGES_SQL}, {_NODES}, i AS (SELECT DISTINCT a.query_id, least(src, dst) AS x, greatest(src, dst) AS y FROM edges JOIN cand AS a ON a.node = src JOIN cand AS b ON b.node = dst AND b.query_id = a.query_id WHERE src <> dst),
-d AS (SELECT query_id, node, count(*) AS d FROM (SELECT query_id, unnest([x, y]) AS node FROM i) GROUP BY ALL)
-SELECT query_id, node, round(coalesce(d, 0) / (count(*) OVER (PARTITION BY query_id) - 1), 6) AS degree FROM cand LEFT JOIN d USING (query_id, node)""")
+@query(f"WITH {fx.EDGES_SQL}, {_NODES}, {DEGREE_SQL} SELECT query_id, node, round(degree, 6) AS degree FROM central")
 def q_degree_centrality(spark, sf_dir):
-    return graph.degree_centrality(fx.edges(spark, sf_dir), _candidates(spark)).withColumn("degree", F.round("degree", 6))
+    return graph.degree_centrality(fx.edges(spark, sf_dir), _candidates(spark, sf_dir)).withColumn("degree", F.round("degree", 6))
 
 
 @query()
 def q_structural(spark, sf_dir):
-    return graph.structural(fx.edges(spark, sf_dir), _candidates(spark))
+    return graph.structural(fx.edges(spark, sf_dir), _candidates(spark, sf_dir))
 
 
 @query(f"WITH {fx.EDGES_SQL} SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM edges) GROUP BY node")
@@ -177,10 +199,10 @@ def q_degree(spark, sf_dir):
     return graph.degrees(fx.edges(spark, sf_dir))
 
 
-@query(f"""WITH {fx.EDGES_SQL}, {_ORIENTED} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o WHERE node < 20
+@query(f"""WITH {fx.EDGES_SQL}, {_ORIENTED} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o
 QUALIFY row_number() OVER (PARTITION BY node ORDER BY o.weight DESC, other, edge_type) <= 25""")
 def q_top_connections(spark, sf_dir):
-    got = graph.connections(fx.edges(spark, sf_dir), spark.range(20).withColumnRenamed("id", "node"))
+    got = graph.connections(fx.edges(spark, sf_dir), T(spark, sf_dir, "documents").select(F.col("doc_id").alias("node")))
     return got.select("node", "other", "edge_type", F.round("weight", 6).alias("weight"))
 
 

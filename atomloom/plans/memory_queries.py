@@ -71,10 +71,15 @@ def q_append_messages(spark, sf_dir):
     return tables.append_with_parent(old, m, "chat_id", {"title": F.lit("New Chat")}, "updated_at", "turn")
 
 
-@query(f"WITH {fx.FRAGMENTS_SQL} SELECT fragment_id, is_deleted OR session_id = 's7' AS is_deleted FROM fragments")
+@query(f"""WITH {fx.FRAGMENTS_SQL} SELECT 'fragment' AS kind, fragment_id AS id, is_deleted OR session_id = 's7' AS is_deleted FROM fragments
+UNION ALL SELECT 'trace', conv_id || ':' || turn, false FROM conversations WHERE role = 'user' AND conv_id <> 7 UNION ALL SELECT 'log', CAST(event_id AS VARCHAR), false FROM events WHERE user_id <> 7""")
 def q_clear_session(spark, sf_dir):
-    f = fx.fragments(spark, sf_dir)
-    return tables.clear_session(f.limit(0), f.limit(0), f, "s7")[2].select("fragment_id", "is_deleted")
+    traces = _talk(spark, sf_dir).where("role = 'user'").select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.concat_ws(":", "conv_id", "turn").alias("id"))
+    logs = T(spark, sf_dir, "events").select(F.concat(F.lit("s"), "user_id").alias("session_id"), F.col("event_id").cast("string").alias("id"))
+    left = tables.clear_session(traces, logs, fx.fragments(spark, sf_dir), "s7")
+    rows = [left[2].select(F.lit("fragment").alias("kind"), F.col("fragment_id").alias("id"), "is_deleted")]
+    rows += [df.select(F.lit(kind).alias("kind"), "id", F.lit(False).alias("is_deleted")) for kind, df in (("trace", left[0]), ("log", left[1]))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query(f"WITH {fx.FRAGMENTS_SQL} SELECT md5(fragment_id || '|' || 'shared') AS fragment_id, 'shared' AS namespace, CAST(0 AS BIGINT) AS access_count FROM fragments WHERE session_id IN ('s1', 's2', 's3') AND NOT is_deleted")
@@ -92,13 +97,14 @@ def q_fragment_access(spark, sf_dir):
 
 @query("""WITH m AS (SELECT conv_id % 50 AS s, * FROM conversations), l AS (SELECT conv_id, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 200),
 a AS (SELECT conv_id AS session_id, count(*) AS total_messages, count(*) FILTER (WHERE role = 'user') AS user_messages, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages FROM l GROUP BY ALL),
-f AS (SELECT user_id AS session_id, count(DISTINCT event_type) AS fragments FROM events GROUP BY ALL), t AS (SELECT conv_id AS session_id, count(*) AS traces FROM conversations WHERE role = 'user' GROUP BY ALL)
-SELECT session_id, coalesce(total_messages, 0) AS total_messages, coalesce(user_messages, 0) AS user_messages, coalesce(assistant_messages, 0) AS assistant_messages, coalesce(fragments, 0) AS fragments, CAST(0 AS BIGINT) AS web_searches, coalesce(traces, 0) AS traces
-FROM a FULL JOIN f USING (session_id) FULL JOIN t USING (session_id)""")
+f AS (SELECT user_id AS session_id, count(DISTINCT event_type) AS fragments FROM events GROUP BY ALL), t AS (SELECT conv_id AS session_id, count(*) AS traces FROM conversations WHERE role = 'user' GROUP BY ALL), w AS (SELECT user_id AS session_id, count(*) AS web_searches FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT session_id, coalesce(total_messages, 0) AS total_messages, coalesce(user_messages, 0) AS user_messages, coalesce(assistant_messages, 0) AS assistant_messages, coalesce(fragments, 0) AS fragments, coalesce(web_searches, 0) AS web_searches, coalesce(traces, 0) AS traces
+FROM a FULL JOIN f USING (session_id) FULL JOIN t USING (session_id) FULL JOIN w USING (session_id)""")
 def q_memory_dump_stats(spark, sf_dir):
     m = _talk(spark, sf_dir).withColumnRenamed("conv_id", "session_id")
     f = T(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_type").distinct().withColumn("is_deleted", F.lit(False))
-    return sessions.memory_stats(m, f, m.limit(0), m.where("role = 'user'"))
+    logs = T(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("session_id"))
+    return sessions.memory_stats(m, f, logs, m.where("role = 'user'"))
 
 
 @query(f"WITH {fx.FRAGMENTS_SQL}, c AS (SELECT namespace, count(*) AS n FROM fragments WHERE NOT is_deleted GROUP BY namespace) SELECT namespace, coalesce(n, 0) AS n FROM (VALUES ('global'), ('session_nobody-h')) AS a(namespace) FULL JOIN c USING (namespace)")
@@ -112,12 +118,12 @@ def q_namespace_filter(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, a.vec_id AS fragment_id, list_inner_product(a.v, q.v) / (a.norm * q.norm) AS cos FROM n AS a, n AS q WHERE q.vec_id BETWEEN 10 AND 14 AND a.label IN (1, 3))
+s AS (SELECT q.vec_id AS query_id, a.vec_id AS fragment_id, list_inner_product(a.v, q.v) / (a.norm * q.norm) AS cos FROM n AS a, n AS q WHERE q.vec_id % 20 = 0 AND a.label IN (1, 3))
 SELECT query_id, fragment_id, round(cos, 6) AS cos FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.cos DESC, fragment_id) <= 5""")
 def q_fragment_search(spark, sf_dir):
     e = T(spark, sf_dir, "embeddings")
     f = e.select(F.col("vec_id").alias("fragment_id"), F.col("label").cast("string").alias("namespace"), F.lit(False).alias("is_deleted"), "embedding")
-    q = e.where("vec_id between 10 and 14").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     got = vector.top_k(sessions.in_namespaces(f, ["1", "3"]).drop("namespace", "is_deleted"), q, 5, item="fragment_id")
     return got.select("query_id", "fragment_id", F.round("cos", 6).alias("cos"))
 

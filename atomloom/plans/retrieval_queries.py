@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atomloom.config import BLOCKED_RESULT_DOMAINS, SearchConfig
-from atomloom.operators import retrieval, vector, websearch
+from atomloom.operators import graph, retrieval, vector, websearch
 from atomloom.plans import fixtures as fx
+from atomloom.plans.graph_queries import DEGREE_SQL, GRAPH_SQL
 from atomloom.plans.registry_base import Registry
 from atomloom.plans.text_queries import TOKENS_SQL, any_of
 from atomloom.session import materialize
@@ -21,11 +22,11 @@ def _docs(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    """Queries of two common words."""
-    return spark.createDataFrame([(1, "the of"), (2, "und der"), (3, "de la de"), (4, "the thing")], "query_id long, text string")
+    """Queries of two common words; their ids are those of vector queries."""
+    return spark.createDataFrame([(20, "the of"), (40, "und der"), (60, "de la de"), (80, "the thing")], "query_id long, text string")
 
 
-_ASKED = "asked AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'the of'), (2, 'und der'), (3, 'de la de'), (4, 'the thing')) AS t(query_id, text))"
+_ASKED = "asked AS (SELECT * FROM (VALUES (CAST(20 AS BIGINT), 'the of'), (40, 'und der'), (60, 'de la de'), (80, 'the thing')) AS t(query_id, text))"
 _FULL = f"""{_ASKED}, terms AS (SELECT query_id, list_distinct({_TOK.format("text")}) AS t FROM asked), toks AS (SELECT doc_id AS atom_id, text AS content, {_TOK.format("text")} AS w FROM documents),
 hits AS (SELECT query_id, atom_id, content, w FROM toks, terms WHERE list_has_all(w, t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY atom_id) <= 5)"""
 _BM25 = f"""{_FULL}, c AS (SELECT query_id, count(*) AS n, avg(len(w)) AS avgdl FROM hits GROUP BY query_id),
@@ -67,12 +68,12 @@ def q_modality_score(spark, sf_dir):
 
 
 _VEC = f"""v AS (SELECT query_id, vec_id AS node, list_inner_product(a.v, q.v) / (a.norm * q.norm) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(a.v, q.v) / (a.norm * q.norm) DESC, vec_id) AS rank
-FROM n AS a, (SELECT vec_id AS query_id, v, norm FROM n WHERE vec_id BETWEEN 1 AND 4) AS q QUALIFY rank <= 10)"""
+FROM n AS a, (SELECT vec_id AS query_id, v, norm FROM n WHERE vec_id % 20 = 0) AS q QUALIFY rank <= 10)"""
 
 
 def _vector(spark, sf_dir):
     e = T(spark, sf_dir, "embeddings").drop("label")
-    q = e.where("vec_id between 1 and 4").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vector.top_k(e, q, 10).select("query_id", F.col("vec_id").alias("node"), F.col("cos").alias("score"), "rank")
 
 
@@ -94,14 +95,17 @@ def q_rrf(spark, sf_dir):
     return retrieval.rrf([_vector(spark, sf_dir), _keyword(spark, sf_dir)]).withColumn("rrf", F.round("rrf", 8))
 
 
-_UNI = f"""{fx.NORMED_SQL}, {_VEC}, {_KEY}, long AS (SELECT query_id, node, score, 'v' AS kind FROM v UNION ALL SELECT query_id, node, score, 'b' FROM k),
-m AS (SELECT query_id, node, coalesce(max(score) FILTER (WHERE kind = 'v'), 0) AS sv, coalesce(max(score) FILTER (WHERE kind = 'b'), 0) AS sb FROM long GROUP BY ALL),
-u AS (SELECT query_id, node, 0.3 * sv + 0.2 * sb + 0.15 * 0.5 + 0.1 * CASE node % 4 WHEN 0 THEN 1.0 WHEN 3 THEN 0.4 ELSE 0.7 END AS score FROM m)"""
+_UNI = f"""{GRAPH_SQL}, {_VEC}, {_KEY}, long AS (SELECT query_id, node, score, 'v' AS kind FROM v UNION ALL SELECT query_id, node, score, 'g' FROM g UNION ALL SELECT query_id, node, score, 'b' FROM k),
+m AS (SELECT query_id, node, coalesce(max(score) FILTER (WHERE kind = 'v'), 0) AS sv, coalesce(max(score) FILTER (WHERE kind = 'g'), 0) AS sg, coalesce(max(score) FILTER (WHERE kind = 'b'), 0) AS sb FROM long GROUP BY ALL),
+cand AS (SELECT query_id, node FROM m), {DEGREE_SQL},
+u AS (SELECT query_id, node, 0.3 * sv + 0.25 * sg + 0.2 * sb + 0.15 * degree + 0.1 * CASE node % 4 WHEN 0 THEN 1.0 WHEN 3 THEN 0.4 ELSE 0.7 END AS score FROM m JOIN central USING (query_id, node))"""
 
 
 def _unified(spark, sf_dir):
-    empty = spark.createDataFrame([], "query_id long, node long, score double")
-    c = retrieval.merged(_vector(spark, sf_dir), empty, _keyword(spark, sf_dir)).withColumn("s", F.lit(0.5))
+    edges = fx.edges(spark, sf_dir).drop("edge_id")
+    g = retrieval.graph_evidence(edges, fx.seeds(spark, sf_dir), SearchConfig(ppr_iterations=3), tolerance=None)
+    c = materialize(retrieval.merged(_vector(spark, sf_dir), g, _keyword(spark, sf_dir)), "candidates")
+    c = c.join(graph.degree_centrality(edges, c.select("query_id", "node")).withColumnRenamed("degree", "s"), ["query_id", "node"])
     m = F.element_at(F.array(*[F.lit(x) for x in ("text", "image", "audio", "table")]), (F.col("node") % 4 + 1).cast("int"))
     return retrieval.unified(c.withColumn("m", retrieval.modality_score(m, F.array(F.lit("text")))))
 
@@ -156,7 +160,7 @@ def q_evidence(spark, sf_dir):
 def q_hybrid(spark, sf_dir):
     """The flagship: every kind of evidence, fused, re-ranked and packed."""
     edges = materialize(fx.edges(spark, sf_dir).drop("edge_id"), "graph")
-    got = retrieval.hybrid(fx.atoms(spark, sf_dir), edges, fx.queries(spark, sf_dir), SearchConfig(ppr_iterations=10))
+    got = retrieval.hybrid(fx.atoms(spark, sf_dir), edges, fx.queries(spark, sf_dir))
     return got.select("query_id", "rank", "node", "score", "v", "g", "b", "s", "m", "source", "modality", "context")
 
 

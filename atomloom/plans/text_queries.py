@@ -181,10 +181,10 @@ def q_intent(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id, CASE WHEN len(terms) = 0 OR len(list_filter(terms, lambda w: contains(lower(q), lower(w)))) > 0 THEN q ELSE array_to_string(terms[1:3], ' ') || ' ' || q END AS anchored
-FROM (SELECT doc_id, 'survey of ' || source || ' methods' AS q, list_filter(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda w: NOT list_contains({listed(GENERIC_WORDS)}, lower(w))) AS terms FROM (SELECT doc_id, source, substring(text, 1, 60) AS text FROM documents))""")
+FROM (SELECT doc_id, 'survey of ' || source || ' methods' AS q, list_filter(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda w: NOT list_contains({listed(GENERIC_WORDS)}, lower(w))) AS terms FROM documents)""")
 def q_anchor(spark, sf_dir):
     q = F.concat(F.lit("survey of "), "source", F.lit(" methods"))
-    return table(spark, sf_dir, "documents").select("doc_id", search_text.anchored(q, F.substring("text", 1, 60)).alias("anchored"))
+    return table(spark, sf_dir, "documents").select("doc_id", search_text.anchored(q, F.col("text")).alias("anchored"))
 
 
 @query(rf"""SELECT doc_id, list_filter([CASE WHEN len(w) > 4 THEN array_to_string(w[1:4], ' ') END, CASE WHEN u <> '' AND u <> q AND length(u) > 5 THEN u END,
