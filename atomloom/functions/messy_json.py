@@ -12,32 +12,40 @@ from pyspark.sql.types import StringType
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
-def balanced(text: str) -> str | None:
-    """The first object or array whose brackets match, outside strings; one pass.
-
-    An opening bracket that never closes is passed over, and so is what a quote opens before the first bracket.
-    """
-    open_, quoted, skip, best = [], False, False, None
+def _first_balanced(text: str, quoted: bool) -> tuple[int, int] | None:
+    """(start, end) of the first balanced span; ``quoted``: whether the text begins inside a string."""
+    open_, held, skip, best = [], {"[": 0, "{": 0}, False, None
     for at, c in enumerate(text):
         if skip:
             skip = False
         elif quoted:
             skip, quoted = c == "\\", c != '"'
-        elif c == '"' and open_:
+        elif c == '"':
             quoted = True
         elif c in "[{":
             open_.append((c, at))
-        elif c in "]}":
+            held[c] += 1
+        elif c in "]}" and held["[" if c == "]" else "{"]:
             # brackets opened inside and never closed are given up
-            while open_ and open_[-1][0] != ("[" if c == "]" else "{"):
-                open_.pop()
-            if open_:
-                start = open_.pop()[1]
-                if best is None or start < best[0]:
-                    best = start, at + 1
-                if not open_:
-                    return text[best[0] : best[1]]
-    return text[best[0] : best[1]] if best else None
+            kind, start = None, at
+            while kind != ("[" if c == "]" else "{"):
+                kind, start = open_.pop()
+                held[kind] -= 1
+            if best is None or start < best[0]:
+                best = start, at + 1
+            if not open_:
+                return best
+    return best
+
+
+def balanced(text: str) -> str | None:
+    """The first object or array whose brackets match, outside strings.
+
+    A bracket that never closes, and a closing one that was never opened, are passed over. What a quote means depends on
+    how many came before, so there are two readings of the text, each in one pass.
+    """
+    found = [x for x in (_first_balanced(text, False), _first_balanced(text, True)) if x]
+    return text[slice(*min(found))] if found else None
 
 
 def repaired(text: str | None) -> str | None:
