@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomloom.operators.vector import as_double, unit_rows
+from atomloom.config import OTHER_THRESHOLD, SIMILARITY_THRESHOLDS
+from atomloom.operators.vector import as_double, knn, knn_near, unit_rows
 from atomloom.session import materialize
 
 
@@ -71,6 +72,12 @@ def next_edges(atoms: DataFrame, keys: tuple[str, ...] = ("source", "resolution"
     return near.select(*edge("atom", F.col("n.atom"), "NEXT", F.exp(-(F.col("n.ts") - F.col("ts")) / 3600.0)))
 
 
+def similar(atoms: DataFrame, k: int = 10, atom: str = "atom_id", vector: str = "embedding", near: bool = False) -> DataFrame:
+    """SIMILAR_TO in both directions between atoms of a modality, by its threshold; ``near`` compares only in buckets."""
+    found = (knn_near if near else knn)(atoms, k, {**SIMILARITY_THRESHOLDS, None: OTHER_THRESHOLD}, atom, vector, modality="modality")
+    return reversed_too(found.select(*edge("src", "dst", "SIMILAR_TO", F.col("weight"))))
+
+
 def entity_shared(atoms: DataFrame, atom: str = "atom_id", entities: str = "entities", threshold: float = 0.05) -> DataFrame:
     """ENTITY_SHARED in both directions between atoms whose entity sets have a Jaccard similarity over ``threshold``.
 
@@ -339,6 +346,12 @@ def view_nodes(atoms: DataFrame) -> DataFrame:
     return atoms.select(F.col("atom_id").alias("id"), held("source", "Knowledge Node").alias("name"), F.coalesce(preview(F.nullif(F.col("content"), F.lit(""))), F.lit("Empty Content")).alias("label"), held("modality", "text").alias("group"), held("source", "unknown").alias("source"), held("resolution", "unknown").alias("resolution"))
 
 
+def matching(nodes: DataFrame, text: str) -> DataFrame:
+    """The nodes of a graph view whose name or label holds ``text``, in whichever case."""
+    wanted = F.lower(F.lit(text))
+    return nodes.where(F.lower("name").contains(wanted) | F.lower("label").contains(wanted))
+
+
 def view_edges(edges: DataFrame) -> DataFrame:
     """Edges as a graph view shows them; ids lose their collection."""
     key = lambda c: F.element_at(F.split(c, "/"), -1)

@@ -150,9 +150,9 @@ def _edges_table(out: list[tuple]) -> pa.Table:
     return pa.table({"src": pa.array(cols[0], pa.int64()), "dst": pa.array(cols[1], pa.int64()), "weight": pa.array(cols[2], pa.float64())})
 
 
-def _numbered(items: DataFrame, item: str, vector: str, threshold: float | dict[str, float], modality: str | None) -> DataFrame:
+def _numbered(items: DataFrame, item: str, vector: str, threshold: float | dict[str | None, float], modality: str | None) -> DataFrame:
     """(id, v, m, least): usable vectors, the group in which they are compared, and the group's threshold."""
-    least = F.lit(threshold) if not isinstance(threshold, dict) else F.coalesce(*[F.when(F.col(modality) == name, F.lit(x)) for name, x in threshold.items()])
+    least = F.lit(threshold) if not isinstance(threshold, dict) else F.coalesce(*[F.when(F.col(modality) == name, F.lit(x)) for name, x in threshold.items() if name is not None], F.lit(threshold.get(None)))
     group = F.lit("") if modality is None else F.coalesce(F.col(modality), F.lit(""))
     rows = usable(items, vector).select(F.col(item).alias("id"), as_double(F.col(vector)).alias("v"), group.alias("m"), least.cast("double").alias("least"))
     return rows.where("least is not null")
@@ -163,11 +163,11 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).drop("r")
 
 
-def knn(items: DataFrame, k: int = 10, threshold: float | dict[str, float] = 0.5, item: str = "vec_id", vector: str = "embedding", block_rows: int = 2048, modality: str | None = None) -> DataFrame:
+def knn(items: DataFrame, k: int = 10, threshold: float | dict[str | None, float] = 0.5, item: str = "vec_id", vector: str = "embedding", block_rows: int = 2048, modality: str | None = None) -> DataFrame:
     """(src, dst, weight): for each item up to ``k`` others with a cosine of ``threshold`` or more, at most 1.
 
-    With ``modality`` (a column) only items of one modality meet, and ``threshold`` may be by modality; those of a
-    modality without one have no edges. Exact: every pair is compared, so the work grows with the square of the rows.
+    With ``modality`` (a column) only items of one modality meet, and ``threshold`` may be by modality, None standing for
+    all others; those of a modality without one have no edges. Exact: every pair is compared, so the work grows with the square of the rows.
     """
     rows = _numbered(items, item, vector, threshold, modality)
     sizes = rows.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n"))  # a row for each modality
@@ -191,7 +191,7 @@ def plane_keys(m: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return (sides.astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
-def knn_near(items: DataFrame, k: int = 10, threshold: float | dict[str, float] = 0.5, item: str = "vec_id", vector: str = "embedding", modality: str | None = None, tables: int = 64, bits: int = 4, block_rows: int = 2048) -> DataFrame:
+def knn_near(items: DataFrame, k: int = 10, threshold: float | dict[str | None, float] = 0.5, item: str = "vec_id", vector: str = "embedding", modality: str | None = None, tables: int = 64, bits: int = 4, block_rows: int = 2048) -> DataFrame:
     """``knn`` for large tables: pairs meet if they are on the same side of ``bits`` random hyperplanes in a table.
 
     Every pair that meets is compared exactly, so that no wrong edge is made; a pair of cosine c is missed with

@@ -123,16 +123,16 @@ def q_edge_update(spark, sf_dir):
     return graph.updated_weight(e, usage).withColumn("weight", F.round("weight", 6))
 
 
-_ORIENTED = "o AS (SELECT edge_id, src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT edge_id, dst, src, edge_type, weight FROM edges WHERE src <> dst)"
+ORIENTED_SQL = "o AS (SELECT edge_id, src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT edge_id, dst, src, edge_type, weight FROM edges WHERE src <> dst)"
 
 
-@query(f"WITH {fx.EDGES_SQL}, {_ORIENTED} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o")
+@query(f"WITH {fx.EDGES_SQL}, {ORIENTED_SQL} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o")
 def q_neighbors(spark, sf_dir):
     nodes = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
     return graph.neighbors(fx.edges(spark, sf_dir), nodes).withColumn("weight", F.round("weight", 6))
 
 
-WALK_SQL = f"""{fx.EDGES_SQL}, {_ORIENTED}, {fx.SEEDS_SQL},
+WALK_SQL = f"""{fx.EDGES_SQL}, {ORIENTED_SQL}, {fx.SEEDS_SQL},
 h1 AS (SELECT query_id, other AS node, edge_id, weight AS w FROM seeds JOIN o ON node = seed),
 h2 AS (SELECT query_id, o.other AS node, h1.w + o.weight AS w FROM h1 JOIN o ON o.node = h1.node AND o.edge_id <> h1.edge_id),
 reached AS (SELECT query_id, node, min(d) AS distance, max(w) AS path_weight FROM (SELECT query_id, node, w, 1 AS d FROM h1 UNION ALL SELECT query_id, node, w, 2 FROM h2) GROUP BY ALL)"""
@@ -199,7 +199,7 @@ def q_degree(spark, sf_dir):
     return graph.degrees(fx.edges(spark, sf_dir))
 
 
-@query(f"""WITH {fx.EDGES_SQL}, {_ORIENTED} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o
+@query(f"""WITH {fx.EDGES_SQL}, {ORIENTED_SQL} SELECT node, other, edge_type, round(weight, 6) AS weight FROM o
 QUALIFY row_number() OVER (PARTITION BY node ORDER BY o.weight DESC, other, edge_type) <= 25""")
 def q_top_connections(spark, sf_dir):
     got = graph.connections(fx.edges(spark, sf_dir), T(spark, sf_dir, "documents").select(F.col("doc_id").alias("node")))

@@ -182,7 +182,13 @@ def q_top_findings(spark, sf_dir):
     return research.top_findings(f, group="source").select("source", "id")
 
 
-@query()
+def _plan_sql() -> str:
+    steps = [(i, t, k, q) for i, (t, qs) in enumerate(research.PLAN) for k, q in enumerate(qs)]
+    return ", ".join(f"({i}, '{t}', {k}, '{q}')" for i, t, k, q in steps)
+
+
+@query(f"""WITH plan(step_index, title, query_index, q) AS (VALUES {_plan_sql()}), w AS (SELECT item_id, text, {fx.words_sql("text")} AS w FROM benchmark)
+SELECT item_id AS query_id, step_index, title, query_index, CASE WHEN len(w) > 5 THEN array_to_string(w[1:5], ' ') ELSE text END || ' ' || q AS search_query FROM w, plan""")
 def q_fallback_plan(spark, sf_dir):
     return research.fallback_plan(T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 

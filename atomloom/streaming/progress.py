@@ -34,6 +34,11 @@ def latest(events: DataFrame, key: str = "user_id", at: str = "ts", order: str =
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"), last.alias("last")).select(key, "n_events", F.col("last.event_type").alias("event_type"), F.col("last.value").alias("value"), F.col(f"last.{at}").alias("at"))
 
 
+def counts(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, event_type, n): each session's events by type; the same over a stream and over a table."""
+    return events.groupBy(key, "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tumbling(events: DataFrame, width: str, at: str = "ts", late: str | None = None) -> DataFrame:
     rows = events.withWatermark(at, late) if late else events
     return rows.groupBy(F.window(at, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
