@@ -192,48 +192,44 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, edge_types: list
     return out.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= limit).drop("__r")
 
 
-def pagerank_step(state: DataFrame, out_edges: DataFrame, seeds: DataFrame, alpha: float, compare: bool = False) -> DataFrame:
+def pagerank_step(state: DataFrame, out_edges: DataFrame, homes: DataFrame, alpha: float) -> DataFrame:
     """One round of personalised PageRank in which weights are not normalised and only receivers keep mass.
 
-    A node sends score * weight / out-degree over each edge; a node without edges sends its score evenly to the seeds;
-    the teleport share goes only to seeds that received mass. With ``compare`` also ``old``, the score before, and rows
-    of nodes that received nothing, whose score is null.
+    A node sends score * weight / out-degree over each edge; the score of nodes without edges is summed for a query, then
+    dealt evenly to its seeds; the teleport share ``t`` goes only to seeds that received mass. Also ``old``, the score
+    before; ``score`` is null where nothing was received. ``state`` is a written table, as it is read three times.
     """
-    homes = seeds.groupBy("query_id").agg(F.collect_list("seed").alias("homes"))  # a query has few seeds
-    moved = state.join(out_edges, state["node"] == out_edges["src"], "left").join(homes, "query_id")
-    back = F.transform("homes", lambda s: F.struct(s.alias("node"), (F.col("score") / F.size("homes")).alias("m")))
-    onward = F.array(F.struct(F.col("dst").alias("node"), (F.col("score") * F.col("weight") / F.col("degree")).alias("m")))
-    rows = moved.select("query_id", F.inline(F.when(F.col("src").isNull(), back).otherwise(onward)))
-    if compare:
-        rows = rows.withColumn("old", F.lit(None).cast("double")).unionByName(state.select("query_id", "node", F.lit(None).cast("double").alias("m"), F.col("score").alias("old")))
-    got = rows.groupBy("query_id", "node").agg(F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("old",) if compare])
-    n = Window.partitionBy("query_id")
-    home = seeds.select("query_id", F.col("seed").alias("node"), (1.0 / F.count(F.lit(1)).over(n)).alias("t"))
+    live, nothing = state.where("score is not null"), F.lit(None).cast("double")
+    sent = live.join(out_edges, live["node"] == out_edges["src"]).select("query_id", F.col("dst").alias("node"), (F.col("score") * F.col("weight") / F.col("degree")).alias("m"))
+    ends = live.join(out_edges, live["node"] == out_edges["src"], "left_anti").groupBy("query_id").agg(F.sum("score").alias("pool"))
+    back = ends.join(homes, "query_id").select("query_id", F.explode("homes").alias("node"), (F.col("pool") / F.size("homes")).alias("m"))
+    rows = sent.unionByName(back).withColumn("t", nothing).withColumn("old", nothing)
+    rows = rows.unionByName(state.select("query_id", "node", nothing.alias("m"), "t", F.col("score").alias("old")))
+    got = rows.groupBy("query_id", "node").agg(*[f(c).alias(c) for c, f in (("m", F.sum), ("t", F.max), ("old", F.max))])
     score = F.when(F.col("m").isNotNull(), alpha * F.coalesce("t", F.lit(0.0)) + (1 - alpha) * F.col("m"))
-    return got.join(home, ["query_id", "node"], "left").select("query_id", "node", score.alias("score"), *[c for c in ("old",) if compare])
+    return got.select("query_id", "node", "t", "old", score.alias("score"))
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 20, tolerance: float | None = 1e-6) -> DataFrame:
     """(query_id, node, score). Stops when no score moves by ``tolerance`` and returns the round before, or after ``iterations``.
 
-    With ``tolerance`` each round is written to the shared folder beside the scores before it, so that the test reads
-    that one table; with None and at most three rounds all is one lazy plan, which reads each round once.
+    Each round that another one or the test reads is written to the shared folder, beside the scores before it.
     """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     out_edges = materialize(edges.select("src", "dst", "weight").join(degree, "src"), "out-edges")
-    n = Window.partitionBy("query_id")
-    state = seeds.select("query_id", F.col("seed").alias("node"), (1.0 / F.count(F.lit(1)).over(n)).alias("score"))
-    for _ in range(iterations):
-        after = pagerank_step(state, out_edges, seeds, alpha, tolerance is not None)
-        if tolerance is not None or iterations > 3:
+    homes = materialize(seeds.groupBy("query_id").agg(F.collect_list("seed").alias("homes")), "homes")  # a query has few seeds
+    share = 1.0 / F.size("homes")
+    state = homes.select("query_id", F.explode("homes").alias("node"), share.alias("t"), share.alias("score"))
+    for k in range(iterations):
+        after = pagerank_step(state, out_edges, homes, alpha)
+        if tolerance is not None or k + 1 < iterations:
             after = materialize(after, "pagerank")
         if tolerance is not None:
             moved = after.agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
             if moved is not None and moved < tolerance:
-                return state
-            after = after.where("score is not null").select("query_id", "node", "score")
-        state = after
-    return state
+                break
+        state = after.drop("old").where("score is not null or t is not null")
+    return state.select("query_id", "node", "score").where("score is not null")
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
