@@ -54,6 +54,18 @@ def test_pagerank(spark, edges):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_pagerank_of_several_queries(spark, edges):
+    plain = [(1, 2, 0.5), (2, 3, 0.25), (1, 3, 0.75), (3, 4, 1.0)]
+    asked = {0: [1, 2], 1: [77, 78], 2: [4, 99], 3: [1]}  # 77, 78 and 99 are in no edge, 4 has none that leave it
+    seeds = spark.createDataFrame([(q, s) for q, own in asked.items() for s in own], "query_id long, seed long")
+    got = {q: {} for q in asked}
+    for r in graph.personalized_pagerank(edges, seeds, iterations=5, tolerance=None).collect():
+        got[r.query_id][r.node] = r.score
+    for q, own in asked.items():
+        want = plain_pagerank(plain, own, 0.15, 5, -1.0)
+        assert got[q].keys() == want.keys() and all(abs(got[q][k] - want[k]) < 1e-12 for k in want)
+
+
 def test_betweenness():
     path = graph.betweenness([1, 2, 3, 4], [(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)])
     assert path == pytest.approx({1: 0, 2: 2 / 3, 3: 2 / 3, 4: 0})
