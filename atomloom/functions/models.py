@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -58,3 +60,63 @@ def _applied(rows: DataFrame, text: str, column: str, kind: str, arrow: pa.DataT
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, column])
 
     return rows.mapInArrow(run, schema)
+
+
+#: What an error of a model says when the prompt is too long.
+TOO_LONG = ("context_length", "too long", "too large", "request too large", "413", "maximum context", "context window", "exceeds", "token limit")
+
+
+class Failover:
+    """A completer over providers in order, each with its keys in order: the first that answers a prompt is taken.
+
+    ``keys``: (provider, name of the key, its completer); ``preferred`` goes first. An error leads to the provider's next
+    key; one that says the prompt is too long leads to the next provider, but for ``roomy`` ones, whose other keys are
+    still asked. If none answers, the last error is raised. ``requests`` and ``errors`` count by (provider, key).
+    """
+
+    def __init__(self, keys: list[tuple[str, str, Completer]], preferred: str | None = None, roomy: tuple[str, ...] = ()):
+        providers = list(dict.fromkeys(p for p, _, _ in keys))
+        order = sorted(providers, key=lambda p: p != preferred)  # stable
+        self.keys = [[k for k in keys if k[0] == p] for p in order]
+        self.roomy, self.requests, self.errors = roomy, Counter(), Counter()
+
+    def _one(self, prompt: str) -> str:
+        last: Exception | None = None
+        for own in self.keys:
+            for provider, name, call in own:
+                try:
+                    answer = call([prompt])[0]
+                except Exception as e:  # the next key or provider is asked
+                    last = e
+                    self.errors[provider, name] += 1
+                    if provider not in self.roomy and any(t in str(e).lower() for t in TOO_LONG):
+                        break
+                else:
+                    self.requests[provider, name] += 1
+                    return answer
+        raise RuntimeError(f"no provider answered; last error: {last}")
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self._one(p) for p in prompts]
+
+
+def retrying(call: Completer, accept: Callable[[str], bool] = lambda answer: True, retries: int = 2, base: float = 1.5, pause: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[str | None]]:
+    """``call`` for each prompt, again after ``base`` ** n seconds on an error and half a second on a refused answer.
+
+    A prompt that ``retries`` further attempts don't answer gives None, so that one bad prompt doesn't end the job.
+    """
+
+    def one(prompt: str) -> str | None:
+        for n in range(retries + 1):
+            try:
+                answer = call([prompt])[0]
+                if accept(answer):
+                    return answer
+                wait = 0.5
+            except Exception:  # tried again, then a null
+                wait = base**n
+            if n < retries:
+                pause(wait)
+        return None
+
+    return lambda prompts: [one(p) for p in prompts]

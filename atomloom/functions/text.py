@@ -1,9 +1,13 @@
-"""Text functions as Column expressions: everything stays in the JVM and in code generation."""
+"""Text functions as Column expressions: all stay in the JVM and in code generation, but for nested parts of pages."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from atomloom.config import GATE_STOPWORDS, STOPWORDS
 
@@ -145,15 +149,45 @@ def html_title(c: Column) -> Column:
 NOISE = ("script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript")
 
 
+#: The elements that hold a page's content, the most telling first.
+PARTS = (("article", r"<article\b[^>]*>"), ("main", r"<main\b[^>]*>"), ("div", r"<div\b[^>]*class=[\"'][^\"']*(?:content|article|post)[^\"']*[\"'][^>]*>"))
+
+
+def outer(page: str | None) -> str | None:
+    """What the first content element of a page holds, to its own end, in one pass over the element's tags."""
+    if page is None:
+        return None
+    for tag, start in PARTS:
+        first = re.search(start, page, re.I)
+        if first is None:
+            continue
+        depth = 1
+        for t in re.finditer(rf"<(/?){tag}\b", page[first.end() :], re.I):
+            depth += -1 if t[1] else 1
+            if depth == 0:
+                return page[first.end() : first.end() + t.start()]
+        return page[first.end() :]
+    return None
+
+
+@F.pandas_udf(StringType())
+def outer_part(pages: pd.Series) -> pd.Series:
+    return pages.map(outer)
+
+
 def html_text(c: Column) -> Column:
     """Plain text of a page: noise elements go, then the article, main or content part, else the body."""
     page = F.regexp_replace(c, r"(?is)<!--.*?-->", " ")
     for tag in NOISE:
         page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    part = F.lit(None).cast("string")
-    for pattern in (r"(?is)<body[^>]*>(.*)</body>", r"(?is)<div[^>]*class=\"[^\"]*(?:content|article|post)[^\"]*\"[^>]*>(.*?)</div>", r"(?is)<main[^>]*>(.*?)</main>", r"(?is)<article[^>]*>(.*?)</article>"):
-        found = F.regexp_extract(page, pattern, 1)
+    body = F.regexp_extract(page, r"(?is)<body[^>]*>(.*)</body>", 1)
+    part, nested = F.when(body != "", body), F.lit(False)
+    for tag, start in reversed(PARTS):
+        found = F.regexp_extract(page, rf"(?is){start}(.*?)</{tag}\s*>", 1)
         part = F.when(found != "", found).otherwise(part)
+        nested = F.when(found != "", found.rlike(rf"(?i)<{tag}\b")).otherwise(nested)
+    # only a part that holds elements of its own kind has to be scanned for its end
+    part = F.coalesce(outer_part(F.when(nested, page)), part)
     text = F.regexp_replace(part, r"(?s)<[^>]*>", "\n")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.config import JUDGE_WEIGHTS
@@ -39,6 +39,20 @@ def valid(c: dict[str, Column] | None = None) -> Column:
     return out
 
 
+def evaluation_rows(answers: DataFrame, limit: int = 2000) -> DataFrame:
+    """Evaluations as they are stored: dimensions and the overall score 5 where missing, "fair", the response cut.
+
+    ``answers``: message_id, updated_at, response and any of the dimensions, overall_score, verdict and reasoning.
+    """
+
+    def or_else(name: str, value: object) -> Column:
+        return F.coalesce(F.col(name), F.lit(value)) if name in answers.columns else F.lit(value)
+
+    scores = [or_else(d, 5).cast("double").alias(d) for d in DIMENSIONS]
+    overall_score, response = or_else("overall_score", 5.0).cast("double"), F.substring(or_else("response", ""), 1, limit)
+    return answers.select("message_id", *scores, overall_score.alias("overall_score"), or_else("verdict", "fair").alias("verdict"), or_else("reasoning", "").alias("reasoning"), response.alias("response"), "updated_at")
+
+
 def final_score(given: Column, computed: Column) -> Column:
     """The score as given, unless it is missing or exactly the default of 5."""
     return F.when(given.isNull() | (given == 5.0), computed).otherwise(given)

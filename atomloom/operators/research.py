@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.text import words_of
+from atomloom.functions.text import strip, words_of
 from atomloom.operators.tables import first_by
 from atomloom.session import materialize
 
@@ -74,6 +74,40 @@ def distinct_findings(findings: DataFrame, group: str, order: str, text: str, th
     return heads.groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}")
 
 
+def valid_findings(extracted: DataFrame, most: int = 10, least: int = 20, unit: str = "unit_id", found: str = "findings") -> DataFrame:
+    """(unit, pos, content, extraction_type, importance): of each unit's first ``most`` findings those long enough.
+
+    ``found`` holds an array of (content, extraction_type, importance); contents are stripped, the type is "fact" and the
+    importance .5 where they are missing, and the importance is clamped.
+    """
+    rows = extracted.select(unit, F.posexplode(F.slice(found, 1, most)).alias("pos", "f"))
+    rows = rows.select(unit, "pos", strip(F.col("f.content")).alias("content"), F.coalesce("f.extraction_type", F.lit("fact")).alias("extraction_type"), clamp(F.coalesce("f.importance", F.lit(0.5))).alias("importance"))
+    return rows.where(F.length("content") >= least)
+
+
+def findings_text(findings: DataFrame, group: str = "step_id", order: str = "pos") -> DataFrame:
+    """(group, findings): each group's findings as numbered text with type, importance and source."""
+    source = F.coalesce(F.when(F.col("source_title") != "", F.col("source_title")), F.col("source_url"), F.lit("Unknown"))
+    head = F.concat(F.lit("type: "), F.coalesce("extraction_type", F.lit("fact")), F.lit(", importance: "), F.format_string("%.1f", F.coalesce("importance", F.lit(0.5))), F.lit(", source: "), source)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), head.alias("h"), F.coalesce("content", F.lit("")).alias("c"))))
+    lines = F.transform(parts, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), p["h"], F.lit(")\n    "), p["c"]))
+    return findings.groupBy(group).agg(F.array_join(lines, "\n\n").alias("findings"))
+
+
+def run_rows(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(traces, web log, fragments) that finished runs leave in memory.
+
+    ``runs``: run_id, session_id, turn_index, query, report, sources as an array of (url, title, score).
+    """
+    kind, report = F.lit("deep_research"), F.coalesce("report", F.lit(""))
+    urls = F.transform("sources", lambda s: s["url"])
+    traces = runs.select("session_id", "turn_index", F.col("query").alias("user_query"), F.array().cast("array<string>").alias("retrieved_ids"), urls.alias("sources"), F.array(kind).alias("algorithms"), F.lit(True).alias("web_search"), F.substring(report, 1, 300).alias("answer"))
+    logs = runs.select("session_id", "turn_index", kind.alias("provider"), F.col("query").alias("query_sent"), F.inline("sources")).withColumn("snippet", F.lit(""))
+    content = F.concat(F.lit("Deep Research: "), "query", F.lit("\n\n"), F.substring(report, 1, 1000))
+    fragments = runs.select(F.md5(F.concat_ws("|", "session_id", "run_id")).alias("fragment_id"), "session_id", F.lit("deep_research_summary").alias("fragment_type"), content.alias("content"), F.array(kind, F.col("run_id").cast("string")).alias("tags"), F.lit("global").alias("namespace"), F.lit(0.8).alias("importance"), F.lit(0).cast("bigint").alias("access_count"))
+    return traces, logs, fragments
+
+
 def finding_rows(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) for findings (id, content, importance, source_id, step_id): extracted_from, and belongs_to if known."""
     nodes = findings.select("id", F.lit("finding").alias("type"), "content", "importance")

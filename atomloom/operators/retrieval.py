@@ -16,6 +16,16 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_TERMS = 5000
 
 
+def decomposed(queries: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, sub_query, modalities, intent_weight, depth): without a model each query is its own only part.
+
+    Modalities are text where the query names none.
+    """
+    wanted = F.col("modalities") if "modalities" in queries.columns else F.lit(None).cast("array<string>")
+    modalities = F.when(F.coalesce(F.size(wanted), F.lit(0)) > 0, wanted).otherwise(F.array(F.lit("text")))
+    return queries.select("query_id", F.col(text).alias("sub_query"), modalities.alias("modalities"), F.lit(1.0).alias("intent_weight"), F.lit(2).alias("depth"))
+
+
 def restricted(atoms: DataFrame, sources: list[str] | None = None, modality: str | None = None, resolution: str | None = None) -> DataFrame:
     """The atoms of some sources, a modality and a resolution; None leaves all."""
     if sources is not None:

@@ -17,6 +17,11 @@ def last_messages(messages: DataFrame, n: int, chat: str = "conv_id", at: str =
     return messages.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
+def oldest(messages: DataFrame, limit: int = 100, at: tuple[str, ...] = ("turn",)) -> DataFrame:
+    """The first messages of a history in the order of time."""
+    return messages.orderBy(*at).limit(limit)
+
+
 def within_budget(messages: DataFrame, budget: int = 3000, chat: str = "conv_id", at: str = "turn", text: str = "text") -> DataFrame:
     """The newest messages of each chat up to the first that passes the token budget."""
     newest = Window.partitionBy(chat).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0)

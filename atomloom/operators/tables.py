@@ -27,6 +27,28 @@ def without(table: DataFrame, gone: DataFrame, column: str, key: str) -> DataFra
     return table.join(g, table[column] == g["__gone"], "left_anti")
 
 
+def by_keys(table: DataFrame, keys: DataFrame, column: str, key: str) -> DataFrame:
+    """The rows of ``table`` whose ``column`` is among ``keys``; keys that aren't there give nothing."""
+    k = keys.select(F.col(key).alias("__key")).distinct()
+    return table.join(k, table[column] == k["__key"], "left_semi")
+
+
+def delete_fragments(fragments: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fragments, edges) without the fragments in ``gone`` (fragment_id) and the edges at either end of them."""
+    return without(fragments, gone, "fragment_id", "fragment_id"), without(without(edges, gone, "src", "fragment_id"), gone, "dst", "fragment_id")
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Rows to insert: columns that are missing or null take their default."""
+    return rows.withColumns({c: F.coalesce(F.col(c), d) if c in rows.columns else d for c, d in defaults.items()})
+
+
+def dual(fragments: DataFrame, related: str = "related_ids", vector: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graph nodes, graph edges, metadata) of fragments: vectors and links go to one store, all other columns to the other."""
+    edges = fragments.select(F.col("fragment_id").alias("src"), F.explode(related).alias("dst"), F.lit("extracted_from").alias("edge_type"), F.lit(1.0).alias("weight"))
+    return fragments.select("fragment_id", "content", vector), edges, fragments.drop(related, vector)
+
+
 def cascade_delete(parent: DataFrame, children: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Parent and child tables without the rows of the keys in ``gone``."""
     return {"": without(parent, gone, key, key)} | {n: without(c, gone, key, key) for n, c in children.items()}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atomloom.plans import graph_queries, memory_queries, retrieval_queries, service_queries, text_queries
+from atomloom.plans import graph_queries, intake_queries, memory_queries, retrieval_queries, service_queries, text_queries
 
-_ALL = (text_queries.query, graph_queries.query, retrieval_queries.query, memory_queries.query, service_queries.query)
+_ALL = (text_queries.query, graph_queries.query, retrieval_queries.query, memory_queries.query, service_queries.query, intake_queries.query)
 QUERIES = {name: f for r in _ALL for name, f in r.queries.items()}
 ORACLE = {name: sql for r in _ALL for name, sql in r.oracle.items()}
 
