@@ -149,24 +149,28 @@ def html_title(c: Column) -> Column:
 NOISE = ("script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript")
 
 
+RAW = ("script", "style", "iframe", "noscript")
 #: The elements that hold a page's content, the most telling first.
 PARTS = (("article", r"<article\b[^>]*>"), ("main", r"<main\b[^>]*>"), ("div", r"<div\b[^>]*class=[\"'][^\"']*(?:content|article|post)[^\"']*[\"'][^>]*>"))
 
 
 def outer(page: str | None) -> str | None:
-    """What the first content element of a page holds, to its own end, in one pass over the element's tags."""
-    if page is None:
-        return None
-    for tag, start in PARTS:
+    """What the first content element of a page holds, to its own end or that of the page; None without one or if it is empty.
+
+    One pass over the element's tags: elements of the same kind within it don't end it.
+    """
+    for tag, start in PARTS if page else ():
         first = re.search(start, page, re.I)
         if first is None:
             continue
-        depth = 1
-        for t in re.finditer(rf"<(/?){tag}\b", page[first.end() :], re.I):
+        depth, end = 1, len(page)
+        for t in re.compile(rf"<(/?){tag}\b", re.I).finditer(page, first.end()):
             depth += -1 if t[1] else 1
             if depth == 0:
-                return page[first.end() : first.end() + t.start()]
-        return page[first.end() :]
+                end = t.start()
+                break
+        if end > first.end():
+            return page[first.end() : end]
     return None
 
 
@@ -175,19 +179,17 @@ def outer_part(pages: pd.Series) -> pd.Series:
     return pages.map(outer)
 
 
+def without_elements(c: Column, tags: tuple[str, ...]) -> Column:
+    return F.regexp_replace(c, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", " ")
+
+
 def html_text(c: Column) -> Column:
     """Plain text of a page: noise elements go, then the article, main or content part, else the body."""
     page = F.regexp_replace(c, r"(?is)<!--.*?-->", " ")
-    for tag in NOISE:
-        page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    body = F.regexp_extract(page, r"(?is)<body[^>]*>(.*)</body>", 1)
-    part, nested = F.when(body != "", body), F.lit(False)
-    for tag, start in reversed(PARTS):
-        found = F.regexp_extract(page, rf"(?is){start}(.*?)</{tag}\s*>", 1)
-        part = F.when(found != "", found).otherwise(part)
-        nested = F.when(found != "", found.rlike(rf"(?i)<{tag}\b")).otherwise(nested)
-    # only a part that holds elements of its own kind has to be scanned for its end
-    part = F.coalesce(outer_part(F.when(nested, page)), part)
+    # what scripts hold is no markup, so that they go first
+    page = without_elements(without_elements(page, RAW), tuple(t for t in NOISE if t not in RAW))
+
+    part = F.coalesce(outer_part(page), F.regexp_extract(page, r"(?is)<body[^>]*>(.*)</body>", 1))
     text = F.regexp_replace(part, r"(?s)<[^>]*>", "\n")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
