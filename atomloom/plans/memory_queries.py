@@ -148,7 +148,12 @@ def q_decay(spark, sf_dir):
     return _scored(spark, sf_dir).where(sessions.decayed(F.to_timestamp(F.lit(AS_OF)), 0.2, 90)).select("fragment_id")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 120)), '[a-z]{3,}')) AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, doc_id, k, TRUE AS fresh, [w] AS kept FROM f WHERE k = 1
+      UNION ALL SELECT source, doc_id, k, fresh, CASE WHEN fresh THEN list_append(kept, w) ELSE kept END
+      FROM (SELECT f.source, f.doc_id, f.k, f.w, r.kept, len(list_filter(r.kept, lambda x: len(list_intersect(x, f.w)) / (len(x) + len(f.w) - len(list_intersect(x, f.w))) > 0.65::DOUBLE)) = 0 AS fresh
+            FROM r JOIN f ON f.source IS NOT DISTINCT FROM r.source AND f.k = r.k + 1))
+SELECT source, doc_id FROM r WHERE fresh""")
 def q_dedup_findings(spark, sf_dir):
     return research.distinct_findings(T(spark, sf_dir, "documents"), "source", "doc_id", "text")
 

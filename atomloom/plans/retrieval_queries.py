@@ -123,13 +123,20 @@ def q_quick(spark, sf_dir):
     return got.select("query_id", "node", F.col("pos").cast("bigint").alias("pos"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_UNI}, mc AS (SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS pos, count(*) OVER (PARTITION BY query_id) AS size,
+list_transform(v, lambda x: x / norm) AS unit FROM u LEFT JOIN n ON vec_id = node),
+mr AS (SELECT query_id, node, 1 AS rank, score, [node] AS chosen, [unit] AS units FROM mc WHERE pos = 1 AND size > 8
+       UNION ALL SELECT query_id, b.node, rank + 1, b.score, list_append(chosen, b.node), list_append(units, b.unit)
+       FROM (SELECT mr.query_id, mr.rank, mr.chosen, mr.units, arg_max({{'node': mc.node, 'score': mc.score, 'unit': mc.unit}},
+                    (mc.score - 0.25 * coalesce(list_sum(list_transform(mr.units, lambda x: coalesce(list_inner_product(x, mc.unit), 0))), 0), -mc.pos)) AS b
+             FROM mr JOIN mc ON mc.query_id = mr.query_id WHERE rank < 8 AND NOT list_contains(mr.chosen, mc.node) GROUP BY ALL))
+SELECT query_id, node, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM mr UNION ALL SELECT query_id, node, pos, round(score, 6) FROM mc WHERE size <= 8""")
 def q_mmr(spark, sf_dir):
     from pyspark.sql import Window
 
     c = _unified(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node")))
     e = T(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), vector.as_double(F.col("embedding")).alias("embedding"))
-    return retrieval.mmr(c.join(e, "node", "left").select("query_id", "node", "pos", "score", "embedding"), k=8)
+    return retrieval.mmr(c.join(e, "node", "left").select("query_id", "node", "pos", "score", "embedding"), k=8).withColumn("score", F.round("score", 6))
 
 
 def _packed(spark, sf_dir):
