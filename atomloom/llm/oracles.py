@@ -62,3 +62,30 @@ SELECT doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
 FROM l LEFT JOIN common ON l.k = common.k GROUP BY doc_id
 """,
 }
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Product codes: each round's assignment and codebook as a table of its own."""
+    steps = [
+        f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, label, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x FROM v, unnest(range({parts})) AS t(p)),
+books0 AS MATERIALIZED (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS BIGINT) AS e, x AS c FROM part
+QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""far{r} AS (SELECT vec_id, label, p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+FROM part JOIN books{r} USING (p)),
+near{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, min({{'d': d, 'e': e}}) AS best FROM far{r} GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""sums{r} AS (SELECT p, best.e AS e, k, sum(x[k]) AS s, count(*) AS n FROM near{r}, unnest(range(1, len(x) + 1)) AS t(k) GROUP BY ALL),
+mean{r} AS (SELECT p, e, list(CAST(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS BIGINT) ORDER BY k) AS c FROM sums{r} GROUP BY p, e),
+books{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM books{r} AS b LEFT JOIN mean{r} AS m USING (p, e))""")
+    return ",\n".join(steps) + f""",
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY p, e), '')) AS codebooks_sha256 FROM books{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
+ORACLE["op13_vector_codes"] = codes_sql()

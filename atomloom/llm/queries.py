@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts, warc
+from atomloom.llm import bpe, decontaminate, id_files, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts, vector_codes, warc
 from atomloom.llm.oracles import ORACLE
-from atomloom.session import materialize
+from atomloom.session import materialize, shared_dir
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -85,6 +85,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~asked).withColumn("n_within", F.lit(None).cast("long")).unionByName(rows.where(asked).join(near, "fingerprint"))
 
 
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = id_files.write(docs, shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return id_files.read(manifest, ids=False)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compress(vectors, parts=16, entries=64, rounds=2)
+    return coded.select("vec_id", "code", "error", "label_error").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -96,4 +108,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op12_id_files": op12_id_files,
+    "op13_vector_codes": op13_vector_codes,
 }
