@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import bpe, decontaminate, id_files, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts, vector_codes, warc
+from atomloom.llm import bpe, decontaminate, divergence, id_files, language_id, line_dedup, near_dedup, quality, simhash, substring_dedup, token_counts, vector_codes, warc
 from atomloom.llm.oracles import ORACLE
 from atomloom.session import materialize, shared_dir
 
@@ -85,6 +85,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~asked).withColumn("n_within", F.lit(None).cast("long")).unionByName(rows.where(asked).join(near, "fingerprint"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=30, top=50)
+
+
 def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = id_files.write(docs, shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -108,6 +112,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_source_divergence": op11_source_divergence,
     "op12_id_files": op12_id_files,
     "op13_vector_codes": op13_vector_codes,
 }
