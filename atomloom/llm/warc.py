@@ -13,9 +13,10 @@ isn't known, or of more than ``MOST_PAYLOAD`` bytes when decoded) counts as it s
 lines, entities are resolved, white space collapses, empty lines go. Pages are read in one go whatever they hold: "<"
 without an end, tags that never close and numbers without end take time in proportion to their length.
 
-``read_responses`` takes whole files (binaryFile rows, below 2 GB each) and ``stream_responses`` gzipped files of any
-size, which Spark unpacks as it reads; both hold one record at a time. A record with a bad length, a file that ends inside
-a record, bytes that are no record and broken gzip are rows with ``problem`` set, and reading goes on at the next record.
+``read_responses`` takes whole files (binaryFile rows, below 2 GB each) and ``stream_responses`` files of any size, which
+a task reads piece by piece; both hold two records at a time. A record with a bad length, a file that ends inside a record,
+bytes that are no record and broken gzip are rows with ``problem`` set, and reading goes on at the next record: after broken
+gzip at the next member that begins with one, and the row says so if none was found.
 
 Defined cases: a null block is an empty message (metadata only); a null id is derived from URI, date and block; a null
 URI or date is an empty field; line breaks in header values become spaces; no Content-Type counts as HTML if the payload
@@ -33,8 +34,10 @@ import html
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,8 @@ _NUMBER = re.compile(r"&#(?:[xX]([0-9a-fA-F]{9,})|([0-9]{9,}));?")
 #: Python codecs that aren't character sets of pages.
 NOT_CHARSETS = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "utf_7", "mbcs", "oem"}
 MOST_PAYLOAD, MOST_HEADER, CHUNK = 256 << 20, 1 << 20, 1 << 20
+#: How a gzip member begins; compressed bytes kept of a member to look for the next one in, and looked at to tell that it is one.
+GZIP, RESCAN, LOOK = b"\x1f\x8b\x08", 8 << 20, 4096
 
 
 def unescaped(text: str) -> str:
@@ -233,53 +238,113 @@ class Reader:
             yield {}, b"", problem
 
 
-def unzipped(data: bytes):
-    """The bytes of a file in pieces, gzipped (in any number of members) or not; a zlib.error or EOFError where it breaks."""
-    view, at, one = memoryview(data), 0, None
-    if data[:2] != b"\x1f\x8b":
-        yield from (bytes(view[k : k + CHUNK]) for k in range(0, len(data), CHUNK))
+def starts_record(data: bytes) -> bool:
+    """Whether a gzip member that holds a record begins here."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
+def next_member(held: bytes, pieces) -> bytes | None:
+    """What follows from the next member with a record on, looked for behind the first byte of ``held``; None without one."""
+    at = 1
+    while True:
+        at = held.find(GZIP, at)
+        if at < 0 or len(held) - at < LOOK:
+            piece = next(pieces, None)
+            if piece is not None:
+                at = len(held) - 2 if at < 0 else at
+                at = max(at, 0)
+                held, at = held[at:] + piece, 0
+                continue
+            if at < 0:
+                return None
+        if starts_record(held[at : at + LOOK]):
+            return held[at:]
+        at += 1
+
+
+def unzipped(pieces):
+    """Events from the bytes of a file: (plain, bytes) of one that isn't gzipped; else, in any number of members, (data, bytes),
+    (end, None) after a whole member, and (broken, why), after which reading goes on at the next member that begins with a record."""
+    pieces = iter(pieces)
+    rest = next(pieces, b"")
+    while 0 < len(rest) < 2 and (piece := next(pieces, None)) is not None:
+        rest += piece
+    if not rest.startswith(GZIP[:2]):
+        yield from (("plain", piece) for piece in chain([rest] if rest else [], pieces))
         return
-    while at < len(data) or (one is not None and not one.eof):
-        if one is None or one.eof:
-            one = zlib.decompressobj(31)
-        rest = one.unconsumed_tail
-        if not rest and at < len(data):
-            rest, at = bytes(view[at : at + CHUNK]), min(at + CHUNK, len(data))
-        out = one.decompress(rest, CHUNK)
+    one, held = None, bytearray()
+    while True:
+        if one is None:
+            rest = rest.lstrip(b"\0")  # padding
+            while not rest:
+                piece = next(pieces, None)
+                if piece is None:
+                    return
+                rest = piece.lstrip(b"\0")
+            one, held = zlib.decompressobj(31), bytearray()
+        try:
+            out = one.decompress(rest, CHUNK)
+        except zlib.error as e:
+            # the damage may lie before the place where it shows, and reach into the next member
+            rest = next_member(bytes(held) + rest, pieces)
+            one = None
+            yield "broken", f"broken gzip: {e}" + ("; no record was found behind it" if rest is None else "")
+            if rest is None:
+                return
+            continue
+        held += rest[: len(rest) - len(one.unused_data) - len(one.unconsumed_tail)]
+        del held[:-RESCAN]
+        rest = one.unused_data if one.eof else one.unconsumed_tail
         if out:
-            yield out
-        elif not rest and not one.eof:
-            raise EOFError("it ends early")
+            yield "data", out
         if one.eof:
-            at -= len(one.unused_data)
-            while at < len(data) and data[at] == 0:  # padding
-                at += 1
+            one = None
+            yield "end", None
+        elif not out and not rest:
+            piece = next(pieces, None)
+            if piece is None:
+                yield "broken", "broken gzip: it ends early"
+                return
+            rest = piece
+
+
+def cut(data: bytes):
+    view = memoryview(data)
+    return (bytes(view[k : k + CHUNK]) for k in range(0, len(data), CHUNK))
 
 
 def parse(data: bytes):
     """(header, block) of each whole record in WARC bytes, gzipped or not."""
-    return ((h, b) for h, b, problem in records(data) if problem is None)
+    return ((h, b) for h, b, problem in records(cut(data)) if problem is None)
 
 
-def records(data: bytes, wanted: tuple[str, ...] | None = None):
-    """(header, block, problem) of each record of a file and of each place where it is broken."""
-    reader, problem = Reader(wanted), None
-    pieces = unzipped(data)
-    while True:
-        try:
-            piece = next(pieces, None)
-        except (zlib.error, EOFError) as e:
-            problem = f"broken gzip: {e}"
-            break
-        if piece is None:
-            break
-        yield from reader.feed(piece)
-    if problem is None:
-        yield from reader.finish()
-    elif reader.header is not None or reader.held:
-        yield from reader.finish(problem)
-    else:
-        yield {}, b"", problem
+def records(pieces, wanted: tuple[str, ...] | None = None):
+    """(header, block, problem) of each record of a file that comes in ``pieces``, and of each place where it is broken.
+
+    A record comes out when the next one does or when its gzip member has ended whole; else it has the member's problem.
+    """
+    reader, last = Reader(wanted), []
+    for kind, x in unzipped(pieces):
+        if kind == "plain":
+            yield from reader.feed(x)
+            continue
+        if kind == "data":
+            for r in reader.feed(x):
+                if r[2] is None:  # bytes that are no record may come from the same damage
+                    yield from last
+                    last = []
+                last.append(r)
+            continue
+        if kind == "broken":
+            lost = [(h, b, x) for h, b, _ in [*last, *reader.finish(x)] if h]
+            last, reader = lost or [({}, b"", x)], Reader(wanted)
+        yield from last
+        last = []
+    yield from last
+    yield from reader.finish()
 
 
 def derive_one(record_id: str | None, uri: str | None, date: str | None, header: dict[str, str], block: bytes | None) -> list[dict]:
@@ -363,37 +428,33 @@ def read_responses(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from _rows(records(batch.column("content")[k].as_py() or b"", ("response",)))
+                yield from _rows(records(cut(batch.column("content")[k].as_py() or b""), ("response",)))
 
     return files.select("content").mapInArrow(run, RESPONSE)
 
 
 def stream_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The same from gzipped WARC files (``.gz``) of any size: Spark reads them line by line, one task a file.
+    """The same from files of any size, gzipped or not: a task reads a file piece by piece, where it lies.
 
-    Other files under ``path`` are left out, since Spark would split them. A file whose gzip is broken ends there; its
-    last record then has ``problem`` if it was cut.
+    Spark lists the files; the file system must be one that pyarrow opens by its address. For others there is
+    ``read_responses``. A file that can't be opened is a row with ``problem``.
     """
-    lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.gz").text(path)
-    rows = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    # largest first, and one task for each file
+    files = files.orderBy(F.desc("length")).repartition(max(1, files.count()))
+
+    def pieces(file: str):
+        store, at = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
+        with store.open_input_stream(at, compression=None) as f:
+            while piece := f.read(CHUNK):
+                yield piece
 
     def run(batches):
-        file, reader = None, None
         for batch in batches:
-            names, values = batch.column("file").to_pylist(), batch.column("line").to_pylist()
-            at = 0
-            while at < len(names):
-                if names[at] != file:
-                    if reader:
-                        yield from _rows(reader.finish())
-                    file, reader = names[at], Reader(("response",))
-                to, size = at, 0
-                while to < len(names) and names[to] == file and size < CHUNK:
-                    size += len(values[to])
-                    to += 1
-                yield from _rows(reader.feed(b"\n".join(values[at:to]) + b"\n"))
-                at = to
-        if reader:
-            yield from _rows(reader.finish())
-
-    return rows.mapInArrow(run, RESPONSE)
+            for file in batch.column("path").to_pylist():
+                try:
+                    yield from _rows(records(pieces(file), ("response",)))
+                except (OSError, pa.ArrowInvalid) as e:
+                    yield from _rows([({}, b"", f"{file} can't be read: {e}")])
+
+    return files.mapInArrow(run, RESPONSE)
