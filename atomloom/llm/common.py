@@ -19,6 +19,8 @@ MASK64 = (1 << 64) - 1
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Places in a word whose byte values are kept in a table.
 PLACES = 64
+#: Groups that a sample may have.
+MOST_GROUPS = 10_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -263,17 +265,20 @@ def map_texts(docs, column: str, fields: list, fn, keep: list[str] | None = None
 
 
 def hashed_sample(rows, group: str, keys: list[str], sizes: dict, n: int):
-    """At most ``n`` rows of each group: those with the least hashes of ``keys``. ``sizes``: rows by group, few groups.
+    """At most ``n`` rows of each group: those with the least hashes of ``keys``. ``sizes``: rows by group.
 
-    ``rows`` are distinct in group and keys. Hashes that are surely too large go before rows meet by group, so a task
-    gets about 1.5 n + 200 rows of a group however many there are; fewer than n are left once in 10**20 times.
+    ``rows`` are distinct in group and keys, and ``sizes`` counts them so. Hashes that are surely too large go before rows
+    meet by group, so a task gets about 1.5 n + 200 rows of a group however many there are; fewer than n are left once in
+    10**20 times. Groups are broadcast with their limits, so that there may be ``MOST_GROUPS``.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
-    limit = F.lit(None).cast("long")
-    for g, size in sizes.items():
-        limit = F.when(quoted(group) == F.lit(g), F.lit(min(MASK64 >> 1, int((1.5 * n + 200) / max(1, size) * 2**64) - 2**63))).otherwise(limit)
-    hashed = rows.withColumn("__h", F.xxhash64(*[quoted(k) for k in keys])).where(F.col("__h") <= limit)
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"{group} has {len(sizes)} values; a sample takes {MOST_GROUPS} groups at most")
+    limits = [(g, min(MASK64 >> 1, int((1.5 * n + 200) / max(1, size) * 2**64) - 2**63)) for g, size in sizes.items()]
+    limit = rows.sparkSession.createDataFrame(limits, T.StructType([T.StructField("__g", rows.schema[group].dataType), T.StructField("__limit", T.LongType())]))
+    hashed = rows.withColumn("__h", F.xxhash64(*[quoted(k) for k in keys])).join(F.broadcast(limit), quoted(group) == F.col("__g")).where("__h <= __limit")
     rank = Window.partitionBy(quoted(group)).orderBy("__h", *[quoted(k) for k in keys])
-    return hashed.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= n).drop("__h", "__r")
+    return hashed.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= n).drop("__h", "__r", "__g", "__limit")

@@ -390,5 +390,5 @@ def read(manifest: DataFrame, ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = manifest.select("path", "start")
-    # one file is as large as a partition was: each goes to a task of its own
-    return files.repartition(F.col("path")).mapInArrow(run, fields)
+    # one file is as large as a partition was: each goes to a task of its own; a number that is set isn't merged again
+    return files.repartition(max(1, files.count())).mapInArrow(run, fields)

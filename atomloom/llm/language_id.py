@@ -12,7 +12,8 @@ of every gram (context and byte) that one of them has seen, and the escapes of e
 costs the escapes of its context and what the shorter gram costs. The lengths are those of the trees, exactly: no
 language and no context is left out. With more than ``TABLE_LANGUAGES`` languages there are several tables, so that the
 size grows with the languages and not with their square. ``rows_per_language`` texts for each language are learned from
-(those with the least row hashes, so the sample is the same every time); the tables' size depends on this sample, not on the corpus.
+(those with the least row hashes, so the sample is the same every time; rows that repeat count once); the tables' size
+depends on this sample, not on the corpus, and is checked against ``MOST_BYTES`` before they are broadcast.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled text every text is
 ``und``; ties go to the language first in order; a result column replaces an input column of the same name.
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import Texts, hashed_sample, map_texts, quoted
+from atomloom.llm.common import MOST_GROUPS, Texts, hashed_sample, map_texts, quoted
+from atomloom.session import materialize
 
-ROWS_PER_LANGUAGE, ORDER, TABLE_LANGUAGES = 400, 3, 8
+ROWS_PER_LANGUAGE, ORDER, TABLE_LANGUAGES, MOST_BYTES = 400, 3, 8, 1 << 30
 LETTER = regex.compile(r"\p{L}").search
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -119,6 +121,10 @@ class Model:
         self.order, self.languages = order, sorted(k for k, v in labelled.items() if any(v))
         self.tables = [Table([Tree(labelled[k], order) for k in self.languages[at : at + TABLE_LANGUAGES]], order) for at in range(0, len(self.languages), TABLE_LANGUAGES)]
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for table in self.tables for pair in (*table.grams, *table.contexts) for a in pair)
+
     def lengths(self, texts: Texts) -> np.ndarray:
         """Code length in bits of each text in each language."""
         codes = LOWER[texts.bytes].astype(np.int64)
@@ -140,14 +146,19 @@ class Model:
 def learn(labelled: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, **options) -> Model:
     """A frozen model from a bounded sample of labelled rows."""
     rows = labelled.select(quoted(doc_id).alias("d"), quoted(lang).cast("string").alias("l"), quoted(text).alias("t")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    # the pick needs no text: rows are named by a hash of theirs, and the texts come by a join of the bounded pick
-    picked = hashed_sample(rows.select("l", F.xxhash64("d", "l", "t").alias("h")), "l", ["h"], sizes, rows_per_language).select("h").distinct()
+    # the pick needs no text: rows are named by a hash of theirs, and the texts come by a join of the bounded pick; rows that
+    # repeat are one, so that they take one place in the sample
+    named = materialize(rows.select("l", F.xxhash64("d", "l", "t").alias("h")).distinct(), "labelled")
+    sizes = {r["l"]: r["count"] for r in named.groupBy("l").count().limit(MOST_GROUPS + 1).collect()}
+    picked = hashed_sample(named, "l", ["h"], sizes, rows_per_language).select("h").distinct()
     sample = rows.withColumn("h", F.xxhash64("d", "l", "t")).join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"]).select("l", "t").collect()
     by: dict[str, list[bytes]] = {}
     for r in sample:
         by.setdefault(r["l"], []).append(r["t"].encode())
-    return Model({k: sorted(v) for k, v in by.items()}, **options)
+    model = Model({k: sorted(v) for k, v in by.items()}, **options)
+    if model.nbytes > MOST_BYTES:
+        raise ValueError(f"the model has {model.nbytes >> 20} MB, over {MOST_BYTES >> 20}: learn from fewer rows a language or drop values of {lang}")
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

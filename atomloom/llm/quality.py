@@ -10,8 +10,8 @@ time), weighted back to the grades' true shares; features are made on the execut
 driver, whose memory depends on that bound. Features found in fewer than ``min_rows`` rows keep weight 0.
 
 Defined cases: a label row with a null is left out; several label rows of a document all count (equal ones as one row of
-the sample with their number as its weight); null and empty texts
-have level features only and are scored like others; without any labels everything has tail probability 1; grades that
+the sample with their number as its weight); of several texts of one id
+the fit takes the least, so that repeated documents don't fill the sample; null and empty texts have level features only and are scored like others; without any labels everything has tail probability 1; grades that
 no label shows have probability 0; a result column replaces an input column of the same name.
 """
 
@@ -140,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, grade, doc_id: str = "doc_id", tex
             offsets, buckets = features(Texts(batch.column("t")))
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets))], names=["g", "n", "f"])
 
-    # picked has rows_per_grade rows for each grade at most
-    sample = docs.select(quoted(doc_id).alias("d"), quoted(text).alias("t")).join(F.broadcast(picked), "d").select("g", "n", "t")
+    # picked has rows_per_grade rows for each grade at most, and each gets one text
+    sample = docs.select(quoted(doc_id).alias("d"), quoted(text).alias("t")).join(F.broadcast(picked), "d").groupBy("d", "g", "n").agg(F.min("t").alias("t")).select("g", "n", "t")
     rows = sample.mapInArrow(run, "g int, n long, f array<int>").toArrow().combine_chunks()
     if not rows.num_rows:
         return Ordinal([], np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(0))
