@@ -28,7 +28,7 @@ from atomloom.session import materialize
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Rows and bytes of counts that a task adds up before it hands them on; sources in a block, terms in a shard, pairs at once.
 HELD_ROWS, HELD_BYTES, SOURCES, TERMS, PAIRS = 400_000, 64 << 20, 256, 512, 1 << 20
-DIGIT, BITS = 10, 30
+DIGIT, BITS, FEW_GROUPS = 10, 30, 10_000
 
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
@@ -128,10 +128,13 @@ def radix_top(rows: DataFrame, group: list[str], value: str, item: str, k: int,
 
     ``rows`` is a written table; values are whole numbers from 0 to below 2**bits, items distinct within their group.
     """
+    # thresholds are a row for each group: broadcast where groups are known to be few
+    few = rows.select(*group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    small = F.broadcast if few else lambda df: df
     state = None
     for shift in range(-(-bits // DIGIT) * DIGIT - DIGIT, -1, -DIGIT):
         digit = F.shiftright(value, shift) if state is None else F.shiftright(value, shift).bitwiseAND((1 << DIGIT) - 1)
-        at = rows if state is None else rows.join(state, group).where(F.shiftright(value, shift + DIGIT) == F.col("__prefix"))
+        at = rows if state is None else rows.join(small(state), group).where(F.shiftright(value, shift + DIGIT) == F.col("__prefix"))
         at = at.withColumns({"__digit": digit, "__prefix": F.lit(0).cast("long") if state is None else F.col("__prefix"), "__left": F.lit(k).cast("long") if state is None else F.col("__left")})
         counts = at.groupBy(*group, "__prefix", "__left", "__digit").agg(F.count(F.lit(1)).alias("__n"))
         before = Window.partitionBy(*group).orderBy(F.desc("__digit")).rowsBetween(Window.unboundedPreceding, -1)
@@ -140,16 +143,16 @@ def radix_top(rows: DataFrame, group: list[str], value: str, item: str, k: int,
         hit = counts.where((F.col("__before") < F.col("__left")) & (F.col("__left") <= F.col("__before") + F.col("__n")))
         state = hit.select(*group, (F.col("__prefix") * (1 << DIGIT) + F.col("__digit")).alias("__prefix"), (F.col("__left") - F.col("__before")).alias("__left"), "__n")
     state = materialize(state.withColumnRenamed("__prefix", "__value"), "thresholds")
-    marked = rows.join(state, group, "left")
+    marked = rows.join(small(state), group, "left")
     taken = marked.where("__value is null").select(*rows.columns).unionByName(marked.where((F.col(value) > F.col("__value")) | ((F.col(value) == F.col("__value")) & (F.col("__n") == F.col("__left")))).select(*rows.columns))
     tied = state.where("__n > __left").withColumns({"__prefix": F.lit(b""), "__done": F.lit(False)})
-    own, at, width = rows.join(tied.select(*group, "__value"), group).where(F.col(value) == F.col("__value")).withColumn("__bytes", quoted(item).cast("binary")), 0, 8
+    own, at, width = rows.join(small(tied.select(*group, "__value")), group).where(F.col(value) == F.col("__value")).withColumn("__bytes", quoted(item).cast("binary")), 0, 8
     if not tied.isEmpty():
         own = materialize(own.drop("__value"), "ties")
         while not tied.where("not __done").isEmpty():
             # ever longer pieces, so that rounds grow with the logarithm of the items' lengths
             piece = F.substring("__bytes", at + 1, width)
-            open_ = own.join(tied.where("not __done").select(*group, "__prefix", "__left"), group).where(F.substring("__bytes", 1, at) == F.col("__prefix"))
+            open_ = own.join(small(tied.where("not __done").select(*group, "__prefix", "__left")), group).where(F.substring("__bytes", 1, at) == F.col("__prefix"))
             counts = open_.groupBy(*group, "__prefix", "__left", piece.alias("__piece")).agg(F.count(F.lit(1)).alias("__n"))
             before = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
             counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -159,7 +162,7 @@ def radix_top(rows: DataFrame, group: list[str], value: str, item: str, k: int,
             hit = hit.withColumn("__done", F.col("__done") | (F.col("__l") < width)).drop("__l")
             tied = materialize(hit.unionByName(tied.where("__done").select(*hit.columns)), "ties")
             at, width = at + width, width * 4
-        last = own.join(tied.select(*group, "__prefix"), group)
+        last = own.join(small(tied.select(*group, "__prefix")), group)
         taken = taken.unionByName(last.where(F.substring("__bytes", 1, F.length("__prefix")) <= F.col("__prefix")).select(*rows.columns))
     best = Window.partitionBy(*group).orderBy(F.desc(value), item)
     return taken.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
