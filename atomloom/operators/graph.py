@@ -171,19 +171,49 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "any", node:
     return view.join(nodes.select(F.col(node).alias("node")).distinct(), "node")
 
 
+def representatives(paths: DataFrame, left: int) -> DataFrame:
+    """Of the paths (query_id, node, w, used) to each node those that ``left`` more edges can need.
+
+    Whatever ``left`` edges a path goes on with, a heaviest one among those that don't hold them is kept: the heaviest
+    path; for each of its edges the heaviest without that edge; and so on, ``left`` times. So rows are bounded by the
+    reached nodes, however many paths lead to them.
+    """
+    if left == 0:
+        return paths.groupBy("query_id", "node").agg(F.max("w").alias("w"))
+    paths = materialize(paths, "paths")
+    without = paths.select("query_id", "node", F.array().cast("array<bigint>").alias("without")).distinct()
+    kept = None
+    for k in range(left + 1):
+        open_ = paths.join(without, ["query_id", "node"]).where(~F.arrays_overlap("used", "without"))
+        best = open_.groupBy("query_id", "node", "without").agg(F.max(F.struct("w", "used")).alias("best"))
+        if k < left:
+            best = materialize(best, "best-paths")
+            without = best.select("query_id", "node", F.explode(F.transform("best.used", lambda e: F.array_sort(F.array_append("without", e)))).alias("without")).distinct()
+        found = best.select("query_id", "node", "best.w", "best.used")
+        kept = found if kept is None else kept.unionByName(found)
+    return kept.distinct()
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, edge_types: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(query_id, node, distance, path_weight) over up to ``hops`` edges from each query's seeds (query_id, seed).
 
     No path uses an edge twice. A node has its least distance and the greatest sum of weights over its paths. With
-    ``limit`` the nearest, then heaviest, then least nodes of each query are kept (a top-k).
+    ``limit`` the nearest, then heaviest, then least nodes of each query are kept (a top-k). Of the paths to a node only
+    those are kept that further edges can need: two for two hops, so that a hub costs its edges and not their square.
     """
-    view = oriented(edges if edge_types is None else edges.where(F.col("edge_type").isin(edge_types)))
-    paths = seeds.select("query_id", F.col("seed").alias("node"), F.lit(0.0).alias("w"), F.array().cast("array<bigint>").alias("used"))
+    view = oriented(edges if edge_types is None else edges.where(F.col("edge_type").isin(edge_types))).select("node", "other", "edge_id", "weight")
+    front = seeds.select("query_id", F.col("seed").alias("node"), F.lit(0.0).alias("w"), F.array().cast("array<bigint>").alias("used")).distinct()
     reached = None
     for d in range(1, hops + 1):
-        paths = paths.join(view.select("node", "other", "edge_id", "weight"), "node").where(~F.array_contains("used", F.col("edge_id")))
+        paths = front.join(view, "node").where(~F.array_contains("used", F.col("edge_id")))
         paths = paths.select("query_id", F.col("other").alias("node"), (F.col("w") + F.col("weight")).alias("w"), F.array_append("used", F.col("edge_id")).alias("used"))
-        hop = paths.groupBy("query_id", "node").agg(F.max("w").alias("w")).withColumn("d", F.lit(d))
+        if d == 1 < hops:
+            # first edges differ, so the heaviest ``hops`` of them are those that can be needed
+            heaviest = Window.partitionBy("query_id", "node").orderBy(F.desc("w"), "used")
+            front = materialize(paths.withColumn("__r", F.row_number().over(heaviest)).where(F.col("__r") <= hops).drop("__r"), "paths")
+        else:
+            front = representatives(paths, hops - d)
+        hop = front.groupBy("query_id", "node").agg(F.max("w").alias("w")).withColumn("d", F.lit(d))
         reached = hop if reached is None else reached.unionByName(hop)
     out = reached.groupBy("query_id", "node").agg(F.min("d").alias("distance"), F.max("w").alias("path_weight"))
     if limit is None:
@@ -249,17 +279,14 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.join(count, ["query_id", "node"], "left").select("query_id", "node", F.when(F.col("n") == 1, 1.0).otherwise(F.coalesce("d", F.lit(0)) / (F.col("n") - 1)).alias("degree"))
 
 
-def betweenness(nodes: list, edges: list[tuple]) -> dict:
-    """Betweenness of an undirected graph whose weights are distances, normalised: one Dijkstra with path counts a node."""
+def dependencies(adjacent: dict, sources: list) -> dict:
+    """How much shortest paths from ``sources`` depend on each node, weights being distances: one Dijkstra with path counts each."""
     import heapq
 
-    adjacent: dict = {v: {} for v in nodes}
-    for a, b, w in edges:
-        adjacent[a][b] = adjacent[b][a] = w
-    total = dict.fromkeys(nodes, 0.0)
-    for s in nodes:
-        order, before, paths, dist, seen = [], {v: [] for v in nodes}, dict.fromkeys(nodes, 0.0), {}, {s: 0.0}
-        paths[s], queue, tick = 1.0, [(0.0, 0, s)], 0
+    total = dict.fromkeys(adjacent, 0.0)
+    for s in sources:
+        order, before, paths, dist, seen = [], {s: []}, {s: 1.0}, {}, {s: 0.0}
+        queue, tick = [(0.0, 0, s)], 0
         while queue:
             d, _, v = heapq.heappop(queue)
             if v in dist:
@@ -275,36 +302,57 @@ def betweenness(nodes: list, edges: list[tuple]) -> dict:
                 elif u not in dist and abs(far - seen[u]) <= 1e-15:
                     paths[u] += paths[v]
                     before[u].append(v)
-        share = dict.fromkeys(nodes, 0.0)
+        share = dict.fromkeys(order, 0.0)
         for v in reversed(order):
             for u in before[v]:
                 share[u] += paths[u] / paths[v] * (1 + share[v])
             if v != s:
                 total[v] += share[v]
+    return total
+
+
+def neighbourhoods(nodes: list, edges: list[tuple]) -> dict:
+    """{node: {neighbour: weight}} of an undirected graph."""
+    adjacent: dict = {v: {} for v in nodes}
+    for a, b, w in edges:
+        adjacent[a][b] = adjacent[b][a] = w
+    return adjacent
+
+
+def betweenness(nodes: list, edges: list[tuple]) -> dict:
+    """Betweenness of an undirected graph whose weights are distances, normalised."""
     n = len(nodes)
-    return {v: t / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, t in total.items()}
+    return {v: t / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, t in dependencies(neighbourhoods(nodes, edges), nodes).items()}
 
 
-def structural(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def structural(edges: DataFrame, nodes: DataFrame, work: int = 1 << 22) -> DataFrame:
     """(query_id, node, degree, betweenness, structural): .6 degree + .4 betweenness in the graph of a query's candidates.
 
-    Candidates are the few that retrieval left for a query; one task takes all of a query's, in time candidates x edges.
+    The searches from a query's candidates are dealt to tasks of about ``work`` steps (sources x edges and nodes), each
+    with the query's graph; what they give each node is summed. A task's memory follows the query's graph.
     """
-    e = induced(edges, nodes)
-    d = degree_centrality(edges, nodes)
-    rows = d.select("query_id", F.col("node").alias("a"), F.lit(None).cast(dict(e.dtypes)["b"]).alias("b"), F.col("degree").alias("weight")).unionByName(e)
-    kind = dict(d.dtypes)["node"]
-    qkind = dict(d.dtypes)["query_id"]
+    e = materialize(induced(edges, nodes), "induced")
+    d = materialize(degree_centrality(edges, nodes), "degrees")
+    kinds = dict(d.dtypes)
+    n = F.count(F.lit(1)).cast("double")
+    sizes = d.groupBy("query_id").agg(n.alias("n")).join(e.groupBy("query_id").agg(n.alias("m")), "query_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    deals = F.least(F.col("n"), F.greatest(F.lit(1.0), F.ceil(F.col("n") * (F.col("n") + F.col("m")) / work))).cast("int")
+    rows = d.select("query_id", F.col("node").alias("a"), F.lit(None).cast(kinds["node"]).alias("b"), F.lit(0.0).alias("weight")).unionByName(e)
+    rows = rows.join(sizes.select("query_id", deals.alias("deals")), "query_id").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
 
     def run(table: pa.Table) -> pa.Table:
-        q, a, b, w = (table.column(c).to_pylist() for c in ("query_id", "a", "b", "weight"))
-        degree = {x: v for x, y, v in zip(a, b, w, strict=True) if y is None}
+        a, b, w = (table.column(c).to_pylist() for c in ("a", "b", "weight"))
+        names = sorted(x for x, y in zip(a, b, strict=True) if y is None)
         inner = sorted((x, y, v) for x, y, v in zip(a, b, w, strict=True) if y is not None)
-        names = sorted(degree)
-        between = betweenness(names, inner)
-        return pa.table({"query_id": pa.array([q[0]] * len(names), table.schema.field("query_id").type), "node": pa.array(names, table.schema.field("a").type), "degree": [degree[x] for x in names], "betweenness": [between[x] for x in names]})
-
-    out = rows.groupBy("query_id").applyInArrow(run, f"query_id {qkind}, node {kind}, degree double, betweenness double")
+        own = names[table.column("deal")[0].as_py() :: table.column("deals")[0].as_py()]
+        found = dependencies(neighbourhoods(names, inner), own)
+        q = table.column("query_id")[0].as_py()
+        return pa.table({"query_id": pa.array([q] * len(names), table.schema.field("query_id").type), "node": pa.array(names, table.schema.field("a").type), "part": pa.array([found[x] for x in names], pa.float64())})
+
+    parts = rows.groupBy("query_id", "deal").applyInArrow(run, f"query_id {kinds['query_id']}, node {kinds['node']}, part double")
+    between_ = parts.groupBy("query_id", "node").agg(F.sum("part").alias("part")).join(sizes, "query_id")
+    share = F.when(F.col("n") > 2, F.col("part") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0)
+    out = d.join(between_.select("query_id", "node", share.alias("betweenness")), ["query_id", "node"])
     return out.withColumn("structural", 0.6 * F.col("degree") + 0.4 * F.col("betweenness"))
 
 
