@@ -52,8 +52,11 @@ def full_text(atoms: DataFrame, queries: DataFrame, limit: int | None = None, it
     wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
     index = atoms.select(item, F.explode(F.array_distinct(of_queries(bm25_tokens(F.col(text)), asked_terms(queries)))).alias("term"))
     hits = index.join(terms, "term").groupBy("query_id", item).agg(F.count(F.lit(1)).alias("n")).join(wanted, "query_id").where("n = wanted").select("query_id", item)
-    if limit is None:
-        return hits
+    return hits if limit is None else first_by_id(hits, limit, item)
+
+
+def first_by_id(hits: DataFrame, limit: int, item: str = "atom_id") -> DataFrame:
+    """The first ``limit`` hits of each query by id."""
     return hits.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy(item))).where(F.col("__r") <= limit).drop("__r")
 
 
@@ -219,13 +222,16 @@ def learned_weights(weights: RetrievalWeights, rewards: list[float], least: int
     return weights.updated(sum(rewards) / len(rewards)) if len(rewards) >= least else weights
 
 
-def hybrid(atoms: DataFrame, edges: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), weights: RetrievalWeights = RetrievalWeights(), sources: list[str] | None = None, modality: str | None = None, resolution: str | None = None) -> DataFrame:
+def hybrid(atoms: DataFrame, edges: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), weights: RetrievalWeights = RetrievalWeights(), sources: list[str] | None = None, modality: str | None = None, resolution: str | None = None, index: postings.Index | None = None) -> DataFrame:
     """Hybrid retrieval for a batch of queries (query_id, text, embedding, modalities): the ranked, packed results.
 
+    With a keyword ``index`` of these atoms (or of more) keyword hits come from it, not from a pass over all texts.
+
     ``atoms``: atom_id, content, modality, resolution, source, embedding. Only those of ``sources``, ``modality`` and
     ``resolution`` are found, whichever way, or packed; walks may pass through others.
     """
     from atomloom.config import RESOLUTION_WEIGHTS
+    from atomloom.operators import postings
 
     atoms = restricted(atoms, sources, modality, resolution)
 
@@ -233,7 +239,9 @@ def hybrid(atoms: DataFrame, edges: DataFrame, queries: DataFrame, config: Searc
     v = materialize(v.select("query_id", F.col("atom_id").alias("node"), "score", "rank"), "vector-evidence")
     seeds = v.select("query_id", F.col("node").alias("seed"))
     g = graph_evidence(edges, seeds, config, tolerance=config.ppr_tolerance)
-    hits = full_text(atoms, queries, config.top_k_bm25).join(atoms.select("atom_id", "content"), "atom_id")
+    hits = full_text(atoms, queries) if index is None else postings.full_text(index, queries)
+    # hits of atoms that are left out don't count, so the first by id are taken behind the join
+    hits = first_by_id(hits.join(atoms.select("atom_id"), "atom_id", "left_semi"), config.top_k_bm25).join(atoms.select("atom_id", "content"), "atom_id")
     b = min_max(bm25(hits, queries), "bm25").select("query_id", F.col("atom_id").alias("node"), F.col("bm25").alias("score"))
     c = materialize(merged(v, g, b), "candidates")
     s = graph.structural(edges, c.select("query_id", "node")).select("query_id", "node", F.col("structural").alias("s"))

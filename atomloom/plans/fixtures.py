@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.operators import graph, vector
+from atomloom.operators import graph, postings, vector
 
 AS_OF = "2024-04-15 00:00:00"
 BLANK_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -89,6 +89,26 @@ QUERIES_SQL = """queries AS (SELECT item_id AS query_id, array_to_string(string_
             FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 20 = 0)"""
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword queries: two words of every twentieth benchmark item."""
+    words = F.slice(F.split(F.lower("text"), r"[^a-zà-ÿ]+"), 2, 2)
+    return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+
+
+ASKED_SQL = "asked AS (SELECT item_id AS query_id, array_to_string(string_split_regex(lower(text), '[^a-zà-ÿ]+')[2:3], ' ') AS text FROM benchmark WHERE item_id % 20 = 0)"
+
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index over all documents, built once in a session for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("atom_id"), F.col("text").alias("content"))
+        _INDEXES[key] = postings.build(docs)
+    return _INDEXES[key]
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two seeds for each query; every twentieth vector is a query."""
     q = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atomloom.config import BLOCKED_RESULT_DOMAINS, SearchConfig
-from atomloom.operators import graph, retrieval, vector, websearch
+from atomloom.operators import graph, postings, retrieval, vector, websearch
 from atomloom.plans import fixtures as fx
 from atomloom.plans.graph_queries import DEGREE_SQL, GRAPH_SQL
 from atomloom.plans.registry_base import Registry
@@ -21,12 +21,7 @@ def _docs(spark, sf_dir):
     return T(spark, sf_dir, "documents").select(F.col("doc_id").alias("atom_id"), F.col("text").alias("content"))
 
 
-def _asked(spark, sf_dir):
-    """Queries of two common words; their ids are those of vector queries."""
-    return spark.createDataFrame([(20, "the of"), (40, "und der"), (60, "de la de"), (80, "the thing")], "query_id long, text string")
-
-
-_ASKED = "asked AS (SELECT * FROM (VALUES (CAST(20 AS BIGINT), 'the of'), (40, 'und der'), (60, 'de la de'), (80, 'the thing')) AS t(query_id, text))"
+_ASKED = fx.ASKED_SQL
 _FULL = f"""{_ASKED}, terms AS (SELECT query_id, list_distinct({_TOK.format("text")}) AS t FROM asked), toks AS (SELECT doc_id AS atom_id, text AS content, {_TOK.format("text")} AS w FROM documents),
 hits AS (SELECT query_id, atom_id, content, w FROM toks, terms WHERE list_has_all(w, t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY atom_id) <= 5)"""
 _BM25 = f"""{_FULL}, c AS (SELECT query_id, count(*) AS n, avg(len(w)) AS avgdl FROM hits GROUP BY query_id),
@@ -40,13 +35,13 @@ norm AS (SELECT query_id, atom_id, CASE WHEN max(bm25) OVER w <= 0 THEN bm25 WHE
 
 @query(f"WITH {_FULL} SELECT query_id, atom_id FROM hits")
 def q_fulltext(spark, sf_dir):
-    return retrieval.full_text(_docs(spark, sf_dir), _asked(spark, sf_dir), 5)
+    return postings.full_text(fx.keyword_index(spark, sf_dir), fx.asked(spark, sf_dir), 5)
 
 
 @query(f"WITH {_BM25} SELECT query_id, atom_id, round(score, 6) AS score FROM norm")
 def q_bm25_rerank(spark, sf_dir):
-    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    hits = retrieval.full_text(docs, asked, 5).join(docs, "atom_id")
+    asked = fx.asked(spark, sf_dir)
+    hits = postings.full_text(fx.keyword_index(spark, sf_dir), asked, 5).join(_docs(spark, sf_dir), "atom_id")
     return retrieval.min_max(retrieval.bm25(hits, asked), "bm25").select("query_id", "atom_id", F.round("bm25", 6).alias("score"))
 
 
@@ -57,7 +52,7 @@ idf AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf, avg
 s AS (SELECT query_id, atom_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM tf JOIN asked_terms USING (term) JOIN idf USING (term) GROUP BY ALL)
 SELECT query_id, atom_id, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, atom_id) <= 10""")
 def q_bm25_corpus(spark, sf_dir):
-    got = retrieval.bm25_corpus(_docs(spark, sf_dir), _asked(spark, sf_dir), 10)
+    got = postings.bm25_top(fx.keyword_index(spark, sf_dir), fx.asked(spark, sf_dir), 10)
     return got.select("query_id", "atom_id", F.round("bm25", 6).alias("score"))
 
 
@@ -78,7 +73,7 @@ def _vector(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir):
-    got = retrieval.bm25_corpus(_docs(spark, sf_dir), _asked(spark, sf_dir), 10)
+    got = postings.bm25_top(fx.keyword_index(spark, sf_dir), fx.asked(spark, sf_dir), 10)
     return got.select("query_id", F.col("atom_id").alias("node"), F.col("bm25").alias("score"), "rank")
 
 
@@ -167,7 +162,7 @@ def q_evidence(spark, sf_dir):
 def q_hybrid(spark, sf_dir):
     """The flagship: every kind of evidence, fused, re-ranked and packed."""
     edges = materialize(fx.edges(spark, sf_dir).drop("edge_id"), "graph")
-    got = retrieval.hybrid(fx.atoms(spark, sf_dir), edges, fx.queries(spark, sf_dir))
+    got = retrieval.hybrid(fx.atoms(spark, sf_dir), edges, fx.queries(spark, sf_dir), index=fx.keyword_index(spark, sf_dir))
     return got.select("query_id", "rank", "node", "score", "v", "g", "b", "s", "m", "source", "modality", "context")
 
 
