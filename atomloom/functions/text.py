@@ -1,15 +1,12 @@
-"""Text functions as Column expressions: all stay in the JVM and in code generation, but for nested parts of pages."""
+"""Text functions as Column expressions: all stay in the JVM and in code generation, but for the scan of pages."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from atomloom.config import GATE_STOPWORDS, STOPWORDS
+from atomloom.functions.pages import read_page
 
 #: ASCII white space, as the strip of most languages takes it.
 BLANK = " \t\n\r\x0b\x0c"
@@ -142,56 +139,9 @@ def relevant(content: Column, query: Column, step: Column | None = None, sample:
 
 
 def html_title(c: Column) -> Column:
-    return strip(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1))
-
-
-#: Elements that hold no content.
-NOISE = ("script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript")
-
-
-RAW = ("script", "style", "iframe", "noscript")
-#: The elements that hold a page's content, the most telling first.
-PARTS = (("article", r"<article\b[^>]*>"), ("main", r"<main\b[^>]*>"), ("div", r"<div\b[^>]*class=[\"'][^\"']*(?:content|article|post)[^\"']*[\"'][^>]*>"))
-
-
-def outer(page: str | None) -> str | None:
-    """What the first content element of a page holds, to its own end or that of the page; None without one or if it is empty.
-
-    One pass over the element's tags: elements of the same kind within it don't end it.
-    """
-    for tag, start in PARTS if page else ():
-        first = re.search(start, page, re.I)
-        if first is None:
-            continue
-        depth, end = 1, len(page)
-        for t in re.compile(rf"<(/?){tag}\b", re.I).finditer(page, first.end()):
-            depth += -1 if t[1] else 1
-            if depth == 0:
-                end = t.start()
-                break
-        if end > first.end():
-            return page[first.end() : end]
-    return None
-
-
-@F.pandas_udf(StringType())
-def outer_part(pages: pd.Series) -> pd.Series:
-    return pages.map(outer)
-
-
-def without_elements(c: Column, tags: tuple[str, ...]) -> Column:
-    return F.regexp_replace(c, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", " ")
+    return read_page(c)["title"]
 
 
 def html_text(c: Column) -> Column:
-    """Plain text of a page: noise elements go, then the article, main or content part, else the body."""
-    page = F.regexp_replace(c, r"(?is)<!--.*?-->", " ")
-    # what scripts hold is no markup, so that they go first
-    page = without_elements(without_elements(page, RAW), tuple(t for t in NOISE if t not in RAW))
-
-    part = F.coalesce(outer_part(page), F.regexp_extract(page, r"(?is)<body[^>]*>(.*)</body>", 1))
-    text = F.regexp_replace(part, r"(?s)<[^>]*>", "\n")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    return clean_text(F.array_join(lines, "\n"))
+    """Plain text of a page: its content part, else what the scores prefer, else the body (``functions/pages.py``)."""
+    return clean_text(read_page(c)["lines"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from atomloom.config import OTHER_THRESHOLD, SIMILARITY_THRESHOLDS
@@ -252,10 +252,14 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     state = homes.select("query_id", F.explode("homes").alias("node"), share.alias("t"), share.alias("score"))
     for k in range(iterations):
         after = pagerank_step(state, out_edges, homes, alpha)
+        if tolerance is not None:
+            # how far scores move is seen while they are written
+            seen = Observation()
+            after = after.observe(seen, F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("moved"))
         if tolerance is not None or k + 1 < iterations:
             after = materialize(after, "pagerank")
         if tolerance is not None:
-            moved = after.agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+            moved = seen.get["moved"]
             if moved is not None and moved < tolerance:
                 break
         state = after.drop("old").where("score is not null or t is not null")

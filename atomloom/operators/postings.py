@@ -23,7 +23,7 @@ from atomloom.functions.text import bm25_tokens
 from atomloom.operators.retrieval import K1, B, asked_terms, first_by_id
 from atomloom.session import materialize, shared_dir
 
-PER_BLOCK, PROBES = 1024, 2
+PER_BLOCK, PROBES = 256, 2
 #: Bounds and scores are sums in different orders.
 SLACK = 1 + 1e-9
 

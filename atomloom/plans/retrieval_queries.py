@@ -33,6 +33,15 @@ bm AS (SELECT h.query_id, h.atom_id, coalesce(s, 0) AS bm25 FROM hits AS h LEFT
 norm AS (SELECT query_id, atom_id, CASE WHEN max(bm25) OVER w <= 0 THEN bm25 WHEN max(bm25) OVER w = min(bm25) OVER w THEN 0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS score FROM bm WINDOW w AS (PARTITION BY query_id))"""
 
 
+@query(f"""WITH toks AS (SELECT doc_id AS atom_id, unnest({_TOK.format("text")}) AS term FROM documents)
+SELECT term, count(DISTINCT atom_id) AS df, count(*) AS occurrences, max(n) AS most FROM (SELECT *, count(*) OVER (PARTITION BY atom_id, term) AS n FROM toks) GROUP BY term""")
+def q_keyword_index(spark, sf_dir):
+    """What the index holds of each term: atoms, occurrences, and the most in one atom."""
+    p = fx.keyword_index(spark, sf_dir).postings
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return p.groupBy("term").agg(F.sum("n").alias("df"), F.sum(total).alias("occurrences"), F.max(F.array_max("counts")).cast("bigint").alias("most"))
+
+
 @query(f"WITH {_FULL} SELECT query_id, atom_id FROM hits")
 def q_fulltext(spark, sf_dir):
     return postings.full_text(fx.keyword_index(spark, sf_dir), fx.asked(spark, sf_dir), 5)

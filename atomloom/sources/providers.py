@@ -14,28 +14,61 @@ from pyspark.sql import functions as F
 from atomloom.functions.text import snippet, strip
 
 HIT = "array<struct<title:string,url:string,snippet:string,date:string>>"
-ANCHOR = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
+NAMED = r"(?i)\bclass=[\"']([^\"']*)[\"']"
+MARK = "\x01"
 
 
 def plain(c: Column) -> Column:
-    """The text of a piece of HTML."""
-    text = F.regexp_replace(c, r"(?s)<[^>]*>", "")
+    """The text of a piece of HTML; a "<" whose tag has no end stays."""
+    pieces = F.split(c, "<")
+    rest = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.when(F.instr(p, ">") > 0, F.split(p, ">", 2)[1]).otherwise(F.concat(F.lit("<"), p)))
+    text = F.concat(pieces[0], F.array_join(rest, ""))
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return strip(text)
 
 
-def classed(tag: str, name: str) -> str:
-    """A pattern for the opening tag of an element that has a class."""
-    return rf"(?i)<{tag}\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>"
+def after_tags(body: Column, tag: str) -> Column:
+    """What comes behind each "<tag", up to the next one: the rest of the tag, ">" and its content."""
+    pieces = F.split(body, rf"(?i)<{tag}\b")
+    return F.slice(pieces, 2, F.size(pieces))
+
+
+def has_class(piece: Column, name: str) -> Column:
+    """Whether the tag that a piece goes on with is closed and has a class."""
+    classes = F.split(F.regexp_extract(F.substring_index(piece, ">", 1), NAMED, 1), r"\s+")
+    return (F.instr(piece, ">") > 0) & F.array_contains(F.transform(classes, F.lower), name.lower())
 
 
 def blocks(body: Column, tag: str, name: str) -> Column:
-    """What follows each opening tag of an element with a class, up to the next one."""
-    parts = F.split(body, classed(tag, name))
+    """What each element with a class holds, up to the next such element: all that follows its tag.
+
+    The page is cut at all tags of that kind, marked at those with the class, put together again and cut at the marks.
+    """
+    pieces = after_tags(F.translate(body, MARK, " "), tag)
+    marked = F.transform(pieces, lambda p: F.when(has_class(p, name), F.concat(F.lit(MARK), F.split(p, ">", 2)[1])).otherwise(F.concat(F.lit(f"<{tag}"), p)))
+    parts = F.split(F.array_join(marked, ""), MARK)
     return F.slice(parts, 2, F.size(parts))
 
 
+def inside(html: Column, tag: str) -> Column:
+    """What the first element of a kind holds, up to its end tag; empty without one."""
+    first = F.get(F.split(html, rf"(?i)<{tag}\b", 2), 1)
+    content = F.get(F.split(F.when(F.instr(first, ">") > 0, F.split(first, ">", 2)[1]), rf"(?i)</{tag}\s*>", 2), 0)
+    closed = F.size(F.split(first, rf"(?i)</{tag}\s*>", 2)) > 1
+    return F.when(closed, F.coalesce(content, F.lit(""))).otherwise("")
+
+
+def link(html: Column, name: str | None = None) -> Column:
+    """(href, text) of the first link that has an address (and a class); empty ones without such a link."""
+    held = after_tags(html, "a")
+    address = lambda p: F.regexp_extract(F.substring_index(p, ">", 1), r"(?i)\bhref=[\"']([^\"']*)[\"']", 1)
+    fits = F.filter(held, lambda p: (F.instr(p, ">") > 0) & (has_class(p, name) if name else F.substring_index(p, ">", 1).rlike(r"(?i)\bhref=[\"'][^\"']*[\"']")))
+    first = F.coalesce(F.get(fits, 0), F.lit(""))
+    text = F.split(F.get(F.split(first, ">", 2), 1), r"(?i)</a\s*>", 2)
+    return F.struct(address(first).alias("href"), F.when(F.size(text) > 1, text[0]).otherwise("").alias("text"))
+
+
 def hit(title: Column, url: Column, text: Column, date: Column | None = None) -> Column:
     return F.struct(title.alias("title"), url.alias("url"), snippet(text).alias("snippet"), (F.lit(None).cast("string") if date is None else date).alias("date"))
 
@@ -48,12 +81,11 @@ def list_items(body: Column, most: int = 6) -> Column:
     """Results as ``li.b_algo``: the link of the heading; the caption's paragraph, else any, else the caption."""
 
     def one(b: Column) -> Column:
-        head = F.regexp_extract(b, r"(?is)<h2\b[^>]*>(.*?)</h2\s*>", 1)
-        caption = F.regexp_extract(b, classed("div", "b_caption") + r"(?s)(.*?)</div\s*>", 1)
-        paragraph = r"(?is)<p\b[^>]*>(.*?)</p\s*>"
-        texts = F.array(plain(F.regexp_extract(caption, paragraph, 1)), plain(F.regexp_extract(b, paragraph, 1)), plain(caption))
+        head = link(inside(b, "h2"))
+        caption = F.get(F.split(F.coalesce(F.get(blocks(b, "div", "b_caption"), 0), F.lit("")), r"(?i)</div\s*>", 2), 0)
+        texts = F.array(plain(inside(caption, "p")), plain(inside(b, "p")), plain(caption))
         text = F.coalesce(F.get(F.filter(texts, lambda t: t != ""), 0), F.lit(""))
-        return hit(plain(F.regexp_extract(head, ANCHOR, 2)), F.regexp_extract(head, ANCHOR, 1), text)
+        return hit(plain(head["text"]), head["href"], text)
 
     return _first(F.filter(F.transform(blocks(body, "li", "b_algo"), one), lambda h: h["url"].startswith("http")), most)
 
@@ -62,10 +94,8 @@ def result_blocks(body: Column, most: int = 8) -> Column:
     """Results as ``div.result`` with a link ``result__a`` and a text ``result__snippet``."""
 
     def one(b: Column) -> Column:
-        link = F.regexp_extract(b, classed("a", "result__a"), 0)
-        title = F.regexp_extract(b, classed("a", "result__a") + r"(?s)(.*?)</a\s*>", 1)
-        text = F.regexp_extract(b, classed("a", "result__snippet") + r"(?s)(.*?)</a\s*>", 1)
-        return hit(plain(title), F.regexp_extract(link, r"(?i)\bhref=[\"']([^\"']*)[\"']", 1), plain(text))
+        head = link(b, "result__a")
+        return hit(plain(head["text"]), head["href"], plain(link(b, "result__snippet")["text"]))
 
     return _first(F.filter(F.transform(blocks(body, "div", "result"), one), lambda h: (h["url"] != "") & (h["title"] != "")), most)
 
