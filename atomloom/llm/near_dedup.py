@@ -10,8 +10,8 @@ form groups.
    compares sketches and keeps a spanning forest of the likely pairs; a larger one is tied to its first document without
    a comparison, which only makes clusters larger and loses nothing. No bucket's pairs are written out.
 3. Clusters are the connected components of these ties. No link leaves a cluster.
-4. Links. Each cluster's full sets meet in groups of bounded size: a small cluster in one, a large one as pairs of its
-   blocks, so that any two of its documents meet. A search from document to document takes those not yet reached, compares
+4. Links. Each cluster's full sets meet in groups of bounded size (shingles and rows): a small cluster in one, a large one
+   as pairs of its blocks, so that any two of its documents meet. A search from document to document takes those not yet reached, compares
    sketches, then confirms 100 * |intersection| >= percent * |union| on the full sets.
 5. Groups are the connected components of confirmed links, named by their smallest id.
 
@@ -38,7 +38,7 @@ from atomloom.llm.common import U64, Texts, Words, mix64, quoted, separators, sl
 from atomloom.session import materialize
 
 SKETCH_BITS, MISSED, SAMPLES = 512, 1.3e-7, 240
-BUCKET_ROWS, CLUSTER_SHINGLES = 4096, 2 << 20
+BUCKET_ROWS, CLUSTER_SHINGLES, CLUSTER_ROWS = 4096, 2 << 20, 8192
 SEP = separators("space")
 
 
@@ -223,7 +223,7 @@ def _confirm(plan: Plan):
     return run
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS, cluster_shingles: int = CLUSTER_SHINGLES, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): each row's group, by its smallest id; kept is that id itself."""
     plan, known = Plan(percent), docs.where(quoted(doc_id).isNotNull())
     marks = materialize(signatures(docs, shingle, plan, doc_id, text), "signatures")
@@ -236,8 +236,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: st
 
     clusters = connected_components(candidate_ties(own, plan, bucket_rows))
     clustered = materialize(clusters.join(own.select("doc_id", "n_shingles", "sketch"), "doc_id"), "clusters")
-    sizes = clustered.groupBy("component").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > cluster_shingles)
-    large = sizes.select("component", F.ceil(F.col("size") * 2 / cluster_shingles).cast("int").alias("blocks"))
+    # by how much a cluster is over what one task may hold: shingles for its memory, rows for its time
+    size = F.greatest(F.sum("n_shingles") / cluster_shingles, F.count(F.lit(1)) / cluster_rows)
+    large = clustered.groupBy("component").agg(size.alias("size")).where("size > 1").select("component", F.ceil(F.col("size") * 2).cast("int").alias("blocks"))
     dealt = clustered.join(large, "component", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.lit(0)))
     texts = known.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
 

@@ -238,7 +238,7 @@ def group_truth(rows, n, percent=80):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_rows": 2, "cluster_shingles": 150}])
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 2, "cluster_shingles": 150}, {"bucket_rows": 2, "cluster_rows": 3}])
 def test_near_groups(docs, rows, options):
     got = near_dedup.near_groups(docs, shingle=2, **options).collect()
     assert len(got) == len(rows)
@@ -298,7 +298,7 @@ def test_near_copies_chain(spark):
         words[3 * k % 100] = f"e{k}"
         texts.append((k, " ".join(words), None))
     df = spark.createDataFrame(texts, "doc_id long, text string, x string")
-    for options in ({}, {"cluster_shingles": 700, "bucket_rows": 3}):
+    for options in ({}, {"cluster_shingles": 700, "bucket_rows": 3}, {"cluster_rows": 9, "bucket_rows": 3}):
         assert {r.component_id for r in near_dedup.near_groups(df, shingle=2, **options).collect()} == {0}
     assert near_dedup.drop_near_copies(df, shingle=2).count() == 1
 
