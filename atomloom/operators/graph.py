@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +79,71 @@ def similar(atoms: DataFrame, k: int = 10, atom: str = "atom_id", vector: str =
     return reversed_too(found.select(*edge("src", "dst", "SIMILAR_TO", F.col("weight"))))
 
 
-def entity_shared(atoms: DataFrame, atom: str = "atom_id", entities: str = "entities", threshold: float = 0.05) -> DataFrame:
+#: Sets that hold an entity, from which on they meet as pairs of blocks; and the sets of a block.
+HEAVY, SET_BLOCK = 256, 512
+
+
+def set_pairs(classes: DataFrame, threshold: float, heavy: int = HEAVY, block_rows: int = SET_BLOCK) -> DataFrame:
+    """(a, b, w): the pairs a < b of distinct sets (rep, e) whose Jaccard similarity is over ``threshold``; a written table.
+
+    With entities in order of how many sets hold them, rare ones first, two similar sets share one of their first
+    n - floor(threshold n) entities, so that common entities join few sets. A pair counts where its first shared entity is
+    joined, and only if the sizes allow the similarity. Sets of an entity that ``heavy`` or more hold meet as pairs of
+    blocks, a task for each.
+    """
+    held = classes.select("rep", F.explode("e").alias("entity"))
+    ranked = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df")), "entity").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "entity"))).alias("t"))
+    first = F.size("t") - F.floor(F.size("t") * threshold).cast("int")
+    index = materialize(ranked.select("rep", "t", F.size("t").alias("n"), F.explode(F.slice("t", 1, F.greatest(first, F.lit(1)))).alias("at")), "set-index")
+    sizes = index.groupBy("at").agg(F.count(F.lit(1)).alias("m"))
+    possible = F.least("na", "nb") > threshold * F.greatest("na", "nb")
+
+    light = index.join(sizes.where((F.col("m") > 1) & (F.col("m") < heavy)).select("at"), "at")
+    a, b = light.select("at", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("t").alias("ta")), light.select("at", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("t").alias("tb"))
+    both = a.join(b, "at").where((F.col("a") < F.col("b")) & possible).withColumn("both", F.array_intersect("ta", "tb"))
+    jaccard = F.size("both") / (F.col("na") + F.col("nb") - F.size("both"))
+    pairs = both.where((F.array_min("both") == F.col("at")) & (jaccard > threshold)).select("a", "b", jaccard.alias("w"))
+
+    kind = dict(classes.dtypes)["rep"]
+    busy = index.join(sizes.where(F.col("m") >= heavy).select("at", F.ceil(F.col("m") / block_rows).cast("int").alias("blocks")), "at")
+    busy = busy.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    busy = busy.select("at", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", F.col("t.entity").alias("names"), F.array_position("t", F.col("at")).alias("place"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        rep, mine = table.column("rep").combine_chunks(), np.asarray(table.column("mine"))
+        names = table.column("names").combine_chunks()
+        size, place = np.diff(np.asarray(names.offsets)), np.asarray(table.column("place"))
+        codes = np.asarray(names.flatten().dictionary_encode().indices)
+        row = np.repeat(np.arange(len(size)), size)
+        # entities of a single set can't be shared
+        shared = np.bincount(codes)[codes] > 1
+        early = (np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)) < np.repeat(place, size) - 1
+        column = np.unique(codes[shared], return_inverse=True)[1]
+        wide = int(column.max(initial=-1)) + 1
+        here, before = (np.zeros((len(size), wide), np.float32) for _ in range(2))
+        here[row[shared], column] = 1
+        before[row[shared & early], column[early[shared]]] = 1
+        one, two = np.flatnonzero(mine == table.column("i")[0].as_py()), np.flatnonzero(mine == table.column("j")[0].as_py())
+        both = here[one] @ here[two].T
+        w = both / (size[one][:, None] + size[two][None] - both).astype(np.float64)
+        x, y = np.nonzero((w > threshold) & (before[one] @ before[two].T == 0))
+        if table.column("i")[0] == table.column("j")[0]:  # a block with itself: each pair once
+            x, y = x[x < y], y[x < y]
+        left, right, value = rep.take(pa.array(one[x])), rep.take(pa.array(two[y])), w[x, y]
+        less = pc.less(left, right)
+        return pa.table({"a": pc.if_else(less, left, right), "b": pc.if_else(less, right, left), "w": value})
+
+    return pairs.unionByName(busy.groupBy("at", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}, w double"))
+
+
+def entity_shared(atoms: DataFrame, atom: str = "atom_id", entities: str = "entities", threshold: float = 0.05, heavy: int = HEAVY, block_rows: int = SET_BLOCK) -> DataFrame:
     """ENTITY_SHARED in both directions between atoms whose entity sets have a Jaccard similarity over ``threshold``.
 
-    An inverted index over the distinct sets: pairs of sets that share an entity are counted, the union follows from
-    their sizes, and atoms come in at the end, so that atoms of equal sets are not compared.
+    Distinct sets are compared, and atoms come in at the end, so that atoms of equal sets are not.
     """
     sets = atoms.select(F.col(atom).alias("id"), F.array_sort(F.array_distinct(entities)).alias("e")).where(F.size("e") > 0)
-    classes = sets.groupBy("e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    one = classes.select("rep", F.size("e").alias("n"), F.explode("e").alias("entity"))
-    a, b = one.select("entity", F.col("rep").alias("a"), F.col("n").alias("na")), one.select("entity", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "entity").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    jaccard = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    pairs = pairs.select("a", "b", jaccard.alias("w")).where(F.col("w") > threshold)
+    classes = materialize(sets.groupBy("e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "sets")
+    pairs = set_pairs(classes, threshold, heavy, block_rows)
     if threshold < 1:
         pairs = pairs.unionByName(classes.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("w")))
     own = sets.join(classes, "e").select("id", "rep")
@@ -98,17 +151,43 @@ def entity_shared(atoms: DataFrame, atom: str = "atom_id", entities: str = "enti
     return reversed_too(met.where("a <> b or x < y").select(*edge(F.least("x", "y"), F.greatest("x", "y"), "ENTITY_SHARED", F.col("w"))))
 
 
-def aligned(spans: DataFrame, within: str = "source", grain: float = 3600.0) -> DataFrame:
-    """ALIGNED_WITH between audio and text spans of a source that overlap, weighted by the share of the audio span.
+def dyadic_cover(first: str, last: str, top: int) -> Column:
+    """The fewest intervals [i 2**l, (i + 1) 2**l) that make up the whole numbers from ``first`` to ``last``, as (l, i)."""
+    # at each level the intervals within the span whose double-sized parent isn't: at most one at each end, or two
+    low, high = (lambda level: f"(-shiftright(-{first}, {level}))"), (lambda level: f"shiftright({last} + 1, {level})")
+    l0, h0, l1, h1 = low("l"), high("l"), f"2 * {low('l + 1')}", f"2 * {high('l + 1')}"
+    ends = f"array(if({l0} < {l1}, {l0}, null), if({h1} < {h0}, {h0} - 1, null))"
+    inner = f"if({l0} < {h0}, sequence({l0}, {h0} - 1), array())"
+    held = f"filter(if({l1} < {h1}, {ends}, {inner}), x -> x is not null)"
+    return F.expr(f"flatten(transform(sequence(0, {top}), l -> transform({held}, x -> struct(l as level, cast(x as bigint) as place))))")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], grain: float = 60.0) -> DataFrame:
+    """Each pair of spans of ``left`` (keys, a, s1, e1) and ``right`` (keys, b, s2, e2) with equal keys that overlap.
 
-    A range join by time bins: spans meet in the bins they touch, and count once, in the first bin they share.
+    Two spans overlap where one's start lies in the other. Spans are covered by dyadic intervals, starts name the dyadic
+    interval of each size that holds them, and each start meets a span in exactly one. A span of any length is a few rows,
+    two for each power of two in it, whatever ``grain`` is; pairs that don't overlap meet only within a grain.
     """
-    binned = spans.where("stop > start").withColumn("first", F.floor(F.col("start") / grain)).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / grain), F.floor(F.col("stop") / grain))))
-    a = binned.where("kind = 'audio'").select(within, "bin", F.col("id").alias("a"), F.col("start").alias("s1"), F.col("stop").alias("e1"), F.col("first").alias("f1"))
-    t = binned.where("kind = 'text'").select(within, "bin", F.col("id").alias("t"), F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("first").alias("f2"))
-    met = a.join(t, [within, "bin"]).where((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")) & (F.col("bin") == F.greatest("f1", "f2")))
+    cell = lambda c: F.floor(F.col(c) / grain)
+    left, right = (d.where(F.col(e) > F.col(s)).withColumns({"c1": cell(s), "c2": cell(e)}) for d, s, e in ((left, "s1", "e1"), (right, "s2", "e2")))
+    longest = [d.agg(F.max(F.col("c2") - F.col("c1"))).first()[0] or 0 for d in (left, right)]
+    out = None
+    for spans, starts, longest_, inside in ((left, right, longest[0], "s2 >= s1 and s2 < e1"), (right, left, longest[1], "s1 > s2 and s1 < e2")):
+        top = max(1, int(longest_ + 1).bit_length())
+        covers = spans.withColumn("__at", F.explode(dyadic_cover("c1", "c2", top))).drop("c1", "c2")
+        levels = F.expr(f"transform(sequence(0, {top}), l -> struct(l as level, shiftright(c1, l) as place))")
+        met = covers.join(starts.withColumn("__at", F.explode(levels)).drop("c1", "c2"), [*keys, "__at"]).where(inside).select(*keys, "a", "s1", "e1", "b", "s2", "e2")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def aligned(spans: DataFrame, within: str = "source", grain: float = 60.0) -> DataFrame:
+    """ALIGNED_WITH between audio and text spans of a source that overlap, weighted by the share of the audio span."""
+    a = spans.where("kind = 'audio'").select(within, F.col("id").alias("a"), F.col("start").alias("s1"), F.col("stop").alias("e1"))
+    t = spans.where("kind = 'text'").select(within, F.col("id").alias("b"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
     overlap = F.least("e1", "e2") - F.greatest("s1", "s2")
-    return reversed_too(met.select(*edge("a", "t", "ALIGNED_WITH", overlap / (F.col("e1") - F.col("s1")))))
+    return reversed_too(overlapping(a, t, [within], grain).select(*edge("a", "b", "ALIGNED_WITH", overlap / (F.col("e1") - F.col("s1")))))
 
 
 def grounded(images: DataFrame, texts: DataFrame, within: str = "source", vector: str = "clip", threshold: float = 0.25, block_rows: int = 2048) -> DataFrame:

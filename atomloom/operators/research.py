@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from functools import reduce
 from itertools import count
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atomloom.functions.text import strip, words_of
+from atomloom.operators.graph import set_pairs
 from atomloom.operators.tables import first_by
 from atomloom.session import materialize
 
@@ -44,34 +42,42 @@ def merged_status(plan: DataFrame, local: DataFrame, key: str = "step_index") ->
     return plan.join(local.select(key, F.col("status").alias("__s")), key, "left").withColumn("status", F.coalesce("__s", "status")).drop("__s")
 
 
-WORD = re.compile("[a-z]{3,}")
+def first_independent(edges: DataFrame) -> DataFrame:
+    """(v): the nodes that a greedy choice in order leaves out; edges (v, u) lead from each node to the earlier ones it conflicts with.
+
+    In rounds: a node without an open earlier neighbour is chosen, and its later neighbours are left out. Rounds are as many
+    as the longest chain of decisions that depend on each other, not as many as nodes. Each is written.
+    """
+    edges, out = materialize(edges, "conflicts"), None
+    while not edges.isEmpty():
+        chosen = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        gone = materialize(edges.join(chosen, "u", "left_semi").select("v").distinct(), "left-out")
+        out = gone if out is None else out.unionByName(gone)
+        edges = materialize(edges.join(gone, "v", "left_anti").join(gone.withColumnRenamed("v", "u"), "u", "left_anti"), "conflicts")
+    return edges.select("v") if out is None else out
 
 
 def distinct_findings(findings: DataFrame, group: str, order: str, text: str, threshold: float = 0.65, head: int = 120) -> DataFrame:
     """The findings of each group that aren't like an earlier one that was kept (Jaccard of words of their first characters).
 
-    Order matters, so a group goes through one task; a group is what one page or source gave. A finding is compared only
-    with kept ones that share a word.
+    The same choice as going through a group in order, by rounds over the pairs that are alike; a group may have any size.
+    Of findings with the same words only the first can be kept; findings without words all are.
     """
-    kinds = dict(findings.dtypes)
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select([group, order, "head"]).to_pylist(), key=lambda r: r[order])
-        kept: list[dict] = []
-        sizes: list[int] = []
-        holders: dict[str, list[int]] = {}  # word -> kept findings that have it
-        for r in rows:
-            words = set(WORD.findall(r["head"] or ""))
-            shared = Counter(k for w in words for k in holders.get(w, ()))
-            if not any(n / (len(words) + sizes[k] - n) > threshold for k, n in shared.items()):
-                for w in words:
-                    holders.setdefault(w, []).append(len(kept))
-                kept.append(r)
-                sizes.append(len(words))
-        return pa.table({group: pa.array([r[group] for r in kept], table.schema.field(group).type), order: pa.array([r[order] for r in kept], table.schema.field(order).type)})
-
-    heads = findings.select(group, order, F.lower(F.substring(text, 1, head)).alias("head"))
-    return heads.groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}")
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.substring(text, 1, head)), F.lit("([a-z]{3,})"), 1)))
+    rows = findings.select(F.col(group), F.col(order), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    bare = rows.where(F.size("words") == 0).select(group, order)
+    if threshold >= 1:
+        return rows.select(group, order)
+    first = rows.where(F.size("words") > 0).groupBy(group, "words").agg(F.min(order).alias(order))
+    first = materialize(first.withColumn("rep", F.monotonically_increasing_id()), "first-findings")
+    # words of different groups are different
+    named = F.transform("words", lambda w: F.to_json(F.struct(F.col(group), w)))
+    pairs = set_pairs(first.select("rep", named.alias("e")), threshold)
+    place = lambda n: first.select(F.col("rep").alias(n), F.struct(order, "words").alias(f"at_{n}"))
+    met = pairs.join(place("a"), "a").join(place("b"), "b")
+    later = F.col("at_a") > F.col("at_b")
+    gone = first_independent(met.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("v"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("u")))
+    return first.join(gone.withColumnRenamed("v", "rep"), "rep", "left_anti").select(group, order).unionByName(bare)
 
 
 def valid_findings(extracted: DataFrame, most: int = 10, least: int = 20, unit: str = "unit_id", found: str = "findings") -> DataFrame:
