@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -220,6 +222,21 @@ def grounded(images: DataFrame, texts: DataFrame, within: str = "source", vector
     return reversed_too(met.select(*edge("a", "b", "VISUAL_GROUNDED_IN", F.col("cos"))))
 
 
+def build(atoms: DataFrame, near: bool = False) -> DataFrame:
+    """All edges of a set of atoms with weights normalised by type, in one call.
+
+    ``atoms``: atom_id, source, resolution, modality, ts, embedding, entities (array); with start and stop also ALIGNED_WITH
+    between audio and text, with a joint-space vector ``clip`` also VISUAL_GROUNDED_IN between images or frames and texts.
+    """
+    atoms = materialize(atoms, "atoms")
+    parts = [part_of(atoms, "fine", "mid"), part_of(atoms, "mid", "coarse"), next_edges(atoms), similar(atoms, near=near), entity_shared(atoms)]
+    if {"start", "stop"} <= set(atoms.columns):
+        parts.append(aligned(atoms.select("source", F.col("atom_id").alias("id"), F.col("modality").alias("kind"), "start", "stop")))
+    if "clip" in atoms.columns:
+        parts.append(grounded(atoms.where("modality in ('image', 'video')"), atoms.where("modality = 'text'")))
+    return normalized(materialize(reduce(DataFrame.unionByName, parts), "edges"))
+
+
 def normalized(edges: DataFrame, keys: tuple[str, ...] = ("edge_type",)) -> DataFrame:
     """Weights as the sigmoid of their z-score within the edge type (and, with more keys, within the batch)."""
     stats = edges.groupBy(*keys).agg(F.avg("weight").alias("__m"), F.stddev_pop("weight").alias("__s"))

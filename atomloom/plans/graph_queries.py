@@ -91,6 +91,24 @@ def q_visual_grounded(spark, sf_dir):
     return graph.grounded(a.where("modality = 'image'"), a.where("modality = 'text'")).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"""WITH {fx.ATOMS_SQL}, e AS (SELECT atom_id, source, modality, list_distinct(list_transform(regexp_extract_all(substring(content, 1, 1000), '[A-Z][a-z]{{2,}}'), lambda w: lower(w))) AS s FROM atoms),
+part AS (SELECT f.atom_id AS src, arg_min(m.atom_id, (abs(f.atom_id - m.atom_id), m.atom_id)) AS dst, 'PART_OF' AS edge_type, CAST(1 AS DOUBLE) AS weight FROM atoms AS f JOIN atoms AS m
+    ON f.source = m.source AND ((f.resolution = 'fine' AND m.resolution = 'mid') OR (f.resolution = 'mid' AND m.resolution = 'coarse')) GROUP BY f.atom_id),
+nxt AS (SELECT atom_id AS src, lead(atom_id) OVER w AS dst, 'NEXT' AS edge_type, exp(-(lead(atom_id) OVER w - atom_id) / 3600.0) AS weight FROM atoms WINDOW w AS (PARTITION BY source, resolution ORDER BY atom_id)),
+cos AS (SELECT a.atom_id AS src, b.atom_id AS dst, a.modality AS m, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS cos FROM atoms AS a JOIN atoms AS b ON a.modality = b.modality AND a.atom_id <> b.atom_id),
+sim AS (SELECT src, dst, 'SIMILAR_TO' AS edge_type, least(cos, 1.0) AS weight FROM cos WHERE cos >= CASE m WHEN 'image' THEN 0.55 ELSE 0.5 END QUALIFY row_number() OVER (PARTITION BY src ORDER BY cos.cos DESC, dst) <= 10),
+o AS (SELECT atom_id, len(s) AS n, unnest(s) AS w FROM e), met AS (SELECT a.atom_id AS src, b.atom_id AS dst, a.n AS na, b.n AS nb, count(*) AS c FROM o AS a JOIN o AS b ON a.w = b.w AND a.atom_id < b.atom_id GROUP BY ALL),
+ent AS (SELECT src, dst, 'ENTITY_SHARED' AS edge_type, c / (na + nb - c) AS weight FROM met WHERE c / (na + nb - c) > 0.05),
+img AS (SELECT a.atom_id AS src, b.atom_id AS dst, 'VISUAL_GROUNDED_IN' AS edge_type, least(1.0, list_inner_product(a.v, b.v) / (a.norm * b.norm)) AS weight FROM atoms AS a JOIN atoms AS b ON a.source = b.source AND a.modality = 'image' AND b.modality = 'text'
+    WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.25),
+pairs AS (SELECT * FROM sim UNION ALL SELECT * FROM ent UNION ALL SELECT * FROM img),
+edges AS (SELECT * FROM part UNION ALL SELECT * FROM nxt WHERE dst IS NOT NULL UNION ALL SELECT * FROM pairs UNION ALL SELECT dst, src, edge_type, weight FROM pairs)
+SELECT src, dst, edge_type, round(1 / (1 + exp(-(weight - avg(weight) OVER t) / (stddev_pop(weight) OVER t + 1e-8))), 5) AS weight FROM edges WINDOW t AS (PARTITION BY edge_type)""")
+def q_graph_build(spark, sf_dir):
+    a = fx.atoms(spark, sf_dir).withColumns({"ts": F.col("atom_id").cast("double"), "entities": entities(F.col("content")), "clip": F.col("embedding")})
+    return graph.build(a.drop("content")).withColumn("weight", F.round("weight", 5))
+
+
 _LEAST = {"text": 0.2, "image": 0.25, "audio": 0.22, "table": 0.3}
 
 

@@ -249,3 +249,22 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
 def q_session(spark, sf_dir):
     return progress.sessions(T(spark, sf_dir, "events"), "6 hours")
+
+
+@query("""SELECT user_id, coalesce(max(event_type) FILTER (WHERE event_type = 'purchase'), 'none') AS config, CAST(coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) AS BIGINT) AS at FROM events GROUP BY user_id""")
+def q_config_or_default(spark, sf_dir):
+    """A session's stored row, else the default one."""
+    e = T(spark, sf_dir, "events")
+    stored = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_type").alias("config"), F.max("event_id").alias("at"))
+    return tables.with_default(e.select("user_id").distinct(), stored, "user_id", {"config": F.lit("none"), "at": F.lit(-1).cast("bigint")})
+
+
+@query("""SELECT * FROM (SELECT 'f' || doc_id AS src, unnest(['w' || (doc_id % 7), CASE WHEN doc_id % 3 > 0 THEN 's' || (doc_id % 3) END]) AS dst, unnest(['extracted_from', 'belongs_to']) AS type, length(text) AS n FROM documents)
+WHERE dst IS NOT NULL""")
+def q_finding_edges(spark, sf_dir):
+    """Findings with the source they come from, and the step where they have one."""
+    docs = T(spark, sf_dir, "documents")
+    step = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("s"), F.col("doc_id") % 3))
+    found = docs.select(F.concat(F.lit("f"), "doc_id").alias("id"), F.col("text").alias("content"), F.lit(0.5).alias("importance"), F.concat(F.lit("w"), F.col("doc_id") % 7).alias("source_id"), step.alias("step_id"))
+    nodes, edges = research.finding_rows(found)
+    return edges.join(nodes.select(F.col("id").alias("src"), F.length("content").cast("bigint").alias("n")), "src")

@@ -44,6 +44,20 @@ def plain_chunks(content, size=60, overlap=10):
     return chunks or [content[:size]]
 
 
+def test_extraction_units_of_all_documents(spark):
+    """What findings are extracted from: a short text whole, of a long one the sampled chunks, each with its depth."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {}
+    for r in chunking.extraction_units(docs, size=2000, most=5).collect():
+        got.setdefault(r.doc_id, []).append((r.idx, r.depth, r.content))
+    for r in docs.collect():
+        chunks = plain_chunks(r.text, 2000, 400)
+        if len(chunks) > 5:
+            at = len(chunks) // 2 - 1
+            chunks = chunks[:2] + chunks[at : at + 2] + chunks[-1:]
+        assert sorted(got[r.doc_id]) == [(k, int(len(r.text) > 2000), c[:12_000]) for k, c in enumerate(chunks)], r.doc_id
+
+
 @pytest.mark.parametrize("content", ["short", "x" * 60, "x" * 61, "a. b! " * 30, "para one\n\npara two is here\n \npara three " + "word " * 30 + "\n\nlast", "One. " * 20 + "y" * 130 + ". End.\n\nnext para", "\n\n" * 40])
 def test_chunker(spark, content):
     assert one(spark, content, lambda c: chunking.recursive_chunks(c, 60, 10)) == plain_chunks(content)
