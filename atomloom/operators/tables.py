@@ -108,6 +108,20 @@ def content_cache(items: DataFrame, cache: DataFrame, text: str = "content") ->
     return distinct.join(cache.select("content_hash"), "content_hash", "left_anti")
 
 
+def save_cache(rows: DataFrame, table: str, buckets: int = 64) -> None:
+    """Add rows (content_hash, ...) to the cache table, which is bucketed and sorted by the hash; a file a bucket and call."""
+    dealt = rows.repartition(buckets, "content_hash")
+    dealt.write.mode("append").format("parquet").bucketBy(buckets, "content_hash").sortBy("content_hash").saveAsTable(table)
+
+
+def missing_from_cache(items: DataFrame, table: str, text: str = "content", buckets: int = 64) -> DataFrame:
+    """Distinct contents by md5 that the cache table lacks. Only the items are shuffled, once, to the table's buckets."""
+    hashed = items.select(F.md5(F.col(text)).alias("content_hash"), text).repartition(buckets, "content_hash")
+    distinct = hashed.groupBy("content_hash").agg(F.min(text).alias(text))
+    # a merge over the buckets: neither side is moved or broadcast
+    return distinct.join(items.sparkSession.table(table).select("content_hash").hint("merge"), "content_hash", "left_anti")
+
+
 def with_default(keys: DataFrame, table: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
     """The row of each key, or a default row."""
     rows = keys.join(table, key, "left")

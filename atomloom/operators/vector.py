@@ -61,13 +61,16 @@ def _best_places(cos: np.ndarray, k: int) -> np.ndarray:
 
 
 def best_scores(items: DataFrame, queries: DataFrame, k: int, item: str, query: str, vector: str = "embedding", within: str | None = None) -> DataFrame:
-    """(query, other columns of both sides but vectors, cos): of each batch of items the ``k`` best of each query, with ties.
+    """(query, other columns but vectors, cos): of each batch of items the ``k`` best of each query, with ties.
+
+    Of the queries' columns numbers and booleans come along; texts and the like, which may be long, don't.
 
     With ``within`` (a column of items) the best of each of its values. Vectors of another length than the query's don't
     meet it. Queries go out in blocks whose size is counted first, one pass over the items a block.
     """
     asked = usable(queries, vector)
-    extra = [c for c in queries.columns if c not in (query, vector)]
+    # what else goes out with a query has a fixed size
+    extra = [c for c in queries.columns if c not in (query, vector) and isinstance(queries.schema[c].dataType, T.NumericType | T.BooleanType)]
     size, n = asked.agg(F.coalesce(F.sum(F.size(vector).cast("long") * 8 + 200), F.lit(0)), F.count(F.lit(1))).first()
     blocks = max(1, -(-size // QUERY_BYTES))
     kept = [c for c in items.columns if c != vector]
@@ -115,7 +118,64 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10, item: str = "vec_id
     best = Window.partitionBy(query).orderBy(F.desc("cos"), item)
     rows = best_scores(items, queries, k, item, query, vector)
     rows = rows if threshold is None else rows.where(F.col("cos") >= threshold)
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rest = [c for c in queries.columns if c != vector and c not in found.columns]
+    return found.join(queries.select(query, *rest), query) if rest else found
+
+
+def max_sim(items: DataFrame, queries: DataFrame, k: int = 10, item: str = "atom_id", query: str = "query_id", vectors: str = "vectors") -> DataFrame:
+    """(query, item, score, rank): the best ``k`` items of each query where both sides have several vectors, any number of them.
+
+    The score is the sum over a query's vectors of the greatest cosine that any of the item's vectors has with it. Queries
+    go out in blocks of ``QUERY_BYTES``. A batch of items is screened by one product in single precision; what may be among
+    its best ``k``, rounding allowed for, is computed again in double precision. Vectors that are null or empty don't
+    count, and a zero vector has cosine 0; sides without vectors of one common length don't meet. Ties go to the lower id.
+    """
+    both = lambda d, key: d.select(F.col(key).alias(key), F.transform(F.filter(F.coalesce(vectors, F.array()), lambda v: v.isNotNull() & (F.size(v) > 0)), as_double).alias("v")).where(F.size("v") > 0)
+    asked, held = both(queries, query), both(items, item)
+    size = asked.agg(F.sum(F.aggregate("v", F.lit(0), lambda n, v: n + F.size(v) * 8 + 16)).cast("long")).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    schema = T.StructType([queries.schema[query], items.schema[item], T.StructField("score", T.DoubleType())])
+    passes = []
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        sent = items.sparkSession.sparkContext.broadcast(block.toArrow())
+
+        def run(batches, sent=sent):
+            own = sent.value.combine_chunks()
+            sides = _ragged(own.column("v").combine_chunks()) if own.num_rows else []
+            for whole in batches:
+                for start in range(0, whole.num_rows, BATCH_ROWS):
+                    batch = whole.slice(start, BATCH_ROWS)
+                    for d, m, bounds, at in _ragged(batch.column("v")):
+                        for e, q, q_bounds, q_at in sides:
+                            if d != e:
+                                continue
+                            for j, x in enumerate(q_at.tolist()):
+                                mine = q[q_bounds[j] : q_bounds[j + 1]]
+                                rough = np.maximum.reduceat(mine.astype(np.float32) @ m.astype(np.float32).T, bounds[:-1], axis=1).sum(axis=0, dtype=np.float64)
+                                slack = 2 * len(mine) * (d + 4) * 2.0**-23
+                                near = np.flatnonzero(rough >= np.sort(rough)[-min(k, len(rough))] - slack)
+                                rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in near])
+                                sizes = bounds[near + 1] - bounds[near]
+                                exact = np.maximum.reduceat(mine @ m[rows].T, np.cumsum(sizes) - sizes, axis=1).sum(axis=0)
+                                yield pa.RecordBatch.from_arrays([own.column(query).combine_chunks().take(pa.array([x] * len(near))), batch.column(item).take(pa.array(at[near])), pa.array(exact)], names=schema.names)
+
+        passes.append(held.mapInArrow(run, schema))
+    best = Window.partitionBy(query).orderBy(F.desc("score"), item)
+    return reduce(DataFrame.unionByName, passes).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _ragged(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lists of vectors by length: (length, unit vectors, where each row's start and end, the rows that have any)."""
+    inner = column.flatten()
+    row, size = np.repeat(np.arange(len(column)), _lengths(column)), _lengths(inner)
+    out = []
+    for d in np.unique(size).tolist():
+        at = np.flatnonzero(size == d)
+        rows, counts = np.unique(row[at], return_counts=True)
+        out.append((d, unit_rows(inner, at), np.concatenate(([0], np.cumsum(counts))), rows))
+    return out
 
 
 def multi_resolution(atoms: DataFrame, queries: DataFrame, weights: dict[str, float], top: int = 10, item: str = "atom_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:

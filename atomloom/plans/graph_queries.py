@@ -43,6 +43,18 @@ def q_knn_edges(spark, sf_dir):
     return fx.similar(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
+@query("""WITH n AS (SELECT vec_id // 4 AS atom, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 4 <= vec_id // 4 % 4), u AS (SELECT atom, v, sqrt(list_inner_product(v, v)) AS norm, row_number() OVER () AS i FROM n),
+m AS (SELECT q.atom AS query_id, q.i, a.atom AS atom_id, max(list_inner_product(a.v, q.v) / (a.norm * q.norm)) AS best FROM u AS a JOIN u AS q ON q.atom % 20 = 0 GROUP BY ALL),
+s AS (SELECT query_id, atom_id, sum(best) AS score FROM m GROUP BY ALL)
+SELECT query_id, atom_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, atom_id) AS rank FROM s QUALIFY rank <= 10""")
+def q_max_sim(spark, sf_dir):
+    """Atoms of one to four vectors; every twentieth is a query."""
+    atom = F.floor(F.col("vec_id") / 4)
+    rows = T(spark, sf_dir, "embeddings").withColumn("atom_id", atom).where(F.col("vec_id") % 4 <= F.col("atom_id") % 4).groupBy("atom_id").agg(F.collect_list("embedding").alias("vectors"))
+    got = vector.max_sim(rows, rows.where("atom_id % 20 = 0").withColumnRenamed("atom_id", "query_id"), 10)
+    return got.select("query_id", "atom_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("""WITH c AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM c GROUP BY ALL),
 s AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT label, i - 1 AS pos, round(x / norm, 6) AS x FROM m JOIN s USING (label)""")
 def q_pooled(spark, sf_dir):
