@@ -16,6 +16,9 @@ import math
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +58,24 @@ def build(atoms: DataFrame, item: str = "atom_id", text: str = "content", per_bl
     stats.write.parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").first()["mean"] or 1.0
 
-    # one shuffle, by block: what follows is grouped within it
-    slot = (F.row_number().over(Window.partitionBy("block").orderBy("item")) - 1).alias("slot")
-    held = rows.repartition("block").select("block", slot, bm25_tokens(F.col("t")).alias("w"))
-    counts = held.select("block", "slot", F.explode("w").alias("term")).groupBy("block", "slot", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lists = materialize(counts.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("slot", "tf"))).alias("p")), "postings")
-    saturated = F.transform("p", lambda p: p["tf"] / (p["tf"] + K1 * (1 - B + B * F.get("lengths", p["slot"]) / mean)))
-    full = lists.join(docs.select("block", "lengths"), "block").select("term", "block", F.size("p").alias("n"), F.array_max(saturated).alias("top"), F.col("p.slot").alias("slots"), F.col("p.tf").alias("counts"))
-    full.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    def invert(table: pa.Table) -> pa.Table:
+        """The postings of one block; its places are in the order of ids, as in ``docs``."""
+        table = table.take(pc.sort_indices(table.column("item")))
+        words = table.column("w").combine_chunks()
+        length, rows = np.asarray(words.value_lengths().fill_null(0)), len(table)
+        codes = words.flatten().dictionary_encode()
+        held, tf = np.unique(np.asarray(codes.indices).astype(np.int64) * rows + np.repeat(np.arange(rows), length), return_counts=True)
+        term, slot = held // rows, held % rows
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = pa.array(np.append(starts, len(term)).astype(np.int32))
+        saturated = tf / (tf + K1 * (1 - B + B * length[slot] / mean))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (slot, tf)]
+        block = pa.array(np.full(len(starts), table.column("block")[0].as_py()))
+        return pa.table({"term": codes.dictionary.take(pa.array(term[starts])), "block": block, "n": np.diff(ends).astype(np.int32), "top": np.maximum.reduceat(saturated, starts) if len(starts) else saturated, "slots": lists[0], "counts": lists[1]})
+
+    # one shuffle, by block; a block is a few hundred texts
+    lists = materialize(tokens.groupBy("block").applyInArrow(invert, "term string, block long, n int, top double, slots array<int>, counts array<int>"), "postings")
+    lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
     return Index.open(spark, path)
 
 
