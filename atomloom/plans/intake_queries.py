@@ -112,11 +112,10 @@ def q_titles(spark, sf_dir):
     return T(spark, sf_dir, "documents").select("doc_id", text.title(raw).alias("title"))
 
 
-@query("SELECT doc_id, 'a_b-' || doc_id || '_ç_' AS safe, CASE WHEN doc_id < 10 THEN '****' ELSE 'sk-x...' || right('sk-xyz' || doc_id || '0000', 4) END AS masked FROM documents")
+@query("""SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe, CASE WHEN length(text) > 8 THEN left(text, 4) || '...' || right(text, 4) ELSE '****' END AS masked, CASE WHEN length(source) > 8 THEN left(source, 4) || '...' || right(source, 4) ELSE '****' END AS masked_source FROM documents""")
 def q_keys(spark, sf_dir):
-    d = F.col("doc_id")
-    key = F.when(d < 10, "sk-xyz12").otherwise(F.concat(F.lit("sk-xyz"), d, F.lit("0000")))
-    return T(spark, sf_dir, "documents").select("doc_id", text.safe_key(F.concat(F.lit("a/b-"), d, F.lit(".ç "))).alias("safe"), text.masked(key).alias("masked"))
+    """Whole texts as safe keys, and texts and sources masked like keys."""
+    return T(spark, sf_dir, "documents").select("doc_id", text.safe_key(F.col("text")).alias("safe"), text.masked(F.col("text")).alias("masked"), text.masked(F.col("source")).alias("masked_source"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 3 THEN '[' || doc_id || ', 2]' ELSE '{"a": ' || doc_id || ', "b": "x"}' END AS json FROM documents""")
@@ -154,11 +153,11 @@ def q_valid_findings(spark, sf_dir):
     return got.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("""SELECT lang AS step_id, string_agg('[' || k || '] (type: fact, importance: ' || (doc_id % 11 // 10) || '.' || (doc_id % 11 % 10) || ', source: ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'http://x/' || doc_id END || ')' || chr(10) || '    ' || content, chr(10) || chr(10) ORDER BY k) AS findings
-FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, coalesce(substring(text, 1, 40), '') AS content FROM documents) GROUP BY lang""")
+@query("""SELECT step_id, string_agg('[' || k || '] (type: fact, importance: ' || (doc_id % 11 // 10) || '.' || (doc_id % 11 % 10) || ', source: ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'http://x/' || doc_id END || ')' || chr(10) || '    ' || content, chr(10) || chr(10) ORDER BY k) AS findings
+FROM (SELECT *, doc_id // 10 AS step_id, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS k, coalesce(text, '') AS content FROM documents) GROUP BY step_id""")
 def q_findings_text(spark, sf_dir):
     d = F.col("doc_id")
-    rows = T(spark, sf_dir, "documents").select(F.col("lang").alias("step_id"), d.alias("pos"), F.substring("text", 1, 40).alias("content"), F.lit("fact").alias("extraction_type"), ((d % 11) / 10).alias("importance"), F.when(d % 2 == 0, F.col("source")).otherwise("").alias("source_title"), F.concat(F.lit("http://x/"), d).alias("source_url"))
+    rows = T(spark, sf_dir, "documents").select(F.floor(d / 10).alias("step_id"), d.alias("pos"), F.col("text").alias("content"), F.lit("fact").alias("extraction_type"), ((d % 11) / 10).alias("importance"), F.when(d % 2 == 0, F.col("source")).otherwise("").alias("source_title"), F.concat(F.lit("http://x/"), d).alias("source_url"))
     return research.findings_text(rows)
 
 
