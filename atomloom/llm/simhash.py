@@ -108,7 +108,7 @@ def _compared(texts: list[str], following: list[str], own: np.ndarray, next_: np
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """How fingerprints follow an edit: each text against itself edited, and against the next document.
 
-    The next document follows by descending id (null last, ties by text); after the last comes the first. The edited
+    The next document follows by descending id (null last, ties by a hash of the text); after the last comes the first. The edited
     text has the last half of the code points (rounded down) replaced by the first as many, or all, of the next one's.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -138,8 +138,9 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield batch_of(part, [held[0]], none, [None if headed else held[1]], [held[1]])
 
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # rows of one id, and copies among them, may be many: ranges may part them
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("__row")]
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     done = materialize(dealt.mapInArrow(run, schema), "edited")
     # from here on one row for each range
     ends = done.where("tail is not null").select("part", "doc_id", "tail")

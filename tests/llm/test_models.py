@@ -126,6 +126,25 @@ def test_compare_with_next(docs, rows, none):
     assert simhash.compare_with_next(none).count() == 0
 
 
+def test_compare_with_next_of_one_hot_id(spark):
+    """Most rows have one id, many of them one text too: ranges part them, and none is lost or compared out of order."""
+    rows = [(7, f"text number {k % 300} of the hot id") for k in range(1500)] + [(7, "copy of a text")] * 900 + [(k, f"other {k}") for k in range(20, 40)] + [(None, "no id")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = [r.text for r in df.select("text", F.xxhash64("text").alias("h"), "doc_id").orderBy(F.desc_nulls_last("doc_id"), "h").collect()]
+    want = {}
+    for text, after in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(text) // 2
+        key = hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+        want[key] = want.get(key, 0) + 1
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = simhash.compare_with_next(df).groupBy("edited_sha256").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r.edited_sha256: r["count"] for r in got} == want
+
+
 @pytest.mark.parametrize("limit", [1, 700])
 @pytest.mark.parametrize("coalesce", ["true", "false"])
 def test_compare_with_next_in_slices(spark, docs, rows, limit, coalesce):
