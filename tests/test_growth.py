@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from atomloom.operators import vector
+from atomloom.operators import graph, vector
 
 
 def shuffled(spark, run) -> int:
@@ -54,3 +54,18 @@ def test_neighbours_of_copies_and_multiples_are_those_of_plain_sums(spark, block
         want |= {(i, j) for c, j in near[:3] if -c >= 0.5}
     got = vector.knn(vectors(spark, m).repartition(4), 3, 0.5, block_rows=block_rows).collect()
     assert {(r.src, r.dst) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("threshold,block_rows", [(0.05, 1 << 16), (0.05, 9), (0.4, 9), (1.0, 9)])
+def test_links_are_counted_as_all_pairs_have_them(spark, threshold, block_rows):
+    rng = random.Random(5)
+    sets = [rng.sample([f"e{int(30 * rng.random() ** 2)}" for _ in range(12)], rng.randint(0, 12)) for _ in range(60)]
+    sets += [sets[i] for i in (1, 1, 2, 3)] + [None, []]
+    df = spark.createDataFrame(list(enumerate(sets)), "atom_id long, entities array<string>").repartition(3)
+    want = []
+    for i, s in enumerate(sets):
+        mine = set(s or [])
+        alike = [j for j, t in enumerate(sets) if j != i and mine and t and len(mine & set(t)) / len(mine | set(t)) > threshold]
+        want.append((i, min((j for j, t in enumerate(sets) if t and set(t) == mine), default=None), len(alike)))
+    got = sorted((r.atom_id, r.class_id, r.n_links) for r in graph.entity_links(df, threshold=threshold, block_rows=block_rows).collect())
+    assert got == want
