@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from atomloom.operators import graph, vector
+from atomloom.operators import graph, postings, vector
 
 
 def shuffled(spark, run) -> int:
@@ -69,3 +69,25 @@ def test_links_are_counted_as_all_pairs_have_them(spark, threshold, block_rows):
         want.append((i, min((j for j, t in enumerate(sets) if t and set(t) == mine), default=None), len(alike)))
     got = sorted((r.atom_id, r.class_id, r.n_links) for r in graph.entity_links(df, threshold=threshold, block_rows=block_rows).collect())
     assert got == want
+
+
+def test_an_index_is_built_from_texts_dealt_as_texts(spark):
+    n = 2000
+    words = [f"w{i % 7}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).sample(words, 300))) for i in range(n)], "atom_id long, content string").repartition(4).localCheckpoint()
+    plan = []
+    keep = postings.materialize
+
+    def seen(df, label):
+        plan.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    postings.materialize = seen
+    try:
+        index = postings.build(docs)
+    finally:
+        postings.materialize = keep
+    # what goes through the exchange (below it in the plan) holds the text; tokens are made above
+    above, below = plan[0].split("Exchange", 1)
+    assert "split(" in above and "split(" not in below and below.count("Exchange") == 0
+    assert index.postings.where("term = 'w3'").agg({"n": "sum"}).first()[0] == n
