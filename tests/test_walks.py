@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,40 @@ def test_many_candidates_go_to_several_tasks(spark):
     want = 2.0 * k * (n - 1 - k) / ((n - 1) * (n - 2))
     # each pair is counted from both ends, as sources are
     assert found.where(F.abs(F.col("betweenness") - want) > 1e-9).count() == 0 and found.count() == n
+
+
+def graphs():
+    rng = random.Random(11)
+    for n, m, weights in ((60, 90, [k / 8 for k in range(1, 9)]), (60, 150, [1.0]), (200, 230, None), (90, 70, [0.5, 1.5])):
+        pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
+        yield n, [(a, b, rng.choice(weights) if weights else rng.uniform(0.1, 1)) for a, b in pairs]
+    yield 49, [(7 * r + c, 7 * r + c + step, 1.0) for r in range(7) for c in range(7) for step in (1, 7) if (step == 7 and r < 6) or (step == 1 and c < 6)]  # a grid: many paths of one length
+    yield 50, [(0, k, 1.0) for k in range(1, 50)]
+    yield 40, [(k, k + 1, 1e-20) for k in range(20)] + [(k, k + 1, 1.0) for k in range(20, 39)]  # weights that a distance can't tell from 0
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 300])
+def test_searches_in_blocks_are_single_searches(monkeypatch, cells):
+    monkeypatch.setattr(graph, "SEARCH_CELLS", cells)
+    monkeypatch.setattr(graph, "STEP_CELLS", cells)
+    for n, edges in graphs():
+        a, b, w = (np.array(c) for c in zip(*edges, strict=True))
+        for own in (np.arange(n), np.arange(1, n, 3)):
+            want = graph.dependencies(graph.neighbourhoods(list(range(n)), edges), own.tolist())
+            assert graph.block_dependencies(n, a, b, w, own) == pytest.approx([want[k] for k in range(n)])
+
+
+def test_searches_of_a_large_component_go_in_blocks(monkeypatch):
+    """None of its sources is searched on its own."""
+    n, rng = 3000, random.Random(2)
+    a = np.array([rng.randrange(k) for k in range(1, n)] + [rng.randrange(n) for _ in range(n)])
+    b = np.array([*range(1, n), *[rng.randrange(n) for _ in range(n)]])
+    keep = a != b
+    a, b, w = a[keep], b[keep], np.array([rng.uniform(0.3, 1) for _ in range(int(keep.sum()))])
+    first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)[1]
+    a, b, w = a[first], b[first], w[first]
+    with monkeypatch.context() as m:
+        m.setattr(graph, "dependencies", None)  # one search at a time is not for these
+        found = graph.block_dependencies(n, a, b, w, np.arange(0, n, 10))
+    want = graph.dependencies(graph.neighbourhoods(list(range(n)), list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True))), list(range(0, n, 10)))
+    assert found == pytest.approx([want[k] for k in range(n)])
