@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from atomloom.llm.common import PerfectHash, map_texts, quoted
 
-HELD, HELD_IDS, LONGEST_HELD, MAX_VOCABULARY_BYTES = 300_000, 4 << 20, 200, 64 << 20
+HELD, HELD_IDS, LONGEST_HELD, MAX_VOCABULARY_BYTES = 500_000, 4 << 20, 200, 64 << 20
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -44,6 +44,24 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
     return ranks
 
 
+class Codes(dict):
+    """Codes of pre-tokens, which are numbered as they are first asked for; long ones, from -1 down, on their own."""
+
+    def __init__(self):
+        super().__init__()
+        self.held, self.fresh, self.long = 0, [], []
+
+    def __missing__(self, token: str) -> int:
+        if len(token) > LONGEST_HELD:
+            self.long.append(token)
+            code = -len(self.long)
+        else:
+            self.fresh.append(token)
+            code, self.held = self.held, self.held + 1
+        self[token] = code
+        return code
+
+
 class Encoder:
     """Both tiers over one vocabulary."""
 
@@ -54,11 +72,17 @@ class Encoder:
         self.slots: list[tuple[bytes, int]] = [(b"", -1)] * len(ranks)
         for at, item in zip(self.mph.index(keys).tolist(), ranks.items(), strict=True):
             self.slots[at] = item
+        # ranks of single bytes and of pairs, -1 where there is none
+        self.bytes = [ranks.get(bytes((x,)), -1) for x in range(256)]
+        self.pairs = [-1] * (1 << 16)
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self.pairs[t[0] << 8 | t[1]] = r
         self._reset()
 
     def _reset(self):
         # a pre-token's code is its place in starts and lens, which delimit its ids in flat
-        self.codes: dict[str, int] = {}
+        self.codes = Codes()
         self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
@@ -66,7 +90,6 @@ class Encoder:
             return
         pieces = [t.encode("utf-8", "surrogatepass") for t in fresh]
         found = [[r] if r >= 0 else self.merge(p) for p, r in zip(pieces, self.whole(pieces), strict=True)]
-        self.codes.update(zip(fresh, range(len(self.lens), len(self.lens) + len(fresh)), strict=True))
         lens = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
         self.lens = np.concatenate((self.lens, lens))
@@ -79,38 +102,66 @@ class Encoder:
         return list(found)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Tier two: a heap of mergeable neighbours over linked bytes."""
+        """Tier two: a heap of mergeable neighbours over linked bytes.
+
+        A node is where its bytes begin, and ``end`` is also the next node. An entry is rank and node in one number, and
+        counts while it is the one that ``now`` has of the node.
+        """
         rank, n = self.ranks.get, len(piece)
-        end, after, before, alive = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        if n < 2:
+            return [self.ranks[piece]] if n else []
+        shift = n.bit_length()
+        mask, pairs, push, pop = (1 << shift) - 1, self.pairs, heapq.heappush, heapq.heappop
+        ids, end, before = [self.bytes[x] for x in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        # -1 stays below 0 when it is shifted
+        now = [pairs[x << 8 | y] << shift | i for i, (x, y) in enumerate(pairwise(piece))]
+        now.append(-1)
+        heap = [k for k in now if k >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, to = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or end[j] != to:
+            k = pop(heap)
+            i = k & mask
+            if now[i] != k:
                 continue
-            alive[j], end[i], after[i] = False, to, after[j]
-            k, h = after[i], before[i]
-            if k < n:
-                before[k] = i
-                if (r := rank(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
-            if h >= 0 and (r := rank(piece[h:to])) is not None:
-                heapq.heappush(heap, (r, h, to))
-        return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+            j = end[i]
+            ids[i], end[i], now[j] = k >> shift, end[j], -1
+            to, h = end[j], before[i]
+            if to < n:
+                before[to] = i
+                r = rank(piece[i : end[to]])
+                if r is None:
+                    now[i] = -1
+                else:
+                    now[i] = r << shift | i
+                    push(heap, now[i])
+            else:
+                now[i] = -1
+            if h >= 0:
+                r = rank(piece[h:to])
+                if r is None:
+                    now[h] = -1
+                else:
+                    now[h] = r << shift | h
+                    push(heap, now[h])
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = end[i]
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of texts."""
         if len(self.codes) > HELD or len(self.flat) > HELD_IDS:
             self._reset()
         tokens = [self.split(x) if x else [] for x in texts]
-        fresh = set(chain.from_iterable(tokens)) - self.codes.keys()
-        long = [t for t in fresh if len(t) > LONGEST_HELD]
-        self._learn(list(fresh.difference(long)))
-        kept, kept_ids = len(self.lens), len(self.flat)
-        self._learn(long)
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
+        fresh, long, self.codes.fresh, self.codes.long = self.codes.fresh, self.codes.long, [], []
+        self._learn(fresh)
+        kept, kept_ids = len(self.lens), len(self.flat)
+        if long:
+            self._learn(long)
+            codes[codes < 0] = kept - 1 - codes[codes < 0]
         size = self.lens[codes]
         total = np.cumsum(size)
         ids = self.flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.starts[codes] - (total - size), size)]
