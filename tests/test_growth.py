@@ -91,3 +91,18 @@ def test_an_index_is_built_from_texts_dealt_as_texts(spark):
     above, below = plan[0].split("Exchange", 1)
     assert "split(" in above and "split(" not in below and below.count("Exchange") == 0
     assert index.postings.where("term = 'w3'").agg({"n": "sum"}).first()[0] == n
+
+
+def test_what_shared_entities_shuffle_grows_with_the_sets_and_not_with_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SET_ROWS", 100, raising=False)
+
+    def run(n: int) -> tuple[int, int]:
+        rows = [(i, [f"e{k}" for k in random.Random(i).sample(range(40), 8)]) for i in range(n)]
+        df = spark.createDataFrame(rows, "atom_id long, entities array<string>").repartition(4).localCheckpoint()
+        found = []
+        return shuffled(spark, lambda: found.append(graph.entity_shared(df, heavy=64).count())), found[0]
+
+    run(100)
+    (small, few), (large, many) = run(1500), run(3000)
+    # most pairs are alike; blocks of a fixed size, and joins of the pairs with their atoms, made it 4 times as much
+    assert many > 3.8 * few > 1500**2 and large < 2.5 * small

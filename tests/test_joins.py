@@ -72,6 +72,18 @@ def test_shared_entities_are_those_of_all_pairs(spark, threshold, heavy, block_r
     assert set(got) == plain_jaccards(rows, threshold) and len(got) == len(set(got))
 
 
+@pytest.mark.parametrize("members", [1, 3, 512])
+def test_shared_entities_of_copies_are_those_of_all_pairs(spark, monkeypatch, members):
+    monkeypatch.setattr(graph, "MEMBERS", members)
+    rng = random.Random(4)
+    # sets of common entities only, and some with a rare one, each in up to nine copies
+    sets = [[f"c{k}" for k in rng.sample(range(6), rng.randrange(1, 5))] + [f"r{n // 2}"] * (n % 3 == 0) for n in range(14)]
+    rows = [(k, s) for k, s in enumerate(s for n, s in enumerate(sets) for _ in range(1 + n % 9))]
+    df = spark.createDataFrame(rows, "atom_id long, entities array<string>").repartition(3)
+    got = [(r.src, r.dst, round(r.weight, 9)) for r in graph.entity_shared(df, threshold=0.3, heavy=4, block_rows=6).collect()]
+    assert set(got) == plain_jaccards(rows, 0.3) and len(got) == len(set(got))
+
+
 def test_an_entity_in_half_of_100_000_sets(spark):
     """Sets of 20 entities of their own, every other one with the hot entity: only the twins are alike."""
     n = 100_000
