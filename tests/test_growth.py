@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from atomloom.operators import graph, postings, vector
 
@@ -40,6 +41,19 @@ def test_each_vector_goes_out_once_for_each_of_few_blocks(spark):
     assert shuffled(spark, lambda: vector.knn(rows, 2, 0.9).count()) < n * width * 4 * 14
 
 
+def test_blocks_of_vectors_stay_as_many_up_to_a_million(spark):
+    sizes = [102_564, 307_692, 615_384, 1 << 20]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", vector.block_count(F.col("n")).alias("blocks")).collect()
+    # with blocks of 65536 rows they were 8, 8, 10 and 16, so that each vector went out more often
+    assert {r.n: r.blocks for r in rows} == dict.fromkeys(sizes, 8)
+
+
+@pytest.mark.parametrize("shape,share", [((37, 53), 0.02), ((64, 128), 0.001), ((64, 128), 1.0), ((8, 3), 0.0), ((1, 1), 1.0)])
+def test_few_true_cells_are_found_by_row_and_column(shape, share):
+    cells = np.random.default_rng(4).random(shape) < share
+    assert [x.tolist() for x in vector._places(cells)] == [x.tolist() for x in np.nonzero(cells)]
+
+
 @pytest.mark.parametrize("block_rows", [5, 1 << 16])
 def test_neighbours_of_copies_and_multiples_are_those_of_plain_sums(spark, block_rows):
     rng = random.Random(3)
