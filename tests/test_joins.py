@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from atomloom.operators import graph, research
 
 SPANS = "source string, kind string, id long, start double, stop double"
@@ -123,3 +124,16 @@ def test_one_group_of_100_000_findings(spark):
     rows = spark.range(n).select(F.lit("g").alias("grp"), F.col("id"), F.posexplode(F.array(*versions)).alias("v", "content")).select("grp", (F.col("v") * n + F.col("id")).alias("pos"), "content")
     got = research.distinct_findings(rows, "grp", "pos", "content", threshold=0.45)
     assert got.count() == 2 * n and got.where((F.col("pos") >= n) & (F.col("pos") < 2 * n)).count() == 0
+
+
+def _late_names(spark, tmp_path):
+    """Documents (and vectors) of which the first two share a name, all after the first 1000 characters."""
+    texts = ["word " * 400 + "Ada Lovelace", "other " * 300 + "Lovelace", "Babbage " + "more " * 300, None]
+    spark.createDataFrame([(i, t, "src0") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [1.0 * (i == k) for k in range(4)]) for i in range(4)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_links_of_documents_are_those_of_whole_texts(spark, tmp_path):
+    got = {tuple(r) for r in entry.queries()["q_entity_shared"](spark, _late_names(spark, tmp_path)).select("doc_id", "class_id", "n_links").collect()}
+    assert got == {(0, 0, 1), (1, 1, 1), (2, 2, 0), (3, None, 0)}
