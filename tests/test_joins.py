@@ -137,3 +137,8 @@ def _late_names(spark, tmp_path):
 def test_links_of_documents_are_those_of_whole_texts(spark, tmp_path):
     got = {tuple(r) for r in entry.queries()["q_entity_shared"](spark, _late_names(spark, tmp_path)).select("doc_id", "class_id", "n_links").collect()}
     assert got == {(0, 0, 1), (1, 1, 1), (2, 2, 0), (3, None, 0)}
+
+
+def test_edges_of_a_graph_are_those_of_whole_texts(spark, tmp_path):
+    got = entry.queries()["q_graph_build"](spark, _late_names(spark, tmp_path)).where("edge_type = 'ENTITY_SHARED'").select("src", "dst").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (1, 0)]
