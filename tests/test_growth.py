@@ -120,3 +120,17 @@ def test_what_shared_entities_shuffle_grows_with_the_sets_and_not_with_their_pai
     (small, few), (large, many) = run(1500), run(3000)
     # most pairs are alike; blocks of a fixed size, and joins of the pairs with their atoms, made it 4 times as much
     assert many > 3.8 * few > 1500**2 and large < 2.5 * small
+
+
+def test_a_graph_is_built_without_writing_its_pairs(spark, monkeypatch):
+    n, rows, keep = 60, [], graph.materialize
+
+    def seen(df, label):
+        out = keep(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", seen)
+    atoms = [(i, "s", "fine", "text", float(i), [float(i == k) for k in range(n)], ["ada", f"e{i % 30}"]) for i in range(n)]
+    got = graph.build(spark.createDataFrame(atoms, "atom_id long, source string, resolution string, modality string, ts double, embedding array<float>, entities array<string>"))
+    assert got.where("edge_type = 'ENTITY_SHARED'").count() == n * (n - 1) and max(rows) <= 4 * n
